@@ -31,5 +31,29 @@ def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_best_two_fit)}
+def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url under the contract's rules and its host's reputation."""
+    from tidelog.llm.urls import RULES, judge_urls
+
+    return judge_urls(spark, _table(spark, sf_dir, "pages"), RULES)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and their components."""
+    from pyspark.sql import functions as F
+
+    from tidelog.llm.simhash import hex_fingerprint, near_duplicates
+
+    found = near_duplicates(spark, _table(spark, sf_dir, "documents"), size=3, radius=3)
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    from tidelog.llm.quality import judge
+
+    return judge(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_best_two_fit, op5_host_reputation, op6_simhash, op9_host_quality)}
 ORACLE_SQL: dict[str, str] = {}
