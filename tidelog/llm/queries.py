@@ -55,5 +55,19 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_best_two_fit, op5_host_reputation, op6_simhash, op9_host_quality)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document."""
+    from tidelog.llm.toxicity import toxicity
+
+    return toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of every document."""
+    from tidelog.llm.pieces import nbest_segmentations
+
+    return nbest_segmentations(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), n=3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_best_two_fit, op5_host_reputation, op6_simhash, op8_toxicity, op9_host_quality, op10_nbest_pieces)}
 ORACLE_SQL: dict[str, str] = {}
