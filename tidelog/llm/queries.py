@@ -55,6 +55,13 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, _table(spark, sf_dir, "documents"))
 
 
+def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every twentieth embedding."""
+    from tidelog.llm.neighbours import nearest
+
+    return nearest(spark, _table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every document."""
     from tidelog.llm.toxicity import toxicity
@@ -69,5 +76,5 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest_segmentations(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), n=3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_best_two_fit, op5_host_reputation, op6_simhash, op8_toxicity, op9_host_quality, op10_nbest_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_best_two_fit, op5_host_reputation, op6_simhash, op7_projection_forest, op8_toxicity, op9_host_quality, op10_nbest_pieces)}
 ORACLE_SQL: dict[str, str] = {}
