@@ -24,6 +24,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, _table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a suffix tree learnt from four folds."""
+    from tidelog.llm.suffix_tree import score_documents
+
+    return score_documents(spark, _table(spark, sf_dir, "documents"), held_out_fold=1)
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 2048 tokens."""
     from tidelog.llm.packing import pack_documents
@@ -76,5 +83,5 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest_segmentations(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), n=3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_best_two_fit, op5_host_reputation, op6_simhash, op7_projection_forest, op8_toxicity, op9_host_quality, op10_nbest_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_suffix_tree, op4_best_two_fit, op5_host_reputation, op6_simhash, op7_projection_forest, op8_toxicity, op9_host_quality, op10_nbest_pieces)}
 ORACLE_SQL: dict[str, str] = {}
