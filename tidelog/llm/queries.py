@@ -31,6 +31,13 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark, _table(spark, sf_dir, "documents"), held_out_fold=1)
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has."""
+    from tidelog.llm.suffix_array import removal_digest
+
+    return removal_digest(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 2048 tokens."""
     from tidelog.llm.packing import pack_documents
@@ -83,5 +90,5 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest_segmentations(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), n=3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_suffix_tree, op4_best_two_fit, op5_host_reputation, op6_simhash, op7_projection_forest, op8_toxicity, op9_host_quality, op10_nbest_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_suffix_tree, op3_suffix_array, op4_best_two_fit, op5_host_reputation, op6_simhash, op7_projection_forest, op8_toxicity, op9_host_quality, op10_nbest_pieces)}
 ORACLE_SQL: dict[str, str] = {}
