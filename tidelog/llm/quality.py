@@ -77,7 +77,28 @@ def judge_documents(docs: DataFrame, host: str = "source", least_words: int = 20
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5))], names=["doc_id", "host", *COUNTS])
 
     found = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text")).mapInArrow(each, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
-    return found.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
+    return found.withColumn("base_failed", failed(least_words, repeat_percent))
+
+
+def failed(least_words: int = 20, repeat_percent: int = 30):
+    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, host: str = "source", limit: float = 0.5, sigmas: float = 3.0) -> DataFrame:
+    """The rows of docs that pass the base rules and come from hosts that aren't rejected."""
+    hosts = judge_hosts(judge_documents(docs, host), limit, sigmas).where("rejected").select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
+    hosts = materialize(hosts, f"{work_dir(spark, 'quality')}/rejected")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for text in batch.column("text").to_pylist():
+                n, _, _, _, repeated = counts_of(text)
+                good.append(n >= 20 and 100 * repeated <= 30 * n)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    kept = docs.mapInArrow(each, docs.schema)
+    return kept.join(hosts.select("_host"), kept[host].cast("string").eqNullSafe(F.col("_host")), "left_anti")
 
 
 def judge_hosts(judged: DataFrame, limit: float = 0.5, sigmas: float = 3.0) -> DataFrame:

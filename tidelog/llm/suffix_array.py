@@ -300,16 +300,16 @@ def covered_bytes(spark: SparkSession, manifest: DataFrame, folder: str, owners_
     return bits.union(runs.where("digest is null").select("block", "data", F.lit(1).alias("kind"))).union(late.withColumn("kind", F.lit(1)))
 
 
-def finish(manifest: DataFrame, covered: DataFrame, result: Callable[[BlockText, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+def finish(manifest: DataFrame, covered: DataFrame, result: Callable[[BlockText, np.ndarray], pa.Table], schema) -> DataFrame:
     """``result`` of each block and its covered bytes."""
 
-    def each(listed: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def each(listed: pa.Table, found: pa.Table) -> pa.Table:
         out = []
-        for path in listed["path"]:
+        for path in listed["path"].to_pylist():
             b = BlockText(path)
             change = np.zeros(len(b.data) + 1, np.int32)
             gone = np.zeros(len(b.data), bool)
-            for kind, data in zip(found["kind"], found["data"]):
+            for kind, data in zip(found["kind"].to_pylist(), found["data"].to_pylist()):
                 if kind:
                     starts = np.frombuffer(data, "<i8")
                     np.add.at(change, starts, 1)
@@ -317,15 +317,15 @@ def finish(manifest: DataFrame, covered: DataFrame, result: Callable[[BlockText,
                 else:
                     gone |= np.unpackbits(np.frombuffer(data, np.uint8), count=len(gone)).astype(bool)
             out.append(result(b, gone | (np.cumsum(change[:-1]) > 0)))
-        return pd.concat(out) if out else pd.DataFrame()
+        return pa.concat_tables(out)
 
-    return manifest.select("block", "path").groupBy("block").cogroup(covered.groupBy("block")).applyInPandas(each, schema)
+    return manifest.select("block", "path").groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(each, schema)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def digest_rows(b: BlockText, gone: np.ndarray) -> pd.DataFrame:
+def digest_rows(b: BlockText, gone: np.ndarray) -> pa.Table:
     rows = []
     for i, doc_id in enumerate(b.table["doc_id"].to_pylist()):
         a, e = int(b.starts[i]), int(b.starts[i + 1])
@@ -333,7 +333,8 @@ def digest_rows(b: BlockText, gone: np.ndarray) -> pd.DataFrame:
         spans = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum())
         kept = b.data[a:e] if not spans else b.bytes[a:e][~g].tobytes()
         rows.append((doc_id, e - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")]).astype({"doc_id": "Int64"})
+    types = [pa.int64()] * 4 + [pa.string()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=[c.split()[0] for c in DIGEST.split(", ")])
 
 
 def removal_digest(spark: SparkSession, docs: DataFrame, block_bytes: int | None = None, owners_of_a_sort: int = OWNERS) -> DataFrame:
@@ -341,3 +342,36 @@ def removal_digest(spark: SparkSession, docs: DataFrame, block_bytes: int | None
     folder = work_dir(spark, "suffix-array")
     manifest = write_blocks(docs.select("doc_id", "text"), f"{folder}/blocks", **({"block_bytes": block_bytes} if block_bytes else {}))
     return finish(manifest, covered_bytes(spark, manifest, folder, owners_of_a_sort), digest_rows, DIGEST)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """The rows of docs with what is covered taken out of their texts; a character that is covered in part stays.
+
+    n_chars, where there is such a column, follows the text.
+    """
+    folder, schema = work_dir(spark, "suffix-array"), docs.schema
+    manifest = write_blocks(docs, f"{folder}/blocks", **({"block_bytes": block_bytes} if block_bytes else {}))
+    covered = covered_bytes(spark, manifest, folder)
+
+    def kept(b: BlockText, gone: np.ndarray) -> pa.Table:
+        """Each run of covered bytes shrinks to whole characters."""
+        tail = (b.bytes & 0xC0) == 0x80
+        first = ~tail
+        whole = gone.copy()
+        if len(gone):
+            at = np.flatnonzero(first)
+            lengths = np.diff(np.append(at, len(gone)))
+            whole = np.repeat(np.add.reduceat(gone.astype(np.int64), at) == lengths, lengths)
+        old, texts = b.table["text"].to_pylist(), []
+        for i, text in enumerate(old):
+            a, e = int(b.starts[i]), int(b.starts[i + 1])
+            g = whole[a:e]
+            texts.append(b.bytes[a:e][~g].tobytes().decode() if g.any() else text)
+        out = b.table.set_column(b.table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        if "n_chars" in out.column_names:
+            field = out.schema.field("n_chars")
+            sizes = [n if t == o else len(t) for n, t, o in zip(out["n_chars"].to_pylist(), texts, old)]
+            out = out.set_column(out.schema.get_field_index("n_chars"), field, pa.array(sizes, field.type))
+        return out
+
+    return finish(manifest, covered, kept, schema)

@@ -311,21 +311,31 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int
     return ToxicityModel(lexicon, *fit_logistic(x, y))
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, *more: str) -> DataFrame:
-    """(doc_id, ..., score) of every document; the columns named in ``more`` pass through."""
+def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(doc_id, score) of every document."""
     parts = (model.lexicon.terms, model.lexicon.clean, model.weights, model.center, model.scale)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, clean, weights, center, scale = parts
         mine = ToxicityModel(Lexicon(terms, clean), weights, center, scale)
         for batch in batches:
-            scores = pa.array([mine.score(t or "") for t in batch.column("text").to_pylist()], pa.float64())
-            keep = [n for n in batch.schema.names if n != "text" or "text" in more]
-            yield pa.record_batch([*(batch.column(n) for n in keep), scores], names=[*keep, "score"])
+            yield pa.record_batch([batch.column(0), pa.array([mine.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    source = docs.select(*dict.fromkeys(("doc_id", "text", *more)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text" or "text" in more)
-    return source.mapInArrow(each, f"{schema}, score double")
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, score double")
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, limit: float = 0.5) -> DataFrame:
+    """The rows of docs with a score under the limit."""
+    model = fit(docs, labels, held_out_fold)
+    parts = (model.lexicon.terms, model.lexicon.clean, model.weights, model.center, model.scale)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, clean, weights, center, scale = parts
+        mine = ToxicityModel(Lexicon(terms, clean), weights, center, scale)
+        for batch in batches:
+            yield batch.filter(pa.array([mine.score(t or "") < limit for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int = SAMPLE) -> DataFrame:
