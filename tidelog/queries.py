@@ -1,6 +1,427 @@
-"""Queries over the driver's tables, one for each operator, and the DuckDB SQL that gives the same rows."""
+"""Queries over the driver's tables, one for each operator, and the DuckDB SQL that gives the same rows.
+
+``events`` is the workload (errors delete, views get, the rest put); ``orders`` gives runs of unique keys.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import atexit
+import shutil
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.config import StoreConfig
+from tidelog.functions.bloom import build_filter, filter_size, might_contain, positions
+from tidelog.functions.parsing import PARSERS
+from tidelog.operators.lookup import consulted, get_many, get_many_or_fail, has_many
+from tidelog.operators.merge import buffered, latest_wins, merge_runs, run_metadata
+from tidelog.operators.replay import asof_reads, mutations, reads_map, sequenced, summary
+from tidelog.plans.compaction import SizeTieredPolicy
+from tidelog.registry import StoreRegistry
+from tidelog.schema import ENTRY
+from tidelog.sources.operations import TextSource
+from tidelog.sources.runs import Run
+from tidelog.streaming.ingest import event_operations, ingest_stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The workload in SQL.
+OPS = """ops as (select event_id as pos, concat('user:', cast(user_id as varchar)) as key,
+  case event_type when 'error' then 'delete' when 'view' then 'get' else 'put' end as op,
+  case when event_type in ('error', 'view') then null else concat(event_type, ':', cast(event_id as varchar)) end as value from events),
+muts as (select key, value, pos, row_number() over (order by pos) as sequence from ops where op <> 'get'),
+newest as (select key, value, sequence, pos from (select *, row_number() over (partition by key order by sequence desc) as r from muts) where r = 1),
+live as (select key, value from newest where value is not null)"""
+ORDER_RUNS = """entries as (select concat('order:', lpad(cast(o_orderkey as varchar), 9, '0')) as key, row_number() over (order by o_orderkey) as sequence from orders),
+runs as (select cast(floor((sequence - 1) / 1000) as bigint) as run, count(*) as count, min(key) as min_key, max(key) as max_key, max(sequence) as max_sequence from entries group by 1)"""
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query and its SQL."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_operations(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workload's mutations with their sequence numbers."""
+    return sequenced(mutations(workload(spark, sf_dir)).select("pos", "key", "value"), "pos")
+
+
+def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("order:"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("key"), F.lit("").alias("value"))
+    return sequenced(keys, "o_orderkey")
+
+
+def stores(spark: SparkSession, **settings) -> StoreRegistry:
+    """A registry under the folder that the cluster shares, or one of this process's own."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = tempfile.mkdtemp(prefix="tidelog-stores-")
+    atexit.register(shutil.rmtree, base, True)
+    root = f"{shared.rstrip('/')}/{base.rsplit('/', 1)[-1]}" if shared else f"file://{base}"
+    common = {"options": {"local_dir": base}, "sync_wal": False} | settings
+    return StoreRegistry(spark, root, {"primary": dict(common), "archive": dict(common)})
+
+
+# -- merges
+
+
+@query(f"with {OPS} select key, value, sequence from newest")
+def merge_keep(spark, sf_dir):
+    """The newest version of every key, tombstones included."""
+    return latest_wins(versions(spark, sf_dir).select("key", "value", "sequence"))
+
+
+@query(f"with {OPS} select key, value, sequence from newest where value is not null")
+def merge_drop(spark, sf_dir):
+    """The newest version of every live key."""
+    return latest_wins(versions(spark, sf_dir).select("key", "value", "sequence"), drop_tombstones=True)
+
+
+@query(f"with {OPS} select key, sequence from newest where value is null")
+def tombstones(spark, sf_dir):
+    """Keys whose newest version is a delete."""
+    return latest_wins(versions(spark, sf_dir).select("key", "value", "sequence")).where("value is null").select("key", "sequence")
+
+
+@query(f"with {OPS} select key, concat(value, '/new') as value, sequence from newest where value is not null")
+def merge_tie(spark, sf_dir):
+    """Two runs with the same sequence numbers: the newer run's values stay."""
+    entries = versions(spark, sf_dir).select("key", "value", "sequence")
+    return merge_runs([entries.withColumn("value", F.concat("value", F.lit("/new"))), entries.withColumn("value", F.concat("value", F.lit("/old")))], drop_tombstones=True)
+
+
+@query(f"with {OPS} select key, value, sequence from newest")
+def merge_two_stage(spark, sf_dir):
+    """Merging merged runs gives what merging all runs at once gives."""
+    entries = versions(spark, sf_dir).select("key", "value", "sequence")
+    thirds = [entries.where(F.col("sequence") % 3 == i) for i in range(3)]
+    return merge_runs([merge_runs(thirds[:2]), thirds[2]])
+
+
+@query(f"with {OPS} select key, value, pos from newest")
+def buffer_contents(spark, sf_dir):
+    """What an unbounded buffer holds: the last to arrive for each key."""
+    return buffered(mutations(workload(spark, sf_dir)).select("pos", "key", "value")).select("key", "value", "pos")
+
+
+# -- workloads
+
+
+_ASOF = f"""with {OPS},
+last as (select pos, key, op, max(case when op <> 'get' then pos end) over (partition by key order by pos rows between unbounded preceding and 1 preceding) as before from ops)
+select l.pos, l.key, m.value from last l left join muts m on m.pos = l.before where l.op = 'get'"""
+
+
+@query(_ASOF)
+def asof_get(spark, sf_dir):
+    """Each get's answer as of its position."""
+    return asof_reads(workload(spark, sf_dir))
+
+
+@query(_ASOF + " and l.pos >= (select max(event_id) / 2 from events)")
+def asof_get_over_base(spark, sf_dir):
+    """The second half of the workload on the store that the first half leaves."""
+    ops = workload(spark, sf_dir)
+    half = ops.agg((F.max("pos") / 2).alias("half")).first()["half"]
+    first = mutations(ops.where(F.col("pos") < half)).select("key", "value", F.col("pos").alias("sequence"))
+    return asof_reads(ops.where(F.col("pos") >= half), latest_wins(first, True).select("key", "value"))
+
+
+@query(f"with {OPS} select sum(case when op = 'put' then 1 else 0 end)::bigint as puts, sum(case when op = 'delete' then 1 else 0 end)::bigint as deletes, sum(case when op = 'get' then 1 else 0 end)::bigint as gets, count(*) as total from ops")
+def run_summary(spark, sf_dir):
+    """Operations by kind."""
+    return summary(workload(spark, sf_dir))
+
+
+@query(f"""select key, value from (select *, row_number() over (partition by key order by pos desc) as r from ({_ASOF})) where r = 1""")
+def reads_of_workload(spark, sf_dir):
+    """The last answer that each key's gets had."""
+    return reads_map(asof_reads(workload(spark, sf_dir)))
+
+
+# -- lookups
+
+
+def asked_keys(spark, sf_dir):
+    """Keys of customers, some of which the store has."""
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
+
+
+_ASKED = "asked as (select distinct concat('user:', cast(c_custkey as varchar)) as key from customer)"
+
+
+def live_view(spark, sf_dir):
+    return merge_drop(spark, sf_dir).select("key", "value")
+
+
+@query(f"with {OPS}, {_ASKED} select a.key, l.value from asked a left join live l on l.key = a.key")
+def batch_get(spark, sf_dir):
+    """The value of each asked key, null where there is none."""
+    return get_many(live_view(spark, sf_dir), asked_keys(spark, sf_dir))
+
+
+@query(f"with {OPS}, {_ASKED} select a.key from asked a where a.key in (select key from live)")
+def batch_has(spark, sf_dir):
+    """The asked keys that are live."""
+    return has_many(live_view(spark, sf_dir), asked_keys(spark, sf_dir))
+
+
+@query(f"with {OPS} select key, value from live")
+def batch_get_or_fail(spark, sf_dir):
+    """Values of keys that are all there."""
+    view = live_view(spark, sf_dir)
+    return get_many_or_fail(view, view.select("key"))
+
+
+# -- runs
+
+
+def order_runs(spark, sf_dir):
+    entries = order_entries(spark, sf_dir).withColumn("run", F.floor((F.col("sequence") - 1) / 1000).cast("long"))
+    return run_metadata(entries, "run")
+
+
+@query(f"with {ORDER_RUNS} select * from runs")
+def runs_meta(spark, sf_dir):
+    """Metadata of the runs that 1000 orders each make."""
+    return order_runs(spark, sf_dir)
+
+
+_PROBES = "probes as (select distinct concat('order:', lpad(cast(c_custkey * 7 as varchar), 9, '0')) as key from customer)"
+
+
+@query(f"with {ORDER_RUNS}, {_PROBES} select p.key, count(r.run) as runs from probes p left join runs r on p.key between r.min_key and r.max_key group by 1")
+def range_prune(spark, sf_dir):
+    """How many runs' ranges hold each asked key."""
+    probes = table(spark, sf_dir, "customer").select(F.concat(F.lit("order:"), F.lpad((F.col("c_custkey") * 7).cast("string"), 9, "0")).alias("key"))
+    return consulted(order_runs(spark, sf_dir).withColumn("run_id", F.col("run").cast("string")), probes)
+
+
+# -- filters
+
+
+@query(f"with {ORDER_RUNS} select count(*) as keys, cast(0 as bigint) as denied, true as few_false from entries")
+def bloom_filter(spark, sf_dir):
+    """A filter of all orders denies none of them, and lets through few keys that aren't there."""
+    entries = order_entries(spark, sf_dir).select("key").persist()
+    n = entries.count()
+    f = build_filter(entries, n, 10, 7)
+    shared = spark.sparkContext.broadcast(f)  # ten bits a key, as asked for
+    test = F.udf(lambda k: shared.value.might_contain(k), "boolean")
+    probes = entries.select(F.lit(1).alias("there"), "key").union(entries.select(F.lit(0), F.concat(F.lit("absent-"), "key")))
+    seen = probes.withColumn("maybe", test("key"))
+    out = seen.agg(F.sum("there").alias("keys"), F.sum(F.when((F.col("there") == 1) & ~F.col("maybe"), 1).otherwise(0)).cast("long").alias("denied"), (F.avg(F.when(F.col("there") == 0, F.col("maybe").cast("int"))) < 0.1).alias("few_false"))
+    return out
+
+
+@query("select concat('nation-', cast(n_nationkey as varchar)) as key, cast(7 as bigint) as bits, true as inside, true as found from nation")
+def bloom_positions(spark, sf_dir):
+    """Positions of keys: seven of them, inside the filter, and found by the test of the same expression."""
+    key = F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string"))
+    p = table(spark, sf_dir, "nation").select(key.alias("key"), positions(key, 250, 7).alias("p"))
+    return p.select("key", F.size("p").cast("long").alias("bits"), F.forall("p", lambda x: (x >= 0) & (x < 250)).alias("inside"), might_contain(F.col("p"), F.col("key"), 250, 7).alias("found"))
+
+
+@query(f"with {ORDER_RUNS} select run, greatest(64, count * 10) as bits, cast(7 as bigint) as hashes from runs")
+def bloom_sizing(spark, sf_dir):
+    """Size of the filter of each run of orders, and hashes for ten bits a key."""
+    rows = [(r["run"], filter_size(r["count"], 10), StoreConfig(bits_per_key=10).hashes) for r in order_runs(spark, sf_dir).collect()]  # a row for each run
+    return spark.createDataFrame(rows, "run long, bits long, hashes long")
+
+
+# -- parsers
+
+
+def _parsed(lines: DataFrame, format: str) -> DataFrame:
+    return lines.select("pos", PARSERS[format](F.col("line")).alias("p")).where("not p.skip").select("pos", "p.op", "p.key", "p.value", "p.error")
+
+
+@query("""select event_id as pos, case event_id % 5 when 4 then 'get' else 'put' end as op, concat(' k', cast(user_id as varchar)) as key,
+case event_id % 5 when 0 then event_type when 1 then cast(event_id as varchar) when 2 then '1' when 3 then '' end as value, cast(null as varchar) as error from events""")
+def parse_json(spark, sf_dir):
+    """JSON lines with text, numbers, true and false as values; keys keep their spaces, types don't."""
+    n = F.col("event_id") % 5
+    value = F.when(n == 0, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).when(n == 1, F.concat(F.col("event_id").cast("string"), F.lit(".0"))).when(n == 2, "true").when(n == 3, "false").otherwise('{"a": 1}')
+    op = F.when(n == 4, " GET ").otherwise("Put")
+    line = F.concat(F.lit('  {"type": "'), op, F.lit('", "key": " k'), F.col("user_id").cast("string"), F.lit('", "value": '), value, F.lit("}"))
+    return _parsed(table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), line.alias("line")), "jsonl")
+
+
+def _separated(spark, sf_dir, sep):
+    n = F.col("event_id") % 4
+    quoted = F.concat(F.lit('"'), F.col("event_type"), F.lit(f'{sep}""x"""'))
+    op = F.when(n == 3, "delete").when(n == 2, "get").otherwise(" PUT ")
+    line = F.concat(op, F.lit(f"{sep} k"), F.col("user_id").cast("string"), F.lit(f" {sep}"), F.when(n == 0, quoted).when(n == 1, F.col("event_type")).otherwise(""), F.lit("\r"))
+    lines = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), line.alias("line"))
+    return lines.union(spark.createDataFrame([(-1, f"type{sep}key{sep}value"), (-2, "   ")], "pos long, line string"))
+
+
+def _separated_sql(sep):
+    return f"""select event_id as pos, case event_id % 4 when 3 then 'delete' when 2 then 'get' else 'put' end as op, concat('k', cast(user_id as varchar)) as key,
+case event_id % 4 when 0 then concat(event_type, {sep}, '"x"') when 1 then event_type end as value, cast(null as varchar) as error from events"""
+
+
+@query(_separated_sql("','"))
+def parse_csv(spark, sf_dir):
+    """Comma-separated lines with quotes, a header and a blank line."""
+    return _parsed(_separated(spark, sf_dir, ","), "csv")
+
+
+@query(_separated_sql("chr(9)"))
+def parse_tsv(spark, sf_dir):
+    """The same with tabs."""
+    return _parsed(_separated(spark, sf_dir, "\t"), "tsv")
+
+
+@query("""select event_id as pos, case event_id % 6 when 0 then 'not valid JSON' when 1 then 'type and key are needed' when 2 then 'unknown operation upsert' when 3 then 'the key is empty' when 4 then 'a put needs a value' end as error from events""")
+def parse_errors(spark, sf_dir):
+    """What is wrong with each kind of bad line."""
+    n = F.col("event_id") % 6
+    line = F.when(n == 0, "{not json").when(n == 1, '{"type": "put"}').when(n == 2, '{"type": "upsert", "key": "a"}').when(n == 3, '{"type": "get", "key": ""}').when(n == 4, '{"type": "put", "key": "a", "value": {"b": 1}}').otherwise('{"type": "delete", "key": "a"}')
+    return _parsed(table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), line.alias("line")), "json").select("pos", "error")
+
+
+# -- the engine
+
+
+@query(f"with {OPS} select key, value from live")
+def engine_view(spark, sf_dir):
+    """The live view after four ingested batches and the compactions that they set off."""
+    engine = stores(spark, max_runs_per_level=2, bottom_level=1).store()
+    changes = mutations(workload(spark, sf_dir)).select("pos", "key", "value")
+    step = changes.agg(F.max("pos")).first()[0] // 4 + 1
+    for i in range(4):
+        engine.ingest(changes.where(F.col("pos").between(i * step, (i + 1) * step - 1)))
+    return engine.view()
+
+
+@query(f"with {OPS} select (select count(*) from muts) as sequence, cast(0 as bigint) as buffered, cast(1000 as bigint) as buffer_capacity, cast(1 as bigint) as runs, cast(0 as bigint) as wal_entries, cast(1 as bigint) as read_amplification")
+def engine_statistics(spark, sf_dir):
+    """Statistics after one ingested batch."""
+    engine = stores(spark).store()
+    engine.ingest(mutations(workload(spark, sf_dir)).select("pos", "key", "value"))
+    return engine.statistics().table(spark).select("sequence", "buffered", "buffer_capacity", "runs", "wal_entries", "read_amplification")
+
+
+@query(f"with {OPS}, few as (select * from muts where sequence <= 60) select key, value, sequence from (select *, row_number() over (partition by key order by sequence desc) as r from few) where r = 1")
+def wal_recovery(spark, sf_dir):
+    """Sixty writes, one by one, read by another engine after a restart: from the log and from sealed runs."""
+    registry = stores(spark, buffer_capacity=25)
+    engine = registry.store()
+    for r in versions(spark, sf_dir).where("sequence <= 60").orderBy("sequence").collect():  # sixty rows
+        engine.put(r["key"], r["value"]) if r["value"] is not None else engine.delete(r["key"])
+    registry.purge()
+    return registry.store().entries()
+
+
+@query(f"with {OPS} select key, value from live")
+def stream_view(spark, sf_dir):
+    """The live view after the workload came in as a stream."""
+    registry = stores(spark)
+    engine = registry.store()
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    ingest_stream(engine, event_operations(events), f"{registry.root}/stream-checkpoint", "events").awaitTermination()
+    return engine.view()
+
+
+@query(f"with {OPS} select key, value from live")
+def import_view(spark, sf_dir):
+    """The live view after the workload was imported from JSON lines."""
+    registry = stores(spark)
+    path = f"{registry.root}/ops.jsonl"
+    lines = workload(spark, sf_dir).orderBy("pos").select(F.to_json(F.struct(F.col("op").alias("type"), "key", "value")).alias("value"))
+    lines.coalesce(1).write.text(path)
+    registry.store().replay(TextSource(spark, path, "jsonl").operations())
+    return registry.view()
+
+
+@query(f"with {OPS} select 'primary' as store, key, value from live union all select 'archive', key, concat('old ', value) from live")
+def store_isolation(spark, sf_dir):
+    """The same keys in two stores."""
+    registry, live = stores(spark), live_view(spark, sf_dir)
+    out = []
+    for name, value in (("primary", F.col("value")), ("archive", F.concat(F.lit("old "), F.col("value")))):
+        registry.store(name).ingest(live.select(F.monotonically_increasing_id().alias("pos"), "key", value.alias("value")))
+        out.append(registry.store(name).view().select(F.lit(name).alias("store"), "key", "value"))
+    return out[0].union(out[1])
+
+
+@query(f"with {OPS}, {_ASKED} select a.key, l.value from asked a left join live l on l.key = a.key where a.key in ('user:1', 'user:2', 'user:3', 'user:1400')")
+def point_get(spark, sf_dir):
+    """Reads of single keys."""
+    engine = stores(spark).store()
+    engine.ingest(mutations(workload(spark, sf_dir)).select("pos", "key", "value"))
+    asked = [r["key"] for r in asked_keys(spark, sf_dir).distinct().where(F.col("key").isin("user:1", "user:2", "user:3", "user:1400")).collect()]  # four keys
+    return spark.createDataFrame([(k, engine.get(k)) for k in asked], "key string, value string")
+
+
+@query(f"with {OPS} select key, value from live where key >= 'user:10' and key < 'user:12'")
+def range_scan(spark, sf_dir):
+    """Live keys in a range, an extension."""
+    engine = stores(spark).store()
+    engine.ingest(mutations(workload(spark, sf_dir)).select("pos", "key", "value"))
+    return engine.scan("user:10", "user:12")
+
+
+@query("""select cast(a.i as bigint) as l0, cast(b.i as bigint) as l1, cast(c.i as bigint) as l2,
+  cast(case when a.i >= 3 then 0 when b.i >= 3 then 1 when c.i >= 3 then 2 end as bigint) as source,
+  cast(case when a.i >= 3 then 1 when b.i >= 3 then 2 when c.i >= 3 then 2 end as bigint) as target,
+  case when a.i >= 3 or b.i >= 3 then false when c.i >= 3 then true end as drops
+from range(0, 5) a(i), range(0, 5) b(i), range(0, 5) c(i)""")
+def compaction_policy(spark, sf_dir):
+    """What the size-tiered policy decides for every filling of three levels."""
+    policy, rows = SizeTieredPolicy(3, 2), []
+    for a in range(5):
+        for b in range(5):
+            for c in range(5):
+                levels = {n: [Run(f"{n}-{i}", n, i, 1, "a", "b", 1) for i in range(k)] for n, k in enumerate((a, b, c)) if k}
+                plan = policy(levels)
+                rows.append((a, b, c, *((plan.inputs[0].level, plan.target_level, plan.drop_tombstones) if plan else (None, None, None))))
+    return spark.createDataFrame(rows, "l0 long, l1 long, l2 long, source long, target long, drops boolean")
+
+
+@query("select cast(1 as bigint) as removed, cast(1 as bigint) as runs, cast(3 as bigint) as live")
+def prune_orphans(spark, sf_dir):
+    """A run that no manifest names is not read, and is removed."""
+    engine = stores(spark).store()
+    entries = table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("key"), F.lit("x").alias("value"))
+    engine.ingest(entries)
+    engine.runs.write(spark.createDataFrame([("orphan", "x", 99)], ENTRY), 0, 1)
+    return spark.createDataFrame([(engine.prune(), engine.runs.count(), engine.view().count())], "removed long, runs long, live long")
+
+
+@query(f"with {OPS} select (select count(*) from muts) + 1 as next")
+def sequence_resume(spark, sf_dir):
+    """The first sequence number after a restart."""
+    registry = stores(spark)
+    registry.store().ingest(mutations(workload(spark, sf_dir)).select("pos", "key", "value"))
+    registry.purge()
+    return spark.createDataFrame([(registry.store().sequence.next(),)], "next long")
+
+
+@query("select cast(level as integer) as level, cast(n as bigint) as runs from (values (0, 1), (1, 1)) t(level, n)")
+def levels(spark, sf_dir):
+    """Runs by level after three batches, with two runs a level at most: two merged, one fresh."""
+    engine = stores(spark, max_runs_per_level=2, bottom_level=2).store()
+    changes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("key"), F.lit("x").alias("value"))
+    for i in range(3):
+        engine.ingest(changes.where(F.col("pos") % 3 == i))
+    return engine.levels().groupBy("level").agg(F.count("*").alias("runs"))
