@@ -5,9 +5,10 @@ Forward Viterbi gives the best score of reaching each place from the left.  Sear
 score is exactly what the rest of a path can still gain, so A-star with it takes complete paths off its queue in the
 order of their scores, and never looks at a path that isn't among the best.
 
-No piece crosses the start of a word, so the lattice of a text is a chain of the lattices of its words: each distinct
-word is searched once, and the best choices for a text follow from the words' alternatives with the smallest losses.
-Among equal scores the order is fixed: a word's ways in the order in which the search meets them, and of words that
+Where two neighbouring characters stand together in no piece, no path goes across.  So the lattice of a text is a chain
+of small ones.  The n best paths of a text differ from the best one in the n - 1 parts whose second best path loses
+least, and that loss is known from forward and backward scores: only those parts are searched.
+Among equal scores the order is fixed: a word's ways in the order in which the search meets them, and of parts that
 lose equally the earlier one changes first.
 
 Corner cases: a null or empty text has one segmentation without pieces; a text with fewer segmentations than asked
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from tidelog.llm.shared import texts
 
-#: Words kept in a process's cache, and the longest that is kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 60
+#: Words kept in each of a process's two caches, and the longest that is kept.
+CACHE_WORDS, CACHE_CHARS = 150_000, 60
 #: What a character without a piece loses against the worst piece.
 UNKNOWN_LOSS = 10.0
 SPACE = "▁"
@@ -55,43 +56,83 @@ class PieceLattice:
         # pieces that only spell runs of spaces have no rank of their own; they weigh as much as the worst one
         self.pieces = {self.text[i]: (max(m.get_score(i), floor), i) for i in every if i not in special}
         self.unknown = floor - UNKNOWN_LOSS
-        self.longest_from: dict[str, int] = {}  # the longest piece by its first two characters
+        self.beginnings: dict[str, tuple[float, int] | None] = {}  # of pieces: the piece, if it is one
         for p in self.pieces:
-            self.longest_from[p[:2]] = max(len(p), self.longest_from.get(p[:2], 1))
+            for end in range(1, len(p)):
+                self.beginnings.setdefault(p[:end])
+            self.beginnings[p] = self.pieces[p]
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         line = "" if any("\n" in p for p in self.pieces) else "\n"
         self.words = re.compile(r"(?s).+" if crossing else rf"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if line else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache: dict[str, tuple] = {}
+        self.inside = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}  # neighbours in some piece
+        self.recent: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        self.recent_parts: dict[str, tuple] = {}
+        self.older_parts: dict[str, tuple] = {}
 
     def _unknown_ids(self, char: str) -> tuple[int, ...]:
         found = [self.bytes.get(b) for b in char.encode("utf-8", "surrogatepass")]
         return (self.model.unk_id(),) if None in found else tuple(found)
 
+    def _forward(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
+        """The lattice's edges (from, score, id) by their end, and the best score of reaching each place."""
+        size, get = len(word), self.beginnings.get
+        into: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
+        best = [0.0] + [-1e300] * size
+        for start in range(size):
+            here = best[start]
+            p = get(word[start]) or (self.unknown, -1)
+            end = start + 1
+            while True:
+                if p:
+                    score, i = p
+                    into[end].append((start, score, i))
+                    if here + score > best[end]:
+                        best[end] = here + score
+                end += 1
+                if end > size or (p := get(word[start:end], 0)) == 0:
+                    break
+        return into, best
+
+    def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
+        """Score and ids of the best segmentation, and what the second best loses against it (infinite if there is none).
+
+        Another path has an edge that the best one hasn't; the best path through each such edge is known from the scores of
+        both its ends.  So the loss is found without searching the second path.
+        """
+        into, best = self._forward(word)
+        at, on, ids = len(word), {}, []
+        while at:
+            for edge in into[at]:
+                if best[edge[0]] + edge[1] == best[at]:
+                    break
+            on[at] = edge
+            ids.append(edge[2] if edge[2] >= 0 else self._unknown_ids(word[edge[0] : at]))
+            at = edge[0]
+        second, rest = -1e300, [-1e300] * len(word) + [0.0]
+        for at in range(len(word), 0, -1):
+            here, kept = rest[at], on.get(at)
+            for edge in into[at]:
+                start, through = edge[0], here + edge[1]
+                if through > rest[start]:
+                    rest[start] = through
+                if edge is not kept and best[start] + through > second:
+                    second = best[start] + through
+        flat: list[int] = []
+        for i in reversed(ids):
+            flat += (i,) if isinstance(i, int) else i
+        return best[-1], tuple(flat), best[-1] - second if second > -1e299 else float("inf")
+
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, best first.
 
         Each entry of the queue stands for a path of its own, worth just its key; so whatever is worth less than as many
         entries as are still wanted can go at once, and the queue never holds more than n.
         """
-        size, get, longest = len(word), self.pieces.get, self.longest_from.get
-        into: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]  # edges (from, score, id) by their end
-        best = [0.0] + [-1e300] * size
-        for start in range(size):
-            here = best[start]
-            if (p := get(word[start])) is None:
-                p = (self.unknown, -1)
-            end = start + 1
-            into[end].append((start, p[0], p[1]))
-            if here + p[0] > best[end]:
-                best[end] = here + p[0]
-            for end in range(start + 2, min(start + longest(word[start : start + 2], 1), size) + 1):
-                if (p := get(word[start:end])) is not None:
-                    into[end].append((start, p[0], p[1]))
-                    if here + p[0] > best[end]:
-                        best[end] = here + p[0]
+        into, best = self._forward(word)
         out: list[tuple[float, tuple[int, ...]]] = []
         # (negative of what the whole path gains, order of entry, place, gained so far, path behind it), sorted
-        queue: list[tuple] = [(-best[size], 0, size, 0.0, None)]
+        queue: list[tuple] = [(-best[-1], 0, len(word), 0.0, None)]
         entry = 0
         while queue and len(out) < n:
             _, _, at, gained, path = queue.pop(0)
@@ -112,16 +153,37 @@ class PieceLattice:
                         queue.pop()
         return out
 
-    def entry(self, word: str) -> tuple:
-        """(best score, ids, number of ids, loss of the second best, all)."""
-        found = self.cache.get(word)
+    def parts(self, word: str) -> list[str]:
+        """The word cut wherever no piece goes across: each part's lattice is apart."""
+        inside, at, out = self.inside, 0, []
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in inside:
+                out.append(word[at:i])
+                at = i
+        out.append(word[at:])
+        return out
+
+    def entries(self, word: str) -> tuple:
+        """(best score, ids, loss of the second best, part) of each part of a word."""
+        found = self.recent.get(word)
         if found is None:
-            ways = [(s, struct.pack(f"<{len(ids)}I", *ids)) for s, ids in self.nbest(word, self.n)]
-            found = (ways[0][0], ways[0][1], ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf"), ways)
+            found = self.older.get(word)
+            if found is None:
+                out = []
+                for part in self.parts(word):
+                    entry = self.recent_parts.get(part) or self.older_parts.get(part)
+                    if entry is None:
+                        score, ids, loss = self.best(part)
+                        entry = (score, struct.pack(f"<{len(ids)}I", *ids), loss, part)
+                    if len(part) <= CACHE_CHARS:
+                        self.recent_parts[part] = entry
+                    out.append(entry)
+                found = tuple(out)
             if len(word) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = found
+                self.recent[word] = found
+                if len(self.recent) >= CACHE_WORDS:  # what was used lately outlives the change
+                    self.older, self.recent = self.recent, {}
+                    self.older_parts, self.recent_parts = self.recent_parts, {}
         return found
 
     def normalize(self, text: str) -> str:
@@ -129,17 +191,21 @@ class PieceLattice:
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """(score, ids as little-endian unsigned 32-bit integers) of the n best segmentations of a text."""
-        entries = [self.entry(w) for w in self.words.findall(self.normalize(text))]
+        recent, look = self.recent.get, self.entries
+        found = [recent(w) or look(w) for w in self.words.findall(self.normalize(text))]
+        entries = [e for some in found for e in some]
         ids = [e[1] for e in entries]
         total = sum([e[0] for e in entries])
-        # whichever the n best are, they differ from the best in the n - 1 words that lose least
-        change = heapq.nsmallest(self.n - 1, [(e[2], i) for i, e in enumerate(entries) if len(e[3]) > 1]) if self.n > 1 else []
-        choices = [range(len(entries[i][3])) for _, i in change]
-        ways = sorted((sum([entries[i][3][0][0] - entries[i][3][c][0] for c, (_, i) in zip(way, change)]), way) for way in product(*choices))
+        if self.n == 1:
+            return [(total, b"".join(ids))]
+        # whichever the n best are, they differ from the best in the n - 1 parts that lose least; only those are searched
+        change = heapq.nsmallest(self.n - 1, [(e[2], i) for i, e in enumerate(entries) if e[2] < 1e300])
+        ways_of = [self.nbest(entries[i][3], self.n) for _, i in change]
+        ways = sorted((sum([w[0][0] - w[c][0] for c, w in zip(way, ways_of)]), way) for way in product(*[range(len(w)) for w in ways_of]))
         out = []
         for loss, way in ways[: self.n]:
-            for c, (_, i) in zip(way, change):
-                ids[i] = entries[i][3][c][1]
+            for c, (_, i), w in zip(way, change, ways_of):
+                ids[i] = struct.pack(f"<{len(w[c][1])}I", *w[c][1])
             out.append((total - loss, b"".join(ids)))
         return out
 
