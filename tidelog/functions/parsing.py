@@ -17,7 +17,11 @@ from tidelog.schema import DELETE, GET, PUT
 OPERATIONS = (PUT, DELETE, GET)
 #: Nesting that a JSON line may have.
 DEPTH = 8
-_BLANKS = " \t\n\r\x0b\x00"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used; keeps generated code small."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _trim(c: Column) -> Column:
@@ -39,8 +43,7 @@ def _checked(skip: Column, kind: Column, key: Column, value: Column, broken: Col
 
 def _scalar(variant: Column, path: str) -> Column:
     """A scalar as text: true is 1, false is empty, a whole number has no fraction; objects, arrays and null are null."""
-    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
-    text = F.try_variant_get(variant, path, "string")
+    kind, text = F.schema_of_variant(F.try_variant_get(variant, path, "variant")), F.try_variant_get(variant, path, "string")
     number = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     whole = F.try_variant_get(variant, path, "double")
     floating = F.when((whole == F.floor(whole)) & (F.abs(whole) < 1e15), F.floor(whole).cast("string")).otherwise(number)
@@ -57,24 +60,33 @@ def _too_deep(line: Column) -> Column:
 
 def json_line(line: Column) -> Column:
     """{"type": ..., "key": ..., "value": ...}; the key isn't trimmed."""
-    text = _trim(line)
-    skip = text == ""
-    variant = F.try_parse_json(text)
-    kind, key = _scalar(variant, "$.type"), _scalar(variant, "$.key")
-    broken = F.when(variant.isNull(), F.lit("not valid JSON")).when(_too_deep(text), F.lit("nested too deeply")).when(kind.isNull() | key.isNull(), F.lit("type and key are needed"))
-    return _checked(skip, kind, key, _scalar(variant, "$.value"), broken)
+
+    def fields(text: Column, variant: Column) -> Column:
+        return F.struct(text.alias("text"), variant.isNull().alias("broken"), _scalar(variant, "$.type").alias("type"), _scalar(variant, "$.key").alias("key"), _scalar(variant, "$.value").alias("value"))
+
+    def judged(p: Column) -> Column:
+        broken = F.when(p["broken"], F.lit("not valid JSON")).when(_too_deep(p["text"]), F.lit("nested too deeply")).when(p["type"].isNull() | p["key"].isNull(), F.lit("type and key are needed"))
+        return _let(F.struct((p["text"] == "").alias("skip"), broken.alias("broken")), lambda q: _checked(q["skip"], p["type"], p["key"], p["value"], q["broken"]))
+
+    return _let(_trim(line), lambda text: _let(F.try_parse_json(text), lambda variant: _let(fields(text, variant), judged)))
 
 
 def separated_line(separator: str) -> Callable[[Column], Column]:
     """type, key, value; quotes enclose, a doubled quote is one, nothing escapes.  A line whose type is "type" is a header."""
 
     def parse(line: Column) -> Column:
-        text = F.regexp_replace(line, r"[\r\n]+$", "")
-        fields = F.from_csv(text, "type string, key string, value string, rest string", {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-        kind, key = F.lower(_trim(fields["type"])), _trim(fields["key"])
-        skip = (_trim(text) == "") | F.coalesce(kind == "type", F.lit(False))
-        broken = F.when(kind.isNull(), F.lit("the type is missing")).when(key.isNull() | (key == ""), F.lit("the key is missing"))
-        return _checked(skip, kind, key, F.when(fields["value"] != "", fields["value"]), broken)
+        options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+        def judged(p: Column) -> Column:
+            skip = (_trim(p["text"]) == "") | F.coalesce(p["type"] == "type", F.lit(False))
+            broken = F.when(p["type"].isNull(), F.lit("the type is missing")).when(p["key"].isNull() | (p["key"] == ""), F.lit("the key is missing"))
+            return _let(F.struct(skip.alias("skip"), broken.alias("broken")), lambda q: _checked(q["skip"], p["type"], p["key"], F.when(p["value"] != "", p["value"]), q["broken"]))
+
+        def fields(text: Column) -> Column:
+            parsed = F.from_csv(text, "type string, key string, value string, rest string", options)
+            return _let(parsed, lambda f: _let(F.struct(text.alias("text"), F.lower(_trim(f["type"])).alias("type"), _trim(f["key"]).alias("key"), f["value"].alias("value")), judged))
+
+        return _let(F.regexp_replace(line, r"[\r\n]+$", ""), fields)
 
     return parse
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.schema import DELETE, GET, PUT
 
@@ -13,22 +14,31 @@ def mutations(ops: DataFrame) -> DataFrame:
     return ops.where(F.col("op") != GET).withColumn("value", F.when(F.col("op") == PUT, F.col("value")))
 
 
-def sequenced(ordered: DataFrame, by: str, base: int = 0) -> DataFrame:
+def sequenced(rows: DataFrame, by: str, base: int = 0, within: str | None = None) -> DataFrame:
     """With ``sequence`` counting from base + 1 without gaps in the order of ``by``.
 
-    A row_number over everything would put all rows in one task.  Here ranges are sorted apart, and each range begins where
-    those before it end; only the ranges' sizes come together.
+    A row_number over everything would put all rows in one task.  Here ranges of ``by`` are numbered apart, and each begins
+    where those before it end; only the ranges' sizes come together.  The ranges are those between quantiles of a number,
+    or the values of the column ``within``, which ``by`` must not cross.  Both passes place a row by its values alone, so
+    whatever is run again after a loss gets the same number.
     """
-    spark = ordered.sparkSession
-    dealt = ordered.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
-    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each range
+    spark = rows.sparkSession
+    if within is None:
+        n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        bounds = sorted(set(rows.agg(F.percentile_approx(by, [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []))
+        dealt = rows.withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(by))) if bounds else F.lit(0))
+    else:
+        dealt = rows.withColumn("_range", F.col(within))
+    sizes = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect())  # a row for each range
     starts, at = [], base
-    for part in sorted(sizes):
-        starts.append((part, at))
-        at += sizes[part]
-    table = spark.createDataFrame(starts, "_part int, _start long")
-    inside = F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)
-    return dealt.join(F.broadcast(table), "_part").withColumn("sequence", F.col("_start") + inside + 1).drop("_part", "_at", "_start")
+    for value, size in sizes:
+        starts.append((value, at))
+        at += size
+    field = dealt.schema["_range"].dataType
+    table = spark.createDataFrame(starts, T.StructType([T.StructField("_range", field), T.StructField("_start", T.LongType())]))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    numbered = dealt.withColumn("_at", inside).join(F.broadcast(table), "_range")
+    return numbered.withColumn("sequence", F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")
 
 
 def asof_reads(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:

@@ -54,9 +54,9 @@ class TextSource:
             raw = self.spark.read.text(self.path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
         except Exception as e:  # noqa: BLE001  Spark's analysis error names the path
             raise UnreadableSourceError(f"{self.path} can't be read: {str(e).splitlines()[0]}") from e
-        # within a block ids rise with the lines; blocks are ordered by file and start
-        placed = raw.withColumn("at", F.struct("f", "b", F.monotonically_increasing_id().alias("i")))
-        return sequenced(placed, "at").select(F.col("sequence").alias("pos"), F.col("value").alias("line"))
+        # blocks are ordered by file and start; within one, ids rise with the lines
+        placed = raw.select("value", F.struct("f", "b").alias("block"), F.monotonically_increasing_id().alias("i"))
+        return sequenced(placed, "i", within="block").select(F.col("sequence").alias("pos"), F.col("value").alias("line"))
 
     def parsed(self) -> DataFrame:
         """(pos, op, key, value, error) of all lines that aren't skipped."""
