@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.oracles import OP5, OP9
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,4 +93,4 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_suffix_tree, op3_suffix_array, op4_best_two_fit, op5_host_reputation, op6_simhash, op7_projection_forest, op8_toxicity, op9_host_quality, op10_nbest_pieces)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_host_reputation": OP5, "op9_host_quality": OP9}
