@@ -9,7 +9,7 @@ score.
 
 Corner cases: a null or empty text has no hits and gets the score of such documents; a document labelled twice is
 toxic if any label says so; null labels and null ids teach nothing; without a toxic or without a clean labelled
-document every score is the share of toxic labels (0 without any); other columns are ignored; an empty table gives no rows.
+document every score is 0, or NO_HIT if all are toxic; a text without a hit scores NO_HIT at most; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ MARKS = ".,;:!?()[]{}<>*#$%&|~_-–—…/\\+=^`@" + OPENING + CLOSING + EITHER
 WINDOW = 8
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 STATES = 100_000
+#: The most that a text without any hit scores: nothing in it speaks against it.
+NO_HIT = 0.49
 
 
 def errors_allowed(term: str) -> int:
@@ -159,7 +161,7 @@ class Lexicon:
             if hit is not None:
                 found.append((i, hit))
         if not found:
-            return [0.0, 0.0, 0.0, 0.0, math.log1p(len(words))]
+            return [0.0] * 5
         quoted = quotations(words)
         weights = [(0.25 if quoted[i] else 1.0) * (1.0 if e == 0 else 0.7) for i, (_, e) in found]
         left = 0
@@ -206,8 +208,9 @@ class ToxicityModel:
 
     def score(self, text: str) -> float:
         x = self.lexicon.features(text)
+        most = 1.0 if any(x) else NO_HIT
         z = self.weights[-1] + sum([w * (v - c) / s for w, v, c, s in zip(self.weights, x, self.center, self.scale)])
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+        return min(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), most)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[list[float], list[float], list[float]]:
