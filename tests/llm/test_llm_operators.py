@@ -86,9 +86,12 @@ def test_suffix_tree_states_are_distributions():
     codes, starts = suffix_tree.symbols(docs)
     assert len(codes) == starts[-1] == sum(sum(len(w) + 1 for w in d) + 1 for d in docs)
     codes, counts = suffix_tree.summed(codes, np.ones(len(codes), np.int64))
-    parts = dict(suffix_tree.tree_part(codes, counts, 2))
-    parts = {n: suffix_tree._unpack(p) for n, p in parts.items()}
-    tree = suffix_tree.SuffixTree.grown(parts[1], suffix_tree.summed(suffix_tree.shortened(codes, 2), counts), {n: parts[n] for n in range(3, suffix_tree.DEPTH + 1)}, 2)
+    parts: dict[int, list] = {}
+    for last in np.unique(codes >> np.uint64(8) & np.uint64(0xFFFFFF)):  # as the buckets do
+        mine = codes >> np.uint64(8) & np.uint64(0xFFFFFF) == last
+        for n, p in suffix_tree.tree_part(codes[mine], counts[mine], 2):
+            parts.setdefault(n, []).append(suffix_tree._unpack(p))
+    tree = suffix_tree.SuffixTree.grown({n: suffix_tree.summed(*(np.concatenate(x) for x in zip(*p))) for n, p in parts.items()}, 2)
     assert max(tree.levels) >= 3
     for context in np.unique(codes >> np.uint64(8))[::7]:
         p = 10.0 ** tree.log10((context << np.uint64(8)) + np.arange(256, dtype=np.uint64))

@@ -37,8 +37,12 @@ from tidelog.llm.shared import crc_mod5, materialize, texts, work_dir
 
 #: Longest context (the oldest symbol in the highest byte of a code), and how often a candidate context has to occur,
 #: as a share of the bytes of text.
-DEPTH, SHARE = 6, 2e-6
+DEPTH, SHARE = 5, 2e-6
 END, SYMBOLS = 0x0A, 256
+#: Contexts up to this long are counted whole, whether they are candidates or not: no more than 256 ** WHOLE of them.
+WHOLE = 2
+#: Buckets of contexts, and bytes of text in a block.
+GRAM_BUCKETS, BLOCK = 256, 6 << 20
 #: Log likelihood that a state has to gain for each of its followers.
 CHANCE = 1.5
 LN10 = float(np.log(10))
@@ -146,17 +150,15 @@ class SuffixTree:
         return np.log(p) / LN10
 
     @staticmethod
-    def grown(pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], longer: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> SuffixTree:
-        """From all counts with contexts of one symbol, those of two that are candidates, and the longer states."""
-        codes, counts = pairs
-        root_codes, root_counts = summed(shortened(codes, 0), counts)
+    def grown(parts: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> SuffixTree:
+        """From all counts with contexts of one and two symbols, the candidates with three, and the longer states."""
+        root_codes, root_counts = summed(shortened(parts[1][0], 0), parts[1][1])
         root = np.zeros(SYMBOLS)
         root[root_codes.astype(np.int64)] = root_counts
-        levels = dict(longer)
-        keep = divergent(codes, counts, root_codes, root_counts, 1, least)
-        levels[1] = (codes[keep], counts[keep])
-        keep = divergent(*triples, codes, counts, 2, least)
-        levels[2] = (triples[0][keep], triples[1][keep])
+        levels, above = dict(parts), (root_codes, root_counts)
+        for n in range(1, WHOLE + 2):
+            keep = divergent(*parts[n], *above, n, least)
+            levels[n], above = (parts[n][0][keep], parts[n][1][keep]), parts[n]
         return SuffixTree(root, levels)
 
 
@@ -170,16 +172,21 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree_part(codes: np.ndarray, counts: np.ndarray, least: float) -> list[tuple[int, bytes]]:
-    """What a bucket of contexts that share their last two symbols contributes: (length, packed codes and counts)."""
+    """What a bucket of contexts that share their last WHOLE + 1 symbols contributes: (length, packed codes and counts).
+
+    Contexts of up to WHOLE symbols go on in other buckets, so all counts are handed on to be added up; the next longer ones are
+    complete, but their suffixes aren't, so the candidates are handed on; of all others only the states.
+    """
     by_length = {n: summed(shortened(codes, n), counts) for n in range(1, DEPTH + 1)}
-    out = [(1, _pack(*by_length[1]))]
-    for n in range(2, DEPTH + 1):
-        mine = by_length[n]
-        if n > 2:
-            keep = divergent(*mine, *by_length[n - 1], n, least)
-        else:
+    out = []
+    for n, mine in by_length.items():
+        if n <= WHOLE:
+            keep = np.ones(len(mine[0]), bool)
+        elif n == WHOLE + 1:
             context, totals = summed(mine[0] >> np.uint64(8), mine[1])
             keep = np.isin(mine[0] >> np.uint64(8), context[totals >= least])
+        else:
+            keep = divergent(*mine, *by_length[n - 1], n, least)
         out.append((n, _pack(mine[0][keep], mine[1][keep])))
     return out
 
@@ -203,7 +210,7 @@ def _send(manifest: DataFrame, n_words: int, n_grams: int) -> DataFrame:
                 codes, _ = symbols([d for d, h in zip(docs, held) if not h])
                 found = pa.array(codes).dictionary_encode()
                 codes, counts = found.dictionary.to_numpy(), np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
-                bucket = (((codes >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(n_grams)
+                bucket = (((codes >> np.uint64(8)) & np.uint64((1 << (8 * (WHOLE + 1))) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n_grams)
                 order = np.lexsort((codes, bucket))
                 at = np.searchsorted(bucket[order], np.arange(n_grams + 1))
                 for b in np.flatnonzero(np.diff(at)):
@@ -244,15 +251,15 @@ def _answer(sent: DataFrame, n_words: int, least: float) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1, share: float = SHARE, block_bytes: int | None = None) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1, share: float = SHARE, block_bytes: int = BLOCK) -> DataFrame:
     """SCORES of every document, learning from those outside the held-out fold."""
     folder = work_dir(spark, "suffix-tree")
     source = texts(docs, F.coalesce(crc_mod5() == held_out_fold, F.lit(False)).alias("held_out"))
-    manifest = write_blocks(source, f"{folder}/blocks", **({"block_bytes": block_bytes} if block_bytes else {}))
+    manifest = write_blocks(source, f"{folder}/blocks", block_bytes)
     spaced, n_blocks = spread(manifest)
     corpus = float(manifest.agg(F.sum("n_bytes")).first()[0] or 0)
     n_ends = source.where(~F.col("held_out")).count()
-    n_words, n_grams = min(max(8, n_blocks // 4), 4096), 64
+    n_words, n_grams = min(max(8, n_blocks // 2), 4096), GRAM_BUCKETS
     least = max(2.0, share * corpus)
     answers = materialize(_answer(_send(spaced, n_words, n_grams), n_words, least), f"{folder}/answers")
 
@@ -263,7 +270,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1
     for r in answers.where("kind = 'tree'").select("block", "data").collect():
         parts[r["block"]].append(_unpack(r["data"]))
     merged = {n: summed(*(np.concatenate(x) for x in zip(*p))) if p else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for n, p in parts.items()}
-    tree = spark.sparkContext.broadcast(SuffixTree.grown(merged[1], merged[2], {n: merged[n] for n in range(3, DEPTH + 1)}, least))
+    tree = spark.sparkContext.broadcast(SuffixTree.grown(merged, least))
 
     def score(listed: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         out = []
