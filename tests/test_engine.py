@@ -131,6 +131,21 @@ def test_replay_and_many_keys(spark, tmp_path):
         e.get_many_or_fail(asked).collect()
 
 
+def test_replay_in_batches(spark, tmp_path):
+    e, heard = StoreRegistry(spark, str(tmp_path), {"primary": SMALL}).store(), []
+    ops = [(i, ("put", "get", "delete")[i % 3], f"k{i % 5}", f"v{i}" if i % 3 == 0 else None) for i in range(30)]
+    done = e.replay(spark.createDataFrame(ops, OPERATION), lambda *a: heard.append(a), batches=3)
+    model, reads = {}, {}
+    for _, op, k, v in ops:
+        if op == "get":
+            reads[k] = model.get(k)
+        else:
+            model[k] = v
+    assert (done.puts, done.deletes, done.gets) == (10, 10, 10) and heard[-1] == (30, 30) and len(heard) == 3
+    assert {r["key"]: r["value"] for r in done.reads.collect()} == reads
+    assert {r["key"]: r["value"] for r in e.view().collect()} == {k: v for k, v in model.items() if v is not None}
+
+
 def test_runs_are_immutable_and_commits_are_exclusive(spark, tmp_path):
     a, b = FileRunStore(spark, str(tmp_path / "s"), ids=sequential_ids()), FileRunStore(spark, str(tmp_path / "s"), ids=sequential_ids(50))
     rows = [(f"key-{i:03d}", f"value-{i}", i + 1) for i in range(200)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -239,19 +240,32 @@ class Engine:
             self._compact()
             return run.run_id
 
-    def replay(self, ops: DataFrame) -> RunSummary:
-        """Apply operations (pos, op, key, value) in their order; gets see exactly what came before them."""
-        done = summary(ops).first()
-        reads = reads_map(asof_reads(ops, self.view()))
-        reads = self.spark.createDataFrame(reads.collect(), reads.schema) if done["gets"] <= 10_000 else self._kept(reads)
-        self.ingest(mutations(ops))
-        return RunSummary(done["puts"], done["deletes"], done["gets"], reads)
-
-    def _kept(self, df: DataFrame) -> DataFrame:
-        """Written before the store changes under it."""
-        path = f"{self.runs.folder}/reads/{self.runs.manifest().version}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def replay(self, ops: DataFrame, progress: Callable[[int, int], None] | None = None, batches: int = 1) -> RunSummary:
+        """Apply operations (pos, op, key, value) in their order; gets see exactly what came before them.
+
+        In several batches, each a range of positions, ``progress`` hears (operations done, all) after each.
+        """
+        bounds = [None, *(ops.agg(F.percentile_approx("pos", [i / batches for i in range(1, batches)], 10_000).alias("q")).first()["q"] or [] if batches > 1 else []), None]
+        done, reads, total = [0, 0, 0], [], ops.count() if progress else 0
+        for low, high in zip(bounds, bounds[1:]):
+            some = ops if low is None else ops.where(F.col("pos") > low)
+            some = some if high is None else some.where(F.col("pos") <= high)
+            n = summary(some).first()
+            if n["gets"]:
+                found = asof_reads(some, self.view())
+                reads.append(self._kept(found, len(reads)))
+            self.ingest(mutations(some))
+            done = [a + b for a, b in zip(done, (n["puts"], n["deletes"], n["gets"]))]
+            if progress:
+                progress(sum(done), total)
+        every = reduce(DataFrame.unionByName, reads) if reads else self.spark.createDataFrame([], "pos long, key string, value string")
+        return RunSummary(*done, reads_map(every))
+
+    def _kept(self, reads: DataFrame, n: int) -> DataFrame:
+        """Written before the store changes under it; below the store, so that ``prune`` leaves it alone."""
+        path = f"{self.runs.folder}/reads/{self.runs.manifest().version}-{n}"
+        reads.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(reads.schema).parquet(path)
 
     # -- maintenance
 
