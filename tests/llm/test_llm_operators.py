@@ -318,9 +318,9 @@ def test_n_best_are_the_best(text):
 
     walk(0, 0.0, ())
     every.sort(key=lambda x: -x[0])
-    got = [(s, tuple(np.frombuffer(ids, "<u4").tolist())) for s, ids in found.encode(text)]
+    got = [(s, tuple(np.frombuffer(ids, "<u4").tolist())) for s, ids in found.encode(word)]
     assert [s for s, _ in got] == [s for s, _ in every[:4]] and len(set(got)) == len(got) and set(got) <= set(every)
-    assert found.decode(found.encode(text)[0][1]) == word.replace("▁", " ")
+    assert found.decode(found.encode(word)[0][1]) == word.replace("▁", " ")
 
 
 def test_n_best_query(spark, sf):

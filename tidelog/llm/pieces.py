@@ -6,8 +6,8 @@ score is exactly what the rest of a path can still gain, so A-star with it takes
 order of their scores, and never looks at a path that isn't among the best.
 
 Where two neighbouring characters stand together in no piece, no path goes across.  So the lattice of a text is a chain
-of small ones.  The n best paths of a text differ from the best one in the n - 1 parts whose second best path loses
-least, and that loss is known from forward and backward scores: only those parts are searched.
+of small ones.  The n best paths of a text differ from the best one in the n - 1 words whose second best path loses
+least, and that loss is known from forward and backward scores: only those words are searched.
 Among equal scores the order is fixed: a word's ways in the order in which the search meets them, and of parts that
 lose equally the earlier one changes first.
 
@@ -17,7 +17,7 @@ has as many rows; null and repeated ids are kept; other columns are ignored; an
 
 from __future__ import annotations
 
-import heapq
+import gc
 import re
 import struct
 import zlib
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from tidelog.llm.shared import texts
 
 #: Words kept in each of a process's two caches, and the longest that is kept.
-CACHE_WORDS, CACHE_CHARS = 150_000, 60
+CACHE_WORDS, CACHE_CHARS = 300_000, 60
 #: What a character without a piece loses against the worst piece.
 UNKNOWN_LOSS = 10.0
 SPACE = "▁"
@@ -49,7 +49,10 @@ class PieceLattice:
         every = range(m.get_piece_size())
         self.text = [m.id_to_piece(i) for i in every]
         self.bytes = {int(self.text[i][3:-1], 16): i for i in every if m.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        # a byte that isn't a character by itself stands as a lone surrogate until all of its character is there
+        byte_of = {i: chr(b) if b < 0x80 else chr(0xDC00 + b) for b, i in self.bytes.items()}
+        self.spelled = [byte_of.get(i, t) for i, t in enumerate(self.text)]
+        self.no_bytes = re.compile("[\udc80-\udcff]")
         special = {i for i in every if m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)}
         scores = [m.get_score(i) for i in every if i not in special and m.get_score(i) > -1e8]
         floor = min(scores, default=0.0)
@@ -76,52 +79,63 @@ class PieceLattice:
 
     def _forward(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
         """The lattice's edges (from, score, id) by their end, and the best score of reaching each place."""
-        size, get = len(word), self.beginnings.get
+        size, get, unknown = len(word), self.beginnings.get, (self.unknown, -1)
         into: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
         best = [0.0] + [-1e300] * size
         for start in range(size):
             here = best[start]
-            p = get(word[start]) or (self.unknown, -1)
+            p = get(word[start]) or unknown
             end = start + 1
             while True:
                 if p:
                     score, i = p
                     into[end].append((start, score, i))
-                    if here + score > best[end]:
-                        best[end] = here + score
+                    score += here
+                    if score > best[end]:
+                        best[end] = score
                 end += 1
                 if end > size or (p := get(word[start:end], 0)) == 0:
                     break
         return into, best
 
-    def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
+    def best(self, word: str) -> tuple[float, list[int], float]:
         """Score and ids of the best segmentation, and what the second best loses against it (infinite if there is none).
 
         Another path has an edge that the best one hasn't; the best path through each such edge is known from the scores of
         both its ends.  So the loss is found without searching the second path.
         """
         into, best = self._forward(word)
-        at, on, ids = len(word), {}, []
-        while at:
-            for edge in into[at]:
-                if best[edge[0]] + edge[1] == best[at]:
-                    break
-            on[at] = edge
-            ids.append(edge[2] if edge[2] >= 0 else self._unknown_ids(word[edge[0] : at]))
-            at = edge[0]
-        second, rest = -1e300, [-1e300] * len(word) + [0.0]
-        for at in range(len(word), 0, -1):
-            here, kept = rest[at], on.get(at)
-            for edge in into[at]:
-                start, through = edge[0], here + edge[1]
-                if through > rest[start]:
-                    rest[start] = through
-                if edge is not kept and best[start] + through > second:
-                    second = best[start] + through
+        size, total = len(word), best[-1]
+        at, kept, ids, second = size, size, [], -1e300
+        rest = [-1e300] * size + [0.0]
+        for end in range(size, 0, -1):
+            here = rest[end]
+            if end == kept:  # on the best path: one of its edges goes on with it, the others leave it
+                wanted, taken = best[end], False
+                for start, score, i in into[end]:
+                    through = here + score
+                    if through > rest[start]:
+                        rest[start] = through
+                    if not taken and best[start] + score == wanted:
+                        taken, at, chosen = True, start, i
+                    elif best[start] + through > second:
+                        second = best[start] + through
+                ids.append(chosen if chosen >= 0 else self._unknown_ids(word[at:end]))
+                kept = at
+            else:
+                for start, score, _ in into[end]:
+                    through = here + score
+                    if through > rest[start]:
+                        rest[start] = through
+                    if best[start] + through > second:
+                        second = best[start] + through
         flat: list[int] = []
         for i in reversed(ids):
-            flat += (i,) if isinstance(i, int) else i
-        return best[-1], tuple(flat), best[-1] - second if second > -1e299 else float("inf")
+            if isinstance(i, int):
+                flat.append(i)
+            else:
+                flat += i
+        return total, flat, total - second if second > -1e299 else float("inf")
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, best first.
@@ -163,43 +177,43 @@ class PieceLattice:
         out.append(word[at:])
         return out
 
-    def entries(self, word: str) -> tuple:
-        """(best score, ids, loss of the second best, part) of each part of a word."""
-        found = self.recent.get(word)
+    def entry(self, word: str) -> tuple[float, bytes, float, str]:
+        """Best score, its ids, the loss of the second best, and the word itself, put together from the word's parts."""
+        found = self.older.get(word)
         if found is None:
-            found = self.older.get(word)
-            if found is None:
-                out = []
-                for part in self.parts(word):
-                    entry = self.recent_parts.get(part) or self.older_parts.get(part)
-                    if entry is None:
-                        score, ids, loss = self.best(part)
-                        entry = (score, struct.pack(f"<{len(ids)}I", *ids), loss, part)
-                    if len(part) <= CACHE_CHARS:
-                        self.recent_parts[part] = entry
-                    out.append(entry)
-                found = tuple(out)
-            if len(word) <= CACHE_CHARS:
-                self.recent[word] = found
-                if len(self.recent) >= CACHE_WORDS:  # what was used lately outlives the change
-                    self.older, self.recent = self.recent, {}
-                    self.older_parts, self.recent_parts = self.recent_parts, {}
+            score, ids, loss = 0.0, b"", float("inf")
+            for part in self.parts(word):
+                some = self.recent_parts.get(part) or self.older_parts.get(part)
+                if some is None:
+                    s, i, d = self.best(part)
+                    some = (s, struct.pack(f"<{len(i)}I", *i), d)
+                if len(part) <= CACHE_CHARS:
+                    self.recent_parts[part] = some
+                score, ids, loss = score + some[0], ids + some[1], min(loss, some[2])
+            found = (score, ids, loss, word)
+        if len(word) <= CACHE_CHARS:
+            self.recent[word] = found
+            if len(self.recent) >= CACHE_WORDS:  # what was used lately outlives the change
+                self.older, self.recent = self.recent, {}
+                self.older_parts, self.recent_parts = self.recent_parts, {}
         return found
 
     def normalize(self, text: str) -> str:
         return self.model.normalize(text)
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """(score, ids as little-endian unsigned 32-bit integers) of the n best segmentations of a text."""
-        recent, look = self.recent.get, self.entries
-        found = [recent(w) or look(w) for w in self.words.findall(self.normalize(text))]
-        entries = [e for some in found for e in some]
+        """(score, ids as little-endian unsigned 32-bit integers) of the n best segmentations of a normalized text."""
+        entries = []
+        for w in self.words.findall(text):
+            entries.append(self.recent.get(w) or self.entry(w))
         ids = [e[1] for e in entries]
         total = sum([e[0] for e in entries])
-        if self.n == 1:
+        losses = [e[2] for e in entries]
+        if self.n == 1 or not losses:
             return [(total, b"".join(ids))]
-        # whichever the n best are, they differ from the best in the n - 1 parts that lose least; only those are searched
-        change = heapq.nsmallest(self.n - 1, [(e[2], i) for i, e in enumerate(entries) if e[2] < 1e300])
+        # whichever the n best are, they differ from the best in the n - 1 words that lose least; only those are searched
+        limit = sorted(losses)[: self.n - 1][-1]
+        change = sorted([(x, i) for i, x in enumerate(losses) if x <= limit < 1e300 or x < limit])[: self.n - 1]
         ways_of = [self.nbest(entries[i][3], self.n) for _, i in change]
         ways = sorted((sum([w[0][0] - w[c][0] for c, w in zip(way, ways_of)]), way) for way in product(*[range(len(w)) for w in ways_of]))
         out = []
@@ -210,22 +224,15 @@ class PieceLattice:
         return out
 
     def decode(self, ids: bytes) -> str:
-        """The normalized text that the ids spell, with its leading space marks as spaces."""
-        out, pending = [], bytearray()
-        for (i,) in struct.iter_unpack("<I", ids):
-            if i in self.byte_of:
-                pending.append(self.byte_of[i])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            out.append(self.text[i])
-        return ("".join(out) + pending.decode("utf-8", "replace")).replace(SPACE, " ")
+        """The normalized text that the ids spell, with its space marks as spaces; bytes that are no text show as such."""
+        text = "".join(map(self.spelled.__getitem__, memoryview(ids).cast("I"))).replace(SPACE, " ")
+        return text if self.no_bytes.search(text) is None else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
 def lattice(path: str, n: int) -> PieceLattice:
     """This process's lattice of a model file."""
     if (path, n) not in _BY_PATH:
+        gc.set_threshold(500_000, 20, 100)  # the caches hold millions of tuples without cycles; don't walk them all the time
         _BY_PATH[path, n] = PieceLattice(path, n)
     return _BY_PATH[path, n]
 
@@ -242,7 +249,8 @@ def nbest_segmentations(docs: DataFrame, model_path: str, n: int = 3, keep_ids:
             for at in range(0, len(batch), 1024):
                 rows = []
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
-                    plain = found.normalize(text).replace(SPACE, " ")
+                    text = found.normalize(text)
+                    plain = text.replace(SPACE, " ")
                     for rank, (score, ids) in enumerate(found.encode(text), 1):
                         rows.append((doc_id, rank, score, len(ids) // 4, zlib.crc32(ids), found.decode(ids) == plain, ids))
                 columns = list(zip(*rows)) if rows else [[]] * 7
