@@ -59,11 +59,12 @@ class PieceLattice:
         # pieces that only spell runs of spaces have no rank of their own; they weigh as much as the worst one
         self.pieces = {self.text[i]: (max(m.get_score(i), floor), i) for i in every if i not in special}
         self.unknown = floor - UNKNOWN_LOSS
-        self.beginnings: dict[str, tuple[float, int] | None] = {}  # of pieces: the piece, if it is one
-        for p in self.pieces:
-            for end in range(1, len(p)):
-                self.beginnings.setdefault(p[:end])
-            self.beginnings[p] = self.pieces[p]
+        self.trie: dict[str, tuple[dict, tuple[float, int] | None]] = {}  # character to (what follows, the piece that ends here)
+        for p in sorted(self.pieces):
+            node = self.trie
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, None))[0]
+            node[p[-1]] = (node[p[-1]][0] if p[-1] in node else {}, self.pieces[p])
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         line = "" if any("\n" in p for p in self.pieces) else "\n"
         self.words = re.compile(r"(?s).+" if crossing else rf"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if line else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -79,23 +80,28 @@ class PieceLattice:
 
     def _forward(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
         """The lattice's edges (from, score, id) by their end, and the best score of reaching each place."""
-        size, get, unknown = len(word), self.beginnings.get, (self.unknown, -1)
+        size, unknown, roots = len(word), self.unknown, self.trie
         into: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
         best = [0.0] + [-1e300] * size
         for start in range(size):
-            here = best[start]
-            p = get(word[start]) or unknown
-            end = start + 1
-            while True:
-                if p:
-                    score, i = p
+            here, end = best[start], start + 1
+            found = roots.get(word[start])
+            if found is None or found[1] is None:
+                into[end].append((start, unknown, -1))
+                if here + unknown > best[end]:
+                    best[end] = here + unknown
+            while found is not None:
+                node, piece = found
+                if piece is not None:
+                    score, i = piece
                     into[end].append((start, score, i))
                     score += here
                     if score > best[end]:
                         best[end] = score
-                end += 1
-                if end > size or (p := get(word[start:end], 0)) == 0:
+                if end == size:
                     break
+                found = node.get(word[end])
+                end += 1
         return into, best
 
     def best(self, word: str) -> tuple[float, list[int], float]:
