@@ -146,7 +146,8 @@ def near_links(spark: SparkSession, distinct: DataFrame, radius: int, cell: int
     masks = F.array(*[F.lit(m) for m in cell_masks(radius)])
     rows = distinct.select("fp", embedding(F.col("fp")).alias("place")).select("fp", "place", F.posexplode(masks).alias("mask", "m"))
     rows = rows.select("mask", F.col("place").bitwiseAND(F.col("m")).alias("cell"), "fp", "place")
-    size = rows.groupBy("mask", "cell").count().where("count > 1")
+    # written, so that both sides of the join are plain exchanges, of which Spark can split the skewed partitions
+    size = materialize(rows.groupBy("mask", "cell").count().where("count > 1"), f"{work_dir(spark, 'cells')}/size")
     rows = rows.join(size, ["mask", "cell"]).withColumn("blocks", F.ceil(F.col("count") / cell).cast("int"))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j)))
