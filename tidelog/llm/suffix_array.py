@@ -40,7 +40,7 @@ from tidelog.llm.shared import materialize, work_dir
 
 LENGTH, GRAM = 50, 24
 #: Surroundings of one gram in a sort, and bytes of surroundings in a sort of many grams.
-OWNERS, SORT_BYTES = 16_384, 3 << 19
+OWNERS, SORT_BYTES = 8_192, 3 << 18
 NO_ID = (1 << 63) - 1
 KEPT, COVERED, OWNER = 0, 1, 2
 
@@ -122,7 +122,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and gram hashes of the anchors of all windows within documents; starts has the end as its last."""
     places, hashes = [], []
-    step, span = 1 << 22, LENGTH - GRAM + 1
+    step, span = 1 << 20, LENGTH - GRAM + 1
     end_of = starts[1:]
     for at in range(0, max(len(data) - LENGTH + 1, 0), step):
         part = data[at : at + step + LENGTH - 1]
@@ -134,7 +134,7 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
             size *= 2
         low = np.minimum(low[: len(low) - (span - size)], low[span - size :]) if span > size else low
         window = np.arange(at, at + len(low))
-        ends = np.repeat(end_of, np.diff(starts))[at : at + len(low)]
+        ends = end_of[np.searchsorted(end_of, window, "right")]
         best = (low[window + LENGTH <= ends] & np.uint64((1 << 23) - 1)).astype(np.int64)
         if len(best):
             best = best[np.concatenate([[True], best[1:] != best[:-1]])]
