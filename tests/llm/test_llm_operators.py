@@ -337,3 +337,15 @@ def test_pipeline(spark, sf, texts):
     assert (rows.groupby("sequence_id")["length"].sum() <= 2048).all()
     lengths = {i: len(WORD.findall(t)) for i, t in texts}
     assert all(lengths[i] >= 20 for i in rows["doc_id"])
+
+
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark):
+    rng = random.Random(5)
+    common = " ".join("".join(rng.choice("abcd") for _ in range(4)) for _ in range(20_000)) + " "
+    docs = [(0, common * 30), (2, "wxyzq " * 4)]  # the rare contexts are one in 500,000 bytes
+    rows = {r["doc_id"]: r for r in suffix_tree.score_documents(spark, spark.createDataFrame(docs, "doc_id long, text string"), held_out_fold=9).collect()}
+    codes, starts = suffix_tree.symbols([[w.encode() for w in t.split()] for _, t in docs])
+    distinct, counts = suffix_tree.summed(codes, np.ones(len(codes), np.int64))
+    tree = suffix_tree.SuffixTree.grown({n: suffix_tree._unpack(p) for n, p in suffix_tree.tree_part(distinct, counts, 2)}, 2)
+    wanted = np.add.reduceat(tree.log10(codes), starts[:-1])
+    assert all(math.isclose(rows[i]["score"], w, rel_tol=1e-9) for (i, _), w in zip(docs, wanted))

@@ -1,9 +1,8 @@
 """Language-model scores by a probabilistic suffix tree over the bytes of words.
 
 A text is its words' bytes, a space after each word, and an end symbol; a symbol's context is up to DEPTH symbols
-before it, with end symbols before the start.  A context is a candidate if it makes up at least a fixed share of all
-text, so each length has at most about 1 / share of them however large the corpus.  It becomes a state of the tree if the
-symbols that follow it diverge from those that follow its suffix by more than chance explains (the log likelihood
+before it, with end symbols before the start.  A context is a candidate if it occurs LEAST times, whatever the size of the
+corpus, so the tree grows with the text.  It becomes a state of the tree if the symbols that follow it diverge from those that follow its suffix by more than chance explains (the log likelihood
 gained, against CHANCE for each symbol that follows).  The next symbol's distribution in a
 state is smoothed with its longest suffix state's, as often as the state has distinct followers; the root's is
 smoothed evenly.  Each symbol is scored in the longest state that fits.
@@ -13,7 +12,10 @@ distribution over words and the end, given what came before: a word that was nev
 
 Beside it stands the score of single words with add-a-half counts.  Word counts are exact over the whole training
 part: each block of documents sends the hashes of its distinct words with their counts to buckets, which add them up
-and answer every block that asked.
+and answer every block that asked.  The tree is nowhere whole either: contexts that share their last WHOLE + 1 symbols are in one
+bucket, which has all the counts that its states need but those of the WHOLE shortest lengths.  These are counted in a pass
+before, at most 256 ** (WHOLE + 1) numbers, and sent to all; a bucket then grows its own part of the tree and answers every
+block with the scores of the symbols that the block asked for.
 
 Corner cases: a null or empty text is the end alone; a null id is training; repeated ids and rows are scored one by
 one, and count as often as they are there; without any training document the counts are zero and the tree is a
@@ -35,14 +37,13 @@ from pyspark.sql import functions as F
 from tidelog.llm.blocks import read_block, spread, write_blocks
 from tidelog.llm.shared import crc_mod5, materialize, texts, work_dir
 
-#: Longest context (the oldest symbol in the highest byte of a code), and how often a candidate context has to occur,
-#: as a share of the bytes of text.
-DEPTH, SHARE = 5, 2e-6
+#: Longest context (the oldest symbol in the highest byte of a code), and how often a candidate context has to occur.
+DEPTH, LEAST = 5, 2
 END, SYMBOLS = 0x0A, 256
 #: Contexts up to this long are counted whole, whether they are candidates or not: no more than 256 ** WHOLE of them.
 WHOLE = 2
-#: Buckets of contexts, and bytes of text in a block.
-GRAM_BUCKETS, BLOCK = 256, 6 << 20
+#: Buckets of contexts at least, those that add up the shortest contexts, and bytes of text in a block.
+GRAM_BUCKETS, WHOLE_BUCKETS, BLOCK = 256, 16, 6 << 20
 #: Log likelihood that a state has to gain for each of its followers.
 CHANCE = 1.5
 LN10 = float(np.log(10))
@@ -76,21 +77,22 @@ class BlockWords:
         return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def symbols(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def symbols(docs: list[list[bytes]], depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol of each document its context and itself as one number, and where each document starts."""
-    lead = bytes([END]) * DEPTH
+    depth = depth or DEPTH
+    lead = bytes([END]) * depth
     parts = [lead + b"".join([b" ".join(words), b" \n" if words else b"\n"]) for words in docs]
     stream = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
     sizes = np.array([len(p) for p in parts], np.int64)
-    n = len(stream) - DEPTH
+    n = len(stream) - depth
     codes = np.zeros(max(n, 0), np.uint64)
-    for i in range(DEPTH + 1):
+    for i in range(depth + 1):
         codes = (codes << np.uint64(8)) | stream[i : i + n]
     first = np.cumsum(sizes) - sizes  # the code at a document's start is its first symbol's
     keep = np.ones(len(codes), bool)
-    for i in range(DEPTH):
+    for i in range(depth):
         keep[first[1:] - 1 - i] = False  # symbols that only lead the next document in
-    starts = np.cumsum(np.concatenate([[0], sizes - DEPTH]))
+    starts = np.cumsum(np.concatenate([[0], sizes - depth]))
     return codes[keep], starts
 
 
@@ -149,6 +151,12 @@ class SuffixTree:
             p[hit] = (seen + kinds[at[hit]] * p[hit]) / (totals[at[hit]] + kinds[at[hit]])
         return np.log(p) / LN10
 
+    def extended(self, levels: dict[int, tuple[np.ndarray, np.ndarray]]) -> SuffixTree:
+        """This tree with longer states."""
+        out = SuffixTree(np.zeros(SYMBOLS), levels)
+        out.root, out.levels = self.root, self.levels | out.levels
+        return out
+
     @staticmethod
     def grown(parts: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> SuffixTree:
         """From all counts with contexts of one and two symbols, the candidates with three, and the longer states."""
@@ -191,90 +199,139 @@ def tree_part(codes: np.ndarray, counts: np.ndarray, least: float) -> list[tuple
     return out
 
 
-def _send(manifest: DataFrame, n_words: int, n_grams: int) -> DataFrame:
-    """(bucket, block, data): a block's distinct words and training symbols with counts, by bucket."""
+def bucket_scores(base: SuffixTree, whole: tuple[np.ndarray, np.ndarray], codes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The log10 probability of each of a bucket's codes, of which some have a count of zero.
+
+    ``base`` is the tree of the contexts of up to WHOLE symbols, ``whole`` the counts of all with WHOLE.
+    """
+    seen = counts > 0
+    levels = {n: _unpack(data) for n, data in tree_part(codes[seen], counts[seen], least) if n > WHOLE}
+    if WHOLE + 1 in levels:
+        keep = divergent(*levels[WHOLE + 1], *whole, WHOLE + 1, least)
+        levels[WHOLE + 1] = tuple(x[keep] for x in levels[WHOLE + 1])
+    return base.extended(levels).log10(codes)
+
+
+def grams(docs: list[list[bytes]], n: int) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols by their distinct codes, the documents' starts, the codes, their order by bucket, and where each bucket starts."""
+    codes, starts = symbols(docs)
+    found = pa.array(codes).dictionary_encode()
+    codes = found.dictionary.to_numpy()
+    bucket = (((codes >> np.uint64(8)) & np.uint64((1 << (8 * (WHOLE + 1))) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n)
+    order = np.lexsort((codes, bucket))
+    return found, starts, codes, order, np.searchsorted(bucket[order], np.arange(n + 1))
+
+
+def _planes(codes: np.ndarray, wide: int, counts: np.ndarray) -> bytes:
+    """Codes by their bytes, all first ones first, as they are sorted and compress well; then the counts."""
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // (wide + 4)
+    raw = np.frombuffer(data, np.uint8).reshape(wide + 4, n)
+    full, counts = np.zeros((n, 8), np.uint8), np.ascontiguousarray(raw[wide:].T)
+    full[:, :wide] = raw[:wide].T
+    return full.view("<u8").ravel(), counts.view("<u4").ravel().astype(np.int64)
+
+
+def _gathered(group: pd.DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """A bucket's keys as they were sent, the distinct ones with their sums, and how many each block sent."""
+    pairs = [_from_planes(data, wide) for data in group["data"]]
+    keys = np.concatenate([k for k, _ in pairs])
+    return keys, *summed(keys, np.concatenate([c for _, c in pairs])), [len(k) for k, _ in pairs]
+
+
+def _rows(manifest: DataFrame, rows_of) -> DataFrame:
+    """(bucket, block, data) of each block, of its documents' words and which of them are held out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, path in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist()):
                 table = read_block(path)
                 docs, held = [words_of(t) for t in table["text"].to_pylist()], np.array(table["held_out"].to_pylist(), bool)
-                rows: list[tuple[int, int, bytes]] = []
-                w = BlockWords.of(docs)
-                training = np.repeat(~held, np.diff(w.starts))
-                counts = np.bincount(w.index[training], minlength=len(w.hashes))
-                order, at = w.buckets(n_words)
-                for b in np.flatnonzero(np.diff(at)):
-                    some = order[at[b] : at[b + 1]]
-                    rows.append((int(b), block, w.hashes[some].tobytes() + counts[some].astype("<u4").tobytes()))
-                codes, _ = symbols([d for d, h in zip(docs, held) if not h])
-                found = pa.array(codes).dictionary_encode()
-                codes, counts = found.dictionary.to_numpy(), np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
-                bucket = (((codes >> np.uint64(8)) & np.uint64((1 << (8 * (WHOLE + 1))) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n_grams)
-                order = np.lexsort((codes, bucket))
-                at = np.searchsorted(bucket[order], np.arange(n_grams + 1))
-                for b in np.flatnonzero(np.diff(at)):
-                    some = order[at[b] : at[b + 1]]
-                    rows.append((n_words + int(b), block, codes[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].tobytes() + counts[some].astype("<u4").tobytes()))
+                rows = [(b, block, data) for b, data in rows_of(docs, held)]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block", "data"])
 
     return manifest.mapInArrow(each, "bucket int, block long, data binary")
 
 
-def _answer(sent: DataFrame, n_words: int, least: float) -> DataFrame:
-    """(kind, block, bucket, data): counts for each block, a bucket's distinct words and total, and parts of the tree."""
-
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        bucket, wide = int(group["bucket"].iat[0]), 8 if group["bucket"].iat[0] < n_words else DEPTH + 1
-        keys, counts, sizes = [], [], []
-        for data in group["data"]:
-            n = len(data) // (wide + 4)
-            raw = np.frombuffer(data, np.uint8, n * wide).reshape(n, wide)
-            full = np.zeros((n, 8), np.uint8)
-            full[:, :wide] = raw
-            keys.append(full.view("<u8").ravel())
-            counts.append(np.frombuffer(data, "<u4", n, n * wide).astype(np.int64))
-            sizes.append(n)
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        total, sums = summed(keys, counts)
-        if wide != 8:
-            parts = tree_part(total, sums, least)
-            return pd.DataFrame([("tree", n, bucket, data) for n, data in parts], columns=["kind", "block", "bucket", "data"])
+def _words(manifest: DataFrame, n_words: int) -> DataFrame:
+    """(kind, block, bucket, data): counts for each block, a bucket's distinct words and total, and counts of the shortest contexts."""
+
+    def send(docs: list[list[bytes]], held: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        w = BlockWords.of(docs)
+        counts = np.bincount(w.index[np.repeat(~held, np.diff(w.starts))], minlength=len(w.hashes))
+        order, at = w.buckets(n_words)
+        for b in np.flatnonzero(np.diff(at)):
+            some = order[at[b] : at[b + 1]]
+            yield int(b), _planes(w.hashes[some], 8, counts[some])
+        codes, _ = symbols([d for d, h in zip(docs, held) if not h], WHOLE)
+        found = pa.array(codes).value_counts()
+        codes, counts = found.field("values").to_numpy(), found.field("counts").to_numpy()
+        bucket = codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        for b in range(WHOLE_BUCKETS):
+            if len(some := np.flatnonzero(bucket % np.uint64(WHOLE_BUCKETS) == b)):
+                yield n_words + b, _planes(codes[some], WHOLE + 1, counts[some])
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(group["bucket"].iat[0])
+        keys, total, sums, sizes = _gathered(group, 8 if bucket < n_words else WHOLE + 1)
+        if bucket >= n_words:
+            return pd.DataFrame([("whole", -1, bucket, _pack(total, sums))], columns=["kind", "block", "bucket", "data"])
         answers = np.split(sums[np.searchsorted(total, keys)].astype("<u8"), np.cumsum(sizes)[:-1])
         rows = [("words", int(block), bucket, a.tobytes()) for block, a in zip(group["block"], answers)]
         rows.append(("sums", -1, bucket, np.array([(sums > 0).sum(), sums.sum()], "<u8").tobytes()))
         return pd.DataFrame(rows, columns=["kind", "block", "bucket", "data"])
 
-    return sent.groupBy("bucket").applyInPandas(each, "kind string, block long, bucket int, data binary")
+    return _rows(manifest, send).groupBy("bucket").applyInPandas(answer, "kind string, block long, bucket int, data binary")
+
+
+def _logs(manifest: DataFrame, n_grams: int, shared, least: float) -> DataFrame:
+    """(kind, block, bucket, data): the scores of each block's distinct symbols in context, by bucket."""
+
+    def send(docs: list[list[bytes]], held: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        found, starts, codes, order, at = grams(docs, n_grams)
+        counts = np.bincount(found.indices.to_numpy()[np.repeat(~held, np.diff(starts))], minlength=len(codes))
+        for b in np.flatnonzero(np.diff(at)):
+            some = order[at[b] : at[b + 1]]
+            yield int(b), _planes(codes[some], DEPTH + 1, counts[some])
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        keys, total, sums, sizes = _gathered(group, DEPTH + 1)
+        logs = bucket_scores(*shared.value, total, sums, least)
+        answers = np.split(logs[np.searchsorted(total, keys)].astype("<f8"), np.cumsum(sizes)[:-1])
+        return pd.DataFrame({"kind": "logs", "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "data": [a.tobytes() for a in answers]})
+
+    return _rows(manifest, send).groupBy("bucket").applyInPandas(answer, "kind string, block long, bucket int, data binary")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1, share: float = SHARE, block_bytes: int = BLOCK) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1, least: int = LEAST, block_bytes: int = BLOCK) -> DataFrame:
     """SCORES of every document, learning from those outside the held-out fold."""
     folder = work_dir(spark, "suffix-tree")
     source = texts(docs, F.coalesce(crc_mod5() == held_out_fold, F.lit(False)).alias("held_out"))
     manifest = write_blocks(source, f"{folder}/blocks", block_bytes)
     spaced, n_blocks = spread(manifest)
-    corpus = float(manifest.agg(F.sum("n_bytes")).first()[0] or 0)
     n_ends = source.where(~F.col("held_out")).count()
-    n_words, n_grams = min(max(8, n_blocks // 2), 4096), GRAM_BUCKETS
-    least = max(2.0, share * corpus)
-    answers = materialize(_answer(_send(spaced, n_words, n_grams), n_words, least), f"{folder}/answers")
+    n_words, n_grams = min(max(8, n_blocks // 2), 4096), min(max(GRAM_BUCKETS, n_blocks), 4096)
+    words = materialize(_words(spaced, n_words), f"{folder}/words")
 
-    # a row for each bucket, and a tree whose size the share bounds
-    sums = [np.frombuffer(r["data"], "<u8") for r in answers.where("kind = 'sums'").select("data").collect()]
+    # a row for each bucket, and counts of no more than 256 ** (WHOLE + 1) different codes
+    sums = [np.frombuffer(r["data"], "<u8") for r in words.where("kind = 'sums'").select("data").collect()]
     distinct, tokens = int(sum(int(s[0]) for s in sums)) + (n_ends > 0), int(sum(int(s[1]) for s in sums)) + n_ends
-    parts: dict[int, list] = {n: [] for n in range(1, DEPTH + 1)}
-    for r in answers.where("kind = 'tree'").select("block", "data").collect():
-        parts[r["block"]].append(_unpack(r["data"]))
-    merged = {n: summed(*(np.concatenate(x) for x in zip(*p))) if p else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for n, p in parts.items()}
-    tree = spark.sparkContext.broadcast(SuffixTree.grown(merged, least))
+    shortest = [_unpack(r["data"]) for r in words.where("kind = 'whole'").select("data").collect()]
+    whole = summed(*(np.concatenate(x) for x in zip(*shortest))) if shortest else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    parts = {n: summed(shortened(whole[0], n), whole[1]) for n in range(1, WHOLE + 1)}
+    base = SuffixTree.grown(parts | {WHOLE + 1: (np.zeros(0, np.uint64), np.zeros(0, np.int64))}, least)
+    shared = spark.sparkContext.broadcast((base, whole))
+    logs = materialize(_logs(spaced, n_grams, shared, least), f"{folder}/logs")
 
     def score(listed: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         out = []
-        known = dict(zip(answered["bucket"], answered["data"]))
+        known, scored = ({b: d for k, b, d in zip(answered["kind"], answered["bucket"], answered["data"]) if k == kind} for kind in ("words", "logs"))
         for path in listed["path"]:
             table = read_block(path)
             docs = [words_of(t) for t in table["text"].to_pylist()]
@@ -286,9 +343,11 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1
             bottom = np.log10(tokens + 0.5 * (distinct + 1))
             add = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[w.starts])
             base = np.array([v.sum() for v in np.split((np.log10(counts + 0.5) - bottom)[w.index], w.starts[1:-1])])
-            codes, starts = symbols(docs)
-            found = pa.array(codes).dictionary_encode()
-            logs = tree.value.log10(found.dictionary.to_numpy())[found.indices.to_numpy()]
+            found, starts, codes, order, at = grams(docs, n_grams)
+            logs = np.zeros(len(codes))
+            for b in np.flatnonzero(np.diff(at)):
+                logs[order[at[b] : at[b + 1]]] = np.frombuffer(scored[int(b)], "<f8")
+            logs = logs[found.indices.to_numpy()]
             n = np.diff(w.starts)
             out.append(pd.DataFrame({
                 "doc_id": table["doc_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "held_out": table["held_out"].to_pandas(), "n_tokens": n + 1, "n_known": add((counts > 0).astype(np.int64)[w.index]) + (n_ends > 0),
@@ -296,4 +355,4 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1
             }))
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in SCORES.split(", ")])
 
-    return manifest.groupBy("block").cogroup(answers.where("kind = 'words'").groupBy("block")).applyInPandas(score, SCORES)
+    return manifest.groupBy("block").cogroup(words.where("kind = 'words'").union(logs).groupBy("block")).applyInPandas(score, SCORES)
