@@ -349,3 +349,11 @@ def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark):
     tree = suffix_tree.SuffixTree.grown({n: suffix_tree._unpack(p) for n, p in suffix_tree.tree_part(distinct, counts, 2)}, 2)
     wanted = np.add.reduceat(tree.log10(codes), starts[:-1])
     assert all(math.isclose(rows[i]["score"], w, rel_tol=1e-9) for (i, _), w in zip(docs, wanted))
+
+
+def test_suffix_tree_sees_six_symbols():
+    codes, _ = suffix_tree.symbols([b"abcde x zbcde y".split()] * 40)
+    distinct, counts = suffix_tree.summed(codes, np.ones(len(codes), np.int64))
+    tree = suffix_tree.SuffixTree.grown({n: suffix_tree._unpack(p) for n, p in suffix_tree.tree_part(distinct, counts, 2)}, 2)
+    likely = [10.0 ** tree.log10(suffix_tree.symbols([w.split()])[0])[6] for w in (b"abcde x", b"zbcde x")]
+    assert likely[0] > 0.9 and likely[1] < 0.1

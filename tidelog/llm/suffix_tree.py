@@ -38,7 +38,7 @@ from tidelog.llm.blocks import read_block, spread, write_blocks
 from tidelog.llm.shared import crc_mod5, materialize, texts, work_dir
 
 #: Longest context (the oldest symbol in the highest byte of a code), and how often a candidate context has to occur.
-DEPTH, LEAST = 5, 2
+DEPTH, LEAST = 6, 2
 END, SYMBOLS = 0x0A, 256
 #: Contexts up to this long are counted whole, whether they are candidates or not: no more than 256 ** WHOLE of them.
 WHOLE = 2
