@@ -357,3 +357,16 @@ def test_suffix_tree_sees_six_symbols():
     tree = suffix_tree.SuffixTree.grown({n: suffix_tree._unpack(p) for n, p in suffix_tree.tree_part(distinct, counts, 2)}, 2)
     likely = [10.0 ** tree.log10(suffix_tree.symbols([w.split()])[0])[6] for w in (b"abcde x", b"zbcde x")]
     assert likely[0] > 0.9 and likely[1] < 0.1
+
+
+def test_similar_documents_of_a_family_just_under_the_limit(spark):
+    words, own, docs = [f"w{i}" for i in range(2000)], 260, []
+    for g in range(20):  # all at 0.77, the two of a pair at 0.82
+        first = [f"a{g}x{i}" for i in range(own)]
+        second = first[: own // 4] + [f"b{g}x{i}" for i in range(own - own // 4)]
+        docs += [(2 * g, " ".join(first + words[own:])), (2 * g + 1, " ".join(second + words[own:]))]
+    sets = [set(similar.shingle_set(t, 5).tolist()) for _, t in docs]
+    close = {(i, j) for i in range(40) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert close == {(2 * g + 1, 2 * g) for g in range(20)}
+    kept = {r["doc_id"] for r in similar.keep_one(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 40, 2))
