@@ -332,6 +332,19 @@ def wal_recovery(spark, sf_dir):
     return registry.store().entries()
 
 
+@query(f"with {OPS} select key, value, sequence from newest")
+def wal_recovery_all(spark, sf_dir):
+    """All mutations of events, one by one, read by another engine after a restart: from the log and from sealed runs."""
+    every = versions(spark, sf_dir)
+    keys = every.select("key").distinct().count()
+    registry = stores(spark, buffer_capacity=max(2, keys * 4 // 5))  # so that some are sealed and some are in the log
+    engine = registry.store()
+    for r in every.orderBy("sequence").toLocalIterator():  # a partition at a time
+        engine.put(r["key"], r["value"]) if r["value"] is not None else engine.delete(r["key"])
+    registry.purge()
+    return registry.store().entries()
+
+
 @query(f"with {OPS} select key, value from live")
 def stream_view(spark, sf_dir):
     """The live view after the workload came in as a stream."""
