@@ -14,6 +14,7 @@ from tidelog.config import DEFAULT_STORES
 from tidelog.errors import StoreError
 from tidelog.jobs import CompactionJobs
 from tidelog.registry import StoreRegistry
+from tidelog.sources.files import Files
 from tidelog.sources.operations import TextSource
 
 
@@ -53,22 +54,16 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     out = out or sys.stdout
     say = lambda text: print(text, file=out)
     spark = spark or SparkSession.builder.appName("tidelog").getOrCreate()
-    path = args.config or f"{args.root.removeprefix('file://')}/stores.json"
+    files = Files(spark)
+    path = args.config or f"{args.root.rstrip('/')}/stores.json"
     try:
-        try:
-            with open(path, encoding="utf-8") as f:
-                settings = json.load(f)
-        except FileNotFoundError:
-            settings = None
+        settings = json.loads(files.read(path)) if files.exists(path) else None
         if args.command == "install":
             if settings is not None and not args.force:
                 say(f"{path} is there already")
                 return 1
-            import os
-
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as f:
-                json.dump(DEFAULT_STORES, f, indent=2)
+            files.make(args.root)
+            files.write(path, json.dumps(DEFAULT_STORES, indent=2).encode())
             say(f"wrote {path}")
             return 0
         registry = StoreRegistry(spark, args.root, settings)
@@ -88,11 +83,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
                     engine.flush()
                     say(f"{name}: {engine.compact()} merges")
             elif args.command == "prune":
-                if engine.config.runs != "file":
-                    say(f"{name}: warning: only the file driver leaves orphans")
+                if engine.config.runs not in ("file", "catalog"):
+                    say(f"{name}: warning: only drivers of files and tables leave orphans")
                 say(f"{name}: {engine.prune()} removed")
             elif args.command == "import":
-                done = engine.replay(TextSource(spark, args.path, args.format).operations())
+                done = engine.replay(TextSource(spark, args.path, args.format, registry.root).operations())
                 if args.flush:
                     engine.flush()
                 say(f"{name}: {done.puts} puts, {done.deletes} deletes, {done.gets} gets, {done.total} in all")

@@ -26,12 +26,11 @@ class StoreConfig:
     bottom_level: int = 2
     bits_per_key: int = 10
     hash_count: int | None = None
-    #: Runs of more keys have the Parquet filters only, not one in memory as well.
-    filter_keys: int = 1_000_000
     recover_on_boot: bool = True
     sync_wal: bool = True
     lock_wait: float = 10.0
-    prune_grace: float = 0.0
+    #: Seconds that a run stays after it was merged, or was written without a commit: longer than any read or write takes.
+    prune_grace: float = 6 * 3600.0
     options: Mapping[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:

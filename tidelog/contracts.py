@@ -33,8 +33,9 @@ class Maintenance(Protocol):
 class RunStore(Protocol):
     """Immutable runs under a manifest; a commit adds and removes at once."""
 
-    def write(self, entries: DataFrame, level: int, expected: int) -> Any: ...
-    def commit(self, add: Iterable[Any], remove: Iterable[str], sequence: int) -> None: ...
+    def write(self, entries: DataFrame, level: int, expected: int, size: int = 0, run_id: str | None = None) -> Any: ...
+    def has_applied(self, once: str) -> bool: ...
+    def commit(self, add: Iterable[Any], remove: Iterable[str], sequence: int, once: str | None) -> None: ...
     def levels(self) -> dict[int, list[Any]]: ...
     def level(self, level: int) -> list[Any]: ...
     def count(self) -> int: ...
@@ -56,10 +57,12 @@ class Buffer(Protocol):
 
 
 class Wal(Protocol):
-    """A log of entries in the order of their arrival."""
+    """A log of entries in the order of their arrival; ``drop`` forgets what was there when ``rotate`` was called."""
 
     def append(self, entry: Entry) -> None: ...
     def replay(self) -> Iterable[Entry]: ...
+    def rotate(self) -> Any: ...
+    def drop(self, sealed: Any) -> None: ...
     def truncate(self) -> None: ...
     def count(self) -> int: ...
 

@@ -1,7 +1,13 @@
-"""The engine of one store: a buffer and a log in front of runs."""
+"""The engine of one store: a buffer and a log in front of runs.
+
+Threads may share an engine.  ``_guard`` is held for moments, around the buffer, the log and the manifest in memory; ``_section`` is held by the one
+thread that makes runs.  A buffer that is being sealed stays readable until its run is committed, and writes go to the next one meanwhile.
+"""
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -14,7 +20,7 @@ from pyspark.sql import functions as F
 from tidelog.config import StoreConfig
 from tidelog.errors import InvalidKeyError, KeyNotFoundError, MalformedOperationError
 from tidelog.operators.lookup import get_many, get_many_or_fail, has_many
-from tidelog.operators.merge import buffered, latest_wins, merge_runs
+from tidelog.operators.merge import latest_wins, merge_runs, newest
 from tidelog.operators.replay import asof_reads, mutations, reads_map, sequenced, summary
 from tidelog.plans.compaction import CompactionPlan
 from tidelog.schema import ENTRY, STATISTICS
@@ -107,11 +113,13 @@ class RunSummary:
 class Engine:
     """Reads resolve by sequence, so the order of runs never decides what a key's value is."""
 
-    def __init__(self, spark: SparkSession, config: StoreConfig, runs: Any, wal: Any, policy: Any, lock: Any, listener: Listener = silent, buffer: Any = None, sequence: Any = None):
+    def __init__(self, spark: SparkSession, config: StoreConfig, runs: Any, wal: Any, policy: Any, lock: Any, listener: Listener = silent, buffer: Callable[[int], Any] | None = None, sequence: Any = None):
         self.spark, self.config, self.runs, self.wal, self.policy, self.lock, self.listener = spark, config, runs, wal, policy, lock, listener
-        self.buffer = buffer if buffer is not None else MemoryBuffer(config.buffer_capacity)
+        self._new_buffer = buffer or MemoryBuffer
+        self.buffer = self._new_buffer(config.buffer_capacity)
+        self._sealing: Any = None
         self.sequence = sequence if sequence is not None else Counter(runs.highest_sequence())
-        self._inside = 0
+        self._guard, self._section, self._depth = threading.RLock(), threading.RLock(), 0
         if config.recover_on_boot:
             self.recover()
 
@@ -129,11 +137,13 @@ class Engine:
     def _write(self, key: str, value: str | None) -> None:
         if key == "":
             raise InvalidKeyError("the key is empty")
-        entry = (key, value, self.sequence.next())
-        self.wal.append(entry)
-        self.buffer.put(entry)
+        with self._guard:
+            entry = (key, value, self.sequence.next())
+            self.wal.append(entry)
+            self.buffer.put(entry)
+            full = self.buffer.is_full()
         self.listener(TraceEvent.write(key, entry[2], value is None))
-        if self.buffer.is_full():
+        if full:
             self.flush()
 
     def get(self, key: str) -> str | None:
@@ -154,11 +164,14 @@ class Engine:
         """The newest entry, tombstones included.  The manifest leaves out runs by range, then by filter; one job reads the rest."""
         if key == "":
             raise InvalidKeyError("the key is empty")
-        if (held := self.buffer.get(key)) is not None:
+        with self._guard:
+            held = self.buffer.get(key) or (self._sealing.get(key) if self._sealing is not None else None)
+            runs = self._runs()
+        if held is not None:
             self.listener(TraceEvent.read(TraceType.READ_HIT, key, "buffer"))
             return held
         maybe = []
-        for run in (r for level in self.runs.levels().values() for r in level):
+        for run in runs:
             if run.in_range(key) and self.runs.filter_of(run).might_contain(key):
                 maybe.append(run)
             else:
@@ -176,66 +189,82 @@ class Engine:
 
     # -- many keys
 
+    def _runs(self) -> list[Any]:
+        """In the order of reading."""
+        return [r for level in self.runs.levels().values() for r in level]
+
+    def _versions(self, wanted: Callable[[Any], bool] = lambda run: True) -> DataFrame:
+        """Every version in the runs that are wanted and in the buffers, as they are together at one moment."""
+        with self._guard:
+            held = (self._sealing.entries() if self._sealing is not None else []) + self.buffer.entries()
+            runs = [r for r in self._runs() if wanted(r)]
+        return self.runs.read(runs).drop("run_id").unionByName(self.spark.createDataFrame(held, ENTRY))
+
+    def _asked(self, keys: DataFrame) -> DataFrame:
+        """The newest entry of each asked key that there is one of; only asked keys leave the scan to be resolved."""
+        return latest_wins(self._versions().join(keys.select("key").distinct(), "key", "left_semi"))
+
     def entries(self, drop_tombstones: bool = False) -> DataFrame:
         """The newest entry of every key, buffer included."""
-        held = self.spark.createDataFrame(self.buffer.entries(), ENTRY)
-        every = self.runs.read([r for level in self.runs.levels().values() for r in level]).drop("run_id")
-        return latest_wins(every.unionByName(held), drop_tombstones)
+        return latest_wins(self._versions(), drop_tombstones)
 
     def view(self) -> DataFrame:
         """(key, value) of every live key."""
         return self.entries(True).select("key", "value")
 
     def get_many(self, keys: DataFrame) -> DataFrame:
-        """(key, value).  Only asked keys are read from the runs before they are resolved."""
-        every = self.runs.read([r for level in self.runs.levels().values() for r in level]).drop("run_id").unionByName(self.spark.createDataFrame(self.buffer.entries(), ENTRY))
-        asked = every.join(keys.select("key").distinct(), "key", "left_semi")
-        return get_many(latest_wins(asked), keys)
+        """(key, value)."""
+        return get_many(self._asked(keys), keys)
 
     def get_many_or_fail(self, keys: DataFrame) -> DataFrame:
-        return get_many_or_fail(self.view(), keys)
+        return get_many_or_fail(self._asked(keys), keys)
 
     def has_many(self, keys: DataFrame) -> DataFrame:
-        return has_many(self.view(), keys)
+        return has_many(self._asked(keys), keys)
 
     def scan(self, start: str, end: str) -> DataFrame:
         """(key, value) of live keys from start up to, not including, end, in order.  An extension: runs out of range are not read."""
         a, b = start.encode(), end.encode()
-        some = [r for level in self.runs.levels().values() for r in level if r.max_key.encode() >= a and r.min_key.encode() < b]
-        every = self.runs.read(some).drop("run_id").unionByName(self.spark.createDataFrame(self.buffer.entries(), ENTRY))
-        return latest_wins(every.where((F.col("key") >= start) & (F.col("key") < end)), True).select("key", "value").sort("key")
+        some = self._versions(lambda r: r.max_key.encode() >= a and r.min_key.encode() < b)
+        return latest_wins(some.where((F.col("key") >= start) & (F.col("key") < end)), True).select("key", "value").sort("key")
 
     # -- bulk writes
 
     def ingest(self, changes: DataFrame, once: str | None = None) -> str | None:
-        """Mutations (pos, key, value) as one run; returns its id.  ``once`` names the run, and a second call does nothing.
+        """Mutations (pos, key, value) as one run; returns its id.
 
-        The buffer is sealed first, so that what it holds stays older.
+        ``once`` names the batch, ``<name>-<number>``: one that was taken in does nothing when it comes again, nor does an earlier one of its name, whatever
+        has been merged since.  A name without a number is a batch by itself and stays in the manifest.  The buffer is sealed first, so that what it holds stays older.
         """
         with self._exclusive():
-            if once and any(r.run_id == once for r in self.runs.manifest().runs):
+            if once and self.runs.has_applied(once):
                 return once
-            self._seal()
-            if changes.where("key is null or key = ''").limit(1).count():
-                raise InvalidKeyError("a key is empty")
-            numbered = sequenced(changes.select("pos", "key", "value"), "pos", self.sequence.current()).persist()
+            swapped: list[Any] = []
+
+            def reserve(n: int) -> int:
+                """The batch's numbers are taken at the moment at which the buffer is swapped: writes that come later get higher ones."""
+                with self._guard:
+                    swapped.append(self._swap())
+                    base = self.sequence.current()
+                    self.sequence.advance_to(base + n)
+                    return base
+
+            numbered = sequenced(changes.select("pos", "key", "value"), "pos", reserve).persist()
+            if swapped[0]:
+                self._seal(swapped[0])
             try:
-                found = numbered.agg(F.count("*").alias("n"), F.max("sequence").alias("top")).first()
+                found = numbered.agg(F.count("*").alias("n"), F.max("sequence").alias("top"), F.sum(F.length("key") + F.coalesce(F.length("value"), F.lit(0))).alias("size"), F.count_if(F.coalesce(F.col("key") == "", F.lit(True))).alias("bad")).first()
                 if not found["n"]:
                     return None
-                newest = buffered(numbered).select("key", "value", "sequence")
+                if found["bad"]:
+                    raise InvalidKeyError("a key is empty")
                 if once:
-                    keep, self.runs.ids = self.runs.ids, lambda: once
                     self.runs.files.delete(self.runs.path(once))  # what an attempt before this one may have left
-                try:
-                    run = self.runs.write_some(newest, 0, found["n"])
-                finally:
-                    if once:
-                        self.runs.ids = keep
+                run = self.runs.write_some(newest(numbered).select("key", "value", "sequence"), 0, found["n"], found["size"], once)
             finally:
                 numbered.unpersist()
-            self.sequence.advance_to(found["top"])
-            self.runs.commit([run], sequence=found["top"], once=once)
+            with self._guard:
+                self.runs.commit([run], sequence=found["top"], once=once)
             self.listener(TraceEvent.flush(run.run_id, run.count))
             self._compact()
             return run.run_id
@@ -262,35 +291,55 @@ class Engine:
         return RunSummary(*done, reads_map(every))
 
     def _kept(self, reads: DataFrame, n: int) -> DataFrame:
-        """Written before the store changes under it; below the store, so that ``prune`` leaves it alone."""
-        path = f"{self.runs.folder}/reads/{self.runs.manifest().version}-{n}"
-        reads.write.mode("overwrite").parquet(path)
+        """Written before the store changes under it, to a folder of its own that ``prune`` removes after the grace period."""
+        path = f"{self.runs.folder}/reads/{uuid.uuid4().hex}-{n}"
+        reads.write.parquet(path)
         return self.spark.read.schema(reads.schema).parquet(path)
 
     # -- maintenance
 
     @contextmanager
     def _exclusive(self) -> Iterator[None]:
-        """One holder at a time; whoever is inside may enter again."""
-        if self._inside:
-            yield
-            return
-        with self.lock.hold():
-            self._inside += 1
-            try:
+        """One thread of one process at a time; whoever is inside may enter again."""
+        with self._section:
+            if self._depth:
                 yield
-            finally:
-                self._inside -= 1
-
-    def _seal(self) -> str | None:
-        if not len(self.buffer):
+                return
+            with self.lock.hold():
+                self._depth += 1
+                try:
+                    yield
+                finally:
+                    self._depth -= 1
+
+    def _swap(self) -> tuple[Any, int] | None:
+        """An empty buffer in place of a filled one, which stays readable; what the log had up to now, and the highest number."""
+        with self._guard:
+            if not len(self.buffer):
+                return None
+            self._sealing, self.buffer = self.buffer, self._new_buffer(self.config.buffer_capacity)
+            return self.wal.rotate(), self.sequence.current()
+
+    def _seal(self, swapped: tuple[Any, int] | None = None) -> str | None:
+        """The buffer as a run.  Only the entries that the run has leave the log; a crash at any point leaves them in one of the two or in both."""
+        if (swapped := swapped or self._swap()) is None:
             return None
-        held = self.buffer.entries()
-        run = self.runs.write_some(self.spark.createDataFrame(held, ENTRY), 0, len(held))
-        self.runs.commit([run], sequence=self.sequence.current())
-        # a crash here is harmless: replay puts the same entries back with the same sequence numbers
-        self.buffer.clear()
-        self.wal.truncate()
+        sealed, sequence = swapped
+        held = self._sealing.entries()
+        try:
+            run = self.runs.write_some(self.spark.createDataFrame(held, ENTRY), 0, len(held), sum(len(k) + len(v or "") for k, v, _ in held))
+            with self._guard:
+                self.runs.commit([run], sequence=sequence)
+                self._sealing = None
+        except BaseException:
+            with self._guard:  # back in front of what came meanwhile; the log still has all
+                if self._sealing is not None:
+                    came, self.buffer, self._sealing = self.buffer.entries(), self._sealing, None
+                    for entry in came:
+                        self.buffer.put(entry)
+            raise
+        with self._guard:
+            self.wal.drop(sealed)
         self.listener(TraceEvent.flush(run.run_id, run.count))
         return run.run_id
 
@@ -299,8 +348,8 @@ class Engine:
         if not len(self.buffer):
             return None
         with self._exclusive():
-            run_id = self._seal()
-            self._compact()
+            if (run_id := self._seal()) is not None:
+                self._compact()
             return run_id
 
     def compact(self) -> int:
@@ -320,39 +369,50 @@ class Engine:
 
     def _merge(self, plan: CompactionPlan) -> None:
         merged = merge_runs([self.runs.read([r]).drop("run_id") for r in plan.inputs], plan.drop_tombstones)
-        run = self.runs.write(merged, plan.target_level, plan.entry_count)
-        self.runs.commit([run] if run else [], plan.input_ids, self.sequence.current())
+        run = self.runs.write(merged, plan.target_level, plan.entry_count, sum(r.size for r in plan.inputs))
+        with self._guard:
+            self.runs.commit([run] if run else [], plan.input_ids, self.sequence.current())
         self.listener(TraceEvent.compaction(plan.input_ids, run.run_id if run else None, plan.target_level, plan.drop_tombstones))
 
     def recover(self) -> int:
         """Entries of the log back into the buffer; returns how many.  A buffer that fills is sealed once all are in."""
         n = 0
-        for entry in self.wal.replay():
-            held = self.buffer.get(entry[0])
-            if held is None or held[2] <= entry[2]:
-                self.buffer.put(entry)
-            self.sequence.advance_to(entry[2])
-            n += 1
+        with self._guard:
+            for entry in self.wal.replay():
+                held = self.buffer.get(entry[0])
+                if held is None or held[2] <= entry[2]:
+                    self.buffer.put(entry)
+                self.sequence.advance_to(entry[2])
+                n += 1
         if n and self.buffer.is_full():
             self.flush()
         return n
 
     def statistics(self) -> Statistics:
-        per_level = {level: len(runs) for level, runs in self.runs.levels().items()}
-        return Statistics(self.sequence.current(), len(self.buffer), self.config.buffer_capacity, sum(per_level.values()), per_level, self.wal.count())
+        with self._guard:
+            per_level = {level: len(runs) for level, runs in self.runs.levels().items()}
+            buffered = len({k for b in (self.buffer, self._sealing) if b is not None for k, _, _ in b.entries()})
+        return Statistics(self.sequence.current(), buffered, self.config.buffer_capacity, sum(per_level.values()), per_level, self.wal.count())
 
     def levels(self) -> DataFrame:
         """A row for each run, in the order of reading."""
         return self.runs.table()
 
     def prune(self) -> int:
-        """Remove run folders that no manifest names; returns how many."""
+        """Remove runs that no manifest names, and kept reads, after the grace period; returns how many runs."""
         with self._exclusive():
-            return self.runs.prune()
+            folder = f"{self.runs.folder}/reads"
+            for name in self.runs.files.names(folder):
+                if self.runs.files.age(f"{folder}/{name}") >= self.config.prune_grace:
+                    self.runs.files.delete(f"{folder}/{name}")
+            with self._guard:
+                return self.runs.prune()
 
     def refresh(self) -> None:
-        self.runs.refresh()
-        self.sequence.advance_to(self.runs.highest_sequence())
+        """Look for what other processes have committed."""
+        with self._guard:
+            self.runs.refresh()
+            self.sequence.advance_to(self.runs.highest_sequence())
 
     def close(self) -> None:
         if hasattr(self.wal, "close"):

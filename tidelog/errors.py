@@ -50,6 +50,10 @@ class CorruptManifestError(StoreError):
     """A published manifest can't be read; it is not taken for an empty store."""
 
 
+class CorruptLogError(StoreError):
+    """A line inside a log can't be read; it is not taken for the torn end that a crash leaves."""
+
+
 class UnreadableSourceError(StoreError, OSError):
     """A source of operations is missing or can't be read."""
 

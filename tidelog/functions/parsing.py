@@ -41,28 +41,32 @@ def _checked(skip: Column, kind: Column, key: Column, value: Column, broken: Col
     return F.struct(F.coalesce(skip, F.lit(False)).alias("skip"), op.alias("op"), key.alias("key"), F.when(op == PUT, value).alias("value"), error.alias("error"))
 
 
-def _scalar(variant: Column, path: str) -> Column:
+def _scalar(variant: Column) -> Column:
     """A scalar as text: true is 1, false is empty, a whole number has no fraction; objects, arrays and null are null."""
-    kind, text = F.schema_of_variant(F.try_variant_get(variant, path, "variant")), F.try_variant_get(variant, path, "string")
+    kind, text = F.schema_of_variant(variant), F.try_variant_get(variant, "$", "string")
     number = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    whole = F.try_variant_get(variant, path, "double")
+    whole = F.try_variant_get(variant, "$", "double")
     floating = F.when((whole == F.floor(whole)) & (F.abs(whole) < 1e15), F.floor(whole).cast("string")).otherwise(number)
-    return F.when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("")).when(kind == "STRING", text).when(kind == "BIGINT", text).when(kind.startswith("DECIMAL"), F.when(text.contains("."), number).otherwise(text)).when(kind.isin("DOUBLE", "FLOAT"), floating)
+    return F.when(kind.isin("STRING", "BIGINT"), text).when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("")).when(kind.startswith("DECIMAL"), F.when(text.contains("."), number).otherwise(text)).when(kind.isin("DOUBLE", "FLOAT"), floating)
 
 
 def _too_deep(line: Column) -> Column:
-    """Whether brackets outside strings nest deeper than DEPTH."""
+    """Whether brackets outside strings nest deeper than DEPTH; a line with no more brackets than that can't, and isn't looked at closely."""
     left = F.regexp_replace(F.regexp_replace(line, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
     for _ in range(DEPTH):
         left = F.regexp_replace(left, r"\{\}|\[\]", "")
-    return F.length(left) > 0
+    opened = F.length(line) - F.length(F.translate(line, "[{", ""))
+    return F.when(opened <= DEPTH, False).otherwise(F.length(left) > 0)
 
 
 def json_line(line: Column) -> Column:
-    """{"type": ..., "key": ..., "value": ...}; the key isn't trimmed."""
+    """{"type": ..., "key": ..., "value": ...}; the key isn't trimmed.  A line is parsed once; a plain text needs no second look."""
+
+    def field(variant: Column, name: str) -> Column:
+        return _let(F.try_variant_get(variant, f"$.{name}", "variant"), lambda v: F.when(v.isNotNull(), _scalar(v)))
 
     def fields(text: Column, variant: Column) -> Column:
-        return F.struct(text.alias("text"), variant.isNull().alias("broken"), _scalar(variant, "$.type").alias("type"), _scalar(variant, "$.key").alias("key"), _scalar(variant, "$.value").alias("value"))
+        return F.struct(text.alias("text"), variant.isNull().alias("broken"), *[field(variant, n).alias(n) for n in ("type", "key", "value")])
 
     def judged(p: Column) -> Column:
         broken = F.when(p["broken"], F.lit("not valid JSON")).when(_too_deep(p["text"]), F.lit("nested too deeply")).when(p["type"].isNull() | p["key"].isNull(), F.lit("type and key are needed"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.ranges import place
+
 
 def get_many(view: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, value) of each distinct asked key; null where it is absent or deleted."""
@@ -24,7 +26,10 @@ def has_many(view: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def consulted(runs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, runs): how many runs' key ranges hold each key.  The runs' metadata is a row for each run."""
-    inside = F.col("key").between(F.col("min_key"), F.col("max_key"))
-    pairs = keys.select("key").distinct().join(runs.select("run_id", "min_key", "max_key"), inside, "left")
-    return pairs.groupBy("key").agg(F.count("run_id").alias("runs"))
+    """(key, runs): how many runs' key ranges hold each key: those that begin at or before it, less those that end before it.
+
+    The runs' metadata, a row for each run as in the manifest, comes to the driver and goes out as two sorted lists of bounds: no join at all.
+    """
+    bounds = runs.select("min_key", "max_key").collect()
+    first, last = (sorted((r[i] for r in bounds), key=str.encode) for i in (0, 1))
+    return keys.select("key").distinct().select("key", (place(F.col("key"), first, inclusive=True) - place(F.col("key"), last)).cast("long").alias("runs"))

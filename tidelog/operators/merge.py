@@ -33,10 +33,16 @@ def merge_runs(runs: Iterable[DataFrame], drop_tombstones: bool = False) -> Data
     return latest_wins(ranked_union(runs), drop_tombstones)
 
 
-def buffered(mutations: DataFrame) -> DataFrame:
-    """What a buffer holds after mutations (pos, key, value, ...): the last to arrive for each key, in key order."""
+def newest(mutations: DataFrame) -> DataFrame:
+    """The last to arrive for each key, of mutations (pos, key, value, ...).  Of two with one position the larger value counts, so a rerun decides alike."""
     rest = [c for c in mutations.columns if c != "key"]
-    return mutations.groupBy("key").agg(F.max_by(F.struct(*rest), "pos").alias("w")).select("key", *[f"w.{c}" for c in rest]).sort("key")
+    order = F.struct("pos", *[c for c in rest if c not in ("pos", "value")], F.col("value").isNotNull(), "value")
+    return mutations.groupBy("key").agg(F.max_by(F.struct(*rest), order).alias("w")).select("key", *[f"w.{c}" for c in rest])
+
+
+def buffered(mutations: DataFrame) -> DataFrame:
+    """What a buffer holds after mutations: the newest of each key, in key order."""
+    return newest(mutations).sort("key")
 
 
 def run_metadata(entries: DataFrame, *by: str) -> DataFrame:

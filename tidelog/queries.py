@@ -6,15 +6,15 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.config import StoreConfig
-from tidelog.functions.bloom import build_filter, filter_size, might_contain, positions
+from tidelog.functions.bloom import filter_blocks, filter_size, might_contain, might_contain_many, positions
 from tidelog.functions.parsing import PARSERS
 from tidelog.operators.lookup import consulted, get_many, get_many_or_fail, has_many
 from tidelog.operators.merge import buffered, latest_wins, merge_runs, run_metadata
@@ -22,6 +22,7 @@ from tidelog.operators.replay import asof_reads, mutations, reads_map, sequenced
 from tidelog.plans.compaction import SizeTieredPolicy
 from tidelog.registry import StoreRegistry
 from tidelog.schema import ENTRY
+from tidelog.sources.files import Files
 from tidelog.sources.operations import TextSource
 from tidelog.sources.runs import Run
 from tidelog.streaming.ingest import event_operations, ingest_stream
@@ -70,14 +71,31 @@ def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequenced(keys, "o_orderkey")
 
 
-def stores(spark: SparkSession, **settings) -> StoreRegistry:
-    """A registry under the folder that the cluster shares, or one of this process's own."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = tempfile.mkdtemp(prefix="tidelog-stores-")
-    atexit.register(shutil.rmtree, base, True)
-    root = f"{shared.rstrip('/')}/{base.rsplit('/', 1)[-1]}" if shared else f"file://{base}"
-    common = {"options": {"local_dir": base}, "sync_wal": False} | settings
-    return StoreRegistry(spark, root, {"primary": dict(common), "archive": dict(common)})
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster shares, or a local one where no cluster names any; it goes with this process."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    root = f"{shared.rstrip('/')}/tidelog-stores-{uuid.uuid4().hex}"
+    files = Files(spark)
+
+    def remove() -> None:
+        try:
+            files.delete(root)
+        except Exception:  # noqa: BLE001  the session may be gone by then
+            pass
+
+    atexit.register(remove)
+    return root
+
+
+def stores(spark: SparkSession, listener=None, **settings) -> StoreRegistry:
+    """A registry with two stores of the same settings."""
+    common = {"sync_wal": False} | settings
+    return StoreRegistry(spark, shared_folder(spark), {"primary": dict(common), "archive": dict(common)}, listener=listener)
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small bulk of changes."""
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("key"), F.lit("x").alias("value"))
 
 
 # -- merges
@@ -218,18 +236,18 @@ def range_prune(spark, sf_dir):
 # -- filters
 
 
-@query(f"with {ORDER_RUNS} select count(*) as keys, cast(0 as bigint) as denied, true as few_false from entries")
+@query(f"with {ORDER_RUNS} select key, true as maybe from entries")
 def bloom_filter(spark, sf_dir):
-    """A filter of all orders denies none of them, and lets through few keys that aren't there."""
-    entries = order_entries(spark, sf_dir).select("key").persist()
-    n = entries.count()
-    f = build_filter(entries, n, 10, 7)
-    shared = spark.sparkContext.broadcast(f)  # ten bits a key, as asked for
-    test = F.udf(lambda k: shared.value.might_contain(k), "boolean")
-    probes = entries.select(F.lit(1).alias("there"), "key").union(entries.select(F.lit(0), F.concat(F.lit("absent-"), "key")))
-    seen = probes.withColumn("maybe", test("key"))
-    out = seen.agg(F.sum("there").alias("keys"), F.sum(F.when((F.col("there") == 1) & ~F.col("maybe"), 1).otherwise(0)).cast("long").alias("denied"), (F.avg(F.when(F.col("there") == 0, F.col("maybe").cast("int"))) < 0.1).alias("few_false"))
-    return out
+    """The test of every order's key and of as many keys that aren't there against a filter of all orders: what is there is let through, and of the rest
+    fewer than a tenth, which are left out here; more than that is an error."""
+    entries = order_entries(spark, sf_dir).select("key")
+    n = table(spark, sf_dir, "orders").count()
+    size = filter_size(n, 10)
+    probes = entries.select("key", F.lit(True).alias("there")).union(entries.select(F.concat(F.lit("absent-"), "key"), F.lit(False)))
+    seen = might_contain_many(filter_blocks(entries, size, 7), probes, size, 7)
+    wrong = seen.agg(F.count_if(F.col("maybe") & ~F.col("there")).alias("w"))
+    many = F.when(F.col("w") * 10 >= n, F.raise_error(F.lit("the filter lets too many keys through"))).otherwise(F.lit(True))
+    return seen.where("there").select("key", "maybe").crossJoin(F.broadcast(wrong.select(many.alias("few")))).where("few").drop("few")
 
 
 @query("select concat('nation-', cast(n_nationkey as varchar)) as key, cast(7 as bigint) as bits, true as inside, true as found from nation")
@@ -313,27 +331,17 @@ def engine_view(spark, sf_dir):
     return engine.view()
 
 
-@query(f"with {OPS} select (select count(*) from muts) as sequence, cast(0 as bigint) as buffered, cast(1000 as bigint) as buffer_capacity, cast(1 as bigint) as runs, cast(0 as bigint) as wal_entries, cast(1 as bigint) as read_amplification")
+@query(f"with {OPS} select (select count(*) from muts) as sequence, cast(0 as bigint) as buffered, cast(1000 as bigint) as buffer_capacity, cast(1 as bigint) as runs, cast(0 as bigint) as wal_entries, cast(1 as integer) as levels, cast(1 as bigint) as read_amplification, '0:1' as per_level")
 def engine_statistics(spark, sf_dir):
     """Statistics after one ingested batch."""
     engine = stores(spark).store()
     engine.ingest(mutations(workload(spark, sf_dir)).select("pos", "key", "value"))
-    return engine.statistics().table(spark).select("sequence", "buffered", "buffer_capacity", "runs", "wal_entries", "read_amplification")
-
-
-@query(f"with {OPS}, few as (select * from muts where sequence <= 60) select key, value, sequence from (select *, row_number() over (partition by key order by sequence desc) as r from few) where r = 1")
-def wal_recovery(spark, sf_dir):
-    """Sixty writes, one by one, read by another engine after a restart: from the log and from sealed runs."""
-    registry = stores(spark, buffer_capacity=25)
-    engine = registry.store()
-    for r in versions(spark, sf_dir).where("sequence <= 60").orderBy("sequence").collect():  # sixty rows
-        engine.put(r["key"], r["value"]) if r["value"] is not None else engine.delete(r["key"])
-    registry.purge()
-    return registry.store().entries()
+    per_level = F.array_join(F.transform(F.map_entries("runs_per_level"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return engine.statistics().table(spark).select("sequence", "buffered", "buffer_capacity", "runs", "wal_entries", "levels", "read_amplification", per_level.alias("per_level"))
 
 
 @query(f"with {OPS} select key, value, sequence from newest")
-def wal_recovery_all(spark, sf_dir):
+def wal_recovery(spark, sf_dir):
     """All mutations of events, one by one, read by another engine after a restart: from the log and from sealed runs."""
     every = versions(spark, sf_dir)
     keys = every.select("key").distinct().count()
@@ -362,7 +370,7 @@ def import_view(spark, sf_dir):
     path = f"{registry.root}/ops.jsonl"
     lines = workload(spark, sf_dir).orderBy("pos").select(F.to_json(F.struct(F.col("op").alias("type"), "key", "value")).alias("value"))
     lines.coalesce(1).write.text(path)
-    registry.store().replay(TextSource(spark, path, "jsonl").operations())
+    registry.store().replay(TextSource(spark, path, "jsonl", registry.root).operations())
     return registry.view()
 
 
@@ -377,12 +385,12 @@ def store_isolation(spark, sf_dir):
     return out[0].union(out[1])
 
 
-@query(f"with {OPS}, {_ASKED} select a.key, l.value from asked a left join live l on l.key = a.key where a.key in ('user:1', 'user:2', 'user:3', 'user:1400')")
+@query("""select concat('nation:', n_name) as key, cast(n_nationkey as varchar) as value from nation union all select concat('region:', r_name), null from region""")
 def point_get(spark, sf_dir):
-    """Reads of single keys."""
+    """Reads of single keys, one by one: every nation, which is there, and every region, which isn't."""
     engine = stores(spark).store()
-    engine.ingest(mutations(workload(spark, sf_dir)).select("pos", "key", "value"))
-    asked = [r["key"] for r in asked_keys(spark, sf_dir).distinct().where(F.col("key").isin("user:1", "user:2", "user:3", "user:1400")).collect()]  # four keys
+    engine.ingest(nations(spark, sf_dir).select("pos", F.concat(F.lit("nation:"), "key").alias("key"), F.col("pos").cast("string").alias("value")))
+    asked = [f"nation:{r['n_name']}" for r in table(spark, sf_dir, "nation").collect()] + [f"region:{r['r_name']}" for r in table(spark, sf_dir, "region").collect()]  # fixed tables
     return spark.createDataFrame([(k, engine.get(k)) for k in asked], "key string, value string")
 
 
@@ -411,14 +419,14 @@ def compaction_policy(spark, sf_dir):
     return spark.createDataFrame(rows, "l0 long, l1 long, l2 long, source long, target long, drops boolean")
 
 
-@query("select cast(1 as bigint) as removed, cast(1 as bigint) as runs, cast(3 as bigint) as live")
+@query("select n_name as key, true as there from nation")
 def prune_orphans(spark, sf_dir):
-    """A run that no manifest names is not read, and is removed."""
-    engine = stores(spark).store()
-    entries = table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("key"), F.lit("x").alias("value"))
-    engine.ingest(entries)
+    """Runs that no manifest names are not read, and are removed; what is left holds every nation."""
+    engine = stores(spark, prune_grace=0.0).store()
+    engine.ingest(nations(spark, sf_dir))
     engine.runs.write(spark.createDataFrame([("orphan", "x", 99)], ENTRY), 0, 1)
-    return spark.createDataFrame([(engine.prune(), engine.runs.count(), engine.view().count())], "removed long, runs long, live long")
+    unseen, removed, left = engine.get("orphan") is None, engine.prune(), engine.runs.files.names(f"{engine.runs.folder}/runs")
+    return engine.view().select("key", F.lit(unseen and removed == 1 and len(left) == engine.runs.count() == 1).alias("there"))
 
 
 @query(f"with {OPS} select (select count(*) from muts) + 1 as next")
@@ -434,7 +442,7 @@ def sequence_resume(spark, sf_dir):
 def levels(spark, sf_dir):
     """Runs by level after three batches, with two runs a level at most: two merged, one fresh."""
     engine = stores(spark, max_runs_per_level=2, bottom_level=2).store()
-    changes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("key"), F.lit("x").alias("value"))
+    changes = nations(spark, sf_dir)
     for i in range(3):
         engine.ingest(changes.where(F.col("pos") % 3 == i))
     return engine.levels().groupBy("level").agg(F.count("*").alias("runs"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -14,26 +12,21 @@ from tidelog.engine import Engine
 from tidelog.errors import StoreNotConfiguredError, UnsupportedDriverError
 from tidelog.locks import FileLock, NullLock
 from tidelog.plans.compaction import SizeTieredPolicy, never
-from tidelog.sources.runs import FileRunStore, memory_runs
+from tidelog.sources.files import Files
+from tidelog.sources.runs import CatalogRunStore, FileRunStore, memory_runs
 from tidelog.sources.wal import FileWal, MemoryWal, NullWal
 from tidelog.trace import Listener, silent
 
 Factory = Callable[[SparkSession, StoreConfig], Any]
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file:///") else path
-
-
 def _run_options(c: StoreConfig) -> dict[str, Any]:
-    return {"bits_per_key": c.bits_per_key, "hashes": c.hashes, "filters": c.filter != "null", "filter_keys": c.filter_keys, "grace": c.prune_grace}
+    return {"bits_per_key": c.bits_per_key, "hashes": c.hashes, "filters": c.filter != "null", "grace": c.prune_grace}
 
 
-def _near(c: StoreConfig, part: str) -> str:
-    """Logs and locks are the driver's own: beside a local store, else in a folder named in the options."""
-    root = _local(c.root or "")
-    base = c.options.get("local_dir") or (root if "://" not in root else os.path.join(tempfile.gettempdir(), "tidelog"))
-    return os.path.join(base, c.name, part)
+def _folder(c: StoreConfig) -> str:
+    """Runs, log and lock of a store lie below its root, so another host finds them and no two roots share any."""
+    return f"{c.root}/{c.name}"
 
 
 class StoreRegistry:
@@ -44,10 +37,10 @@ class StoreRegistry:
         self.settings: dict[str, dict[str, Any]] = {k: dict(v) for k, v in (DEFAULT_STORES if stores is None else stores).items()}
         self._open: dict[str, Engine] = {}
         self._logs: dict[str, MemoryWal] = {}
-        self.run_drivers: dict[str, Factory] = {"file": lambda s, c: FileRunStore(s, f"{c.root}/{c.name}", **_run_options(c)), "memory": lambda s, c: memory_runs(s, **_run_options(c))}
-        self.wal_drivers: dict[str, Factory] = {"file": lambda s, c: FileWal(_near(c, "wal"), c.sync_wal), "memory": lambda s, c: self._logs.setdefault(c.name, MemoryWal()), "null": lambda s, c: NullWal()}
+        self.run_drivers: dict[str, Factory] = {"file": lambda s, c: FileRunStore(s, _folder(c), **_run_options(c)), "catalog": lambda s, c: CatalogRunStore(s, _folder(c), c.name, c.options.get("database"), **_run_options(c)), "memory": lambda s, c: memory_runs(s, **_run_options(c))}
+        self.wal_drivers: dict[str, Factory] = {"file": lambda s, c: FileWal(Files(s), f"{_folder(c)}/wal", c.sync_wal), "memory": lambda s, c: self._logs.setdefault(c.name, MemoryWal()), "null": lambda s, c: NullWal()}
         self.policies: dict[str, Factory] = {"size_tiered": lambda s, c: SizeTieredPolicy(c.max_runs_per_level, c.bottom_level), "null": lambda s, c: never}
-        self.locks: dict[str, Factory] = {"file": lambda s, c: FileLock(_near(c, "maintenance.lock"), c.lock_wait), "null": lambda s, c: NullLock()}
+        self.locks: dict[str, Factory] = {"file": lambda s, c: FileLock(Files(s), f"{_folder(c)}/lock/maintenance", c.lock_wait), "null": lambda s, c: NullLock()}
 
     def extend_runs(self, name: str, factory: Factory) -> None:
         """A driver of runs; one of a known name takes its place."""

@@ -13,7 +13,7 @@ from tidelog.operators.replay import mutations
 def ingest_stream(engine: Engine, ops: DataFrame, checkpoint: str, name: str, once: bool = True) -> StreamingQuery:
     """Each micro-batch of operations (pos, op, key, value) becomes one run named after the query and the batch.
 
-    A batch that runs again after a crash finds its run in the manifest and does nothing, so the store has it once.
+    The manifest keeps the last batch of each query's name, so a batch that runs again after a crash does nothing, whatever has been merged since.
     ``once``: take what there is and end.
     """
 

@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 from enum import Enum
 from typing import Any
 
-from tidelog.errors import InvalidConfigurationError
-
 
 class TraceType(str, Enum):
     """The kinds of events."""
@@ -78,17 +76,15 @@ def composite(*listeners: Listener) -> Listener:
 
 
 class Logging:
-    """Writes events to a logger.  No types means all of them; a name that is no type's is an error."""
+    """Writes events to a logger.  No types means all of them; names that are no type's are ignored."""
 
     def __init__(self, store: str, types: Iterable[str] = (), logger: logging.Logger | None = None, level: int = logging.INFO):
-        try:
-            self.types = {TraceType(t) for t in types}
-        except ValueError as e:
-            raise InvalidConfigurationError(str(e)) from e
+        wanted, known = list(types), {t.value: t for t in TraceType}
+        self.all, self.types = not wanted, {known[t] for t in wanted if t in known}
         self.store, self.logger, self.level = store, logger or logging.getLogger("tidelog"), level
 
     def __call__(self, event: TraceEvent) -> None:
-        if not self.types or event.type in self.types:
+        if self.all or event.type in self.types:
             self.logger.log(self.level, "tidelog[%s] %s", self.store, event.message)
 
 
