@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tidelog.llm.memory import tidy
 from tidelog.llm.shared import filesystem, materialize
 
 #: Bytes of text in a block; a longer document is a block of its own.  Larger for larger clusters: buckets times blocks
@@ -63,7 +64,7 @@ def write_blocks(docs: DataFrame, uri: str, block_bytes: int = BLOCK_BYTES) -> D
 
     import pyarrow.compute  # noqa: F401  before the function is sent
 
-    return materialize(docs.mapInArrow(write, MANIFEST), f"{uri}/manifest")
+    return materialize(docs.mapInArrow(tidy(write), MANIFEST), f"{uri}/manifest")
 
 
 def read_block(path: str) -> pa.Table:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.memory import tidy
 from tidelog.llm.shared import materialize, texts, work_dir
 from tidelog.llm.tokens import encoder
 
@@ -125,7 +126,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, size: int) -> D
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return texts(docs).mapInArrow(cut, PIECES)
+    return texts(docs).mapInArrow(tidy(cut, "tokens"), PIECES)
 
 
 def pack(spark: SparkSession, pieces: DataFrame, size: int) -> DataFrame:

@@ -28,6 +28,7 @@ from itertools import product
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelog.llm.memory import hold, tidy
 from tidelog.llm.shared import texts
 
 #: Words kept in each of a process's two caches, and the longest that is kept.
@@ -240,6 +241,7 @@ def lattice(path: str, n: int) -> PieceLattice:
     if (path, n) not in _BY_PATH:
         gc.set_threshold(500_000, 20, 100)  # the caches hold millions of tuples without cycles; don't walk them all the time
         _BY_PATH[path, n] = PieceLattice(path, n)
+        hold("pieces", _BY_PATH.clear)
     return _BY_PATH[path, n]
 
 
@@ -266,4 +268,4 @@ def nbest_segmentations(docs: DataFrame, model_path: str, n: int = 3, keep_ids:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns[:keep], types)], names=names[:keep])
 
     schema = "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids binary" * keep_ids
-    return texts(docs).mapInArrow(each, schema)
+    return texts(docs).mapInArrow(tidy(each, "pieces"), schema)

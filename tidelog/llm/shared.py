@@ -28,10 +28,12 @@ def _remove(uri: str) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one is set only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one is set only where it is unset and there is no cluster."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         atexit.register(_remove, root)
         sc.setCheckpointDir(root)

@@ -22,6 +22,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.memory import tidy
 from tidelog.llm.shared import filesystem, materialize, texts, work_dir
 from tidelog.llm.tokens import encoder
 
@@ -137,7 +138,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer_path: str, end_id: in
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": out.n_docs, "n_tokens": out.n_tokens, "width": width}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return materialize(ordered.mapInArrow(write, MANIFEST), f"{uri}/manifest")
+    return materialize(ordered.mapInArrow(tidy(write, "tokens"), MANIFEST), f"{uri}/manifest")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:

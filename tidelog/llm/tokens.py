@@ -15,6 +15,8 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
+from tidelog.llm.memory import hold
+
 #: Entries kept in each cache of a process, and the longest that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 80
 #: Letters for which the split, lower-casing and normal form are known without asking the library.
@@ -35,6 +37,17 @@ BYTE_ALPHABET = byte_alphabet()
 
 
 _BY_PATH: dict[str, ChunkEncoder] = {}
+#: How common characters are in texts, roughly: the rarest of a string tells first whether a text may hold it.
+RARE = "|<>[]_#*"
+
+
+def _rarest(text: str) -> str:
+    return min(text, key=lambda c: RARE.find(c) % 99)
+
+
+def _rough(text: str) -> bool:
+    """Whether blanks stand at an end or side by side; with none of these, other white space changes the number of words."""
+    return text[:1].isspace() or text[-1:].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
 
 
 def _kind(path: str) -> str:
@@ -58,7 +71,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        # the library takes these strings out of a text before anything else; a text that may hold one is encoded whole
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(re.escape(t) for t in added), re.IGNORECASE) if added else None
+        self.added_chars = {_rarest(t) for t in added if t}
         self.kind = _kind(path)
         self.model = self.tokenizer.model
         self.merged: dict[str, bytes] = {}
@@ -107,6 +123,12 @@ class ChunkEncoder:
         for cache in (self.merged, self.plain, self.spaced):
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
+        if self.added is not None and self.kind != "whole":
+            special = [i for i, t in enumerate(texts) if any(c in t for c in self.added_chars) and self.added.search(t)]
+            if special:
+                whole = dict(zip(special, self._library([texts[i] for i in special])))
+                rest = iter(self._some([t for i, t in enumerate(texts) if i not in whole]))
+                return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         if self.kind == "drops":
             split = [t.replace("\n", " ").split(" ") for t in texts]
             extra: dict[str, bytes] = {}
@@ -115,8 +137,8 @@ class ChunkEncoder:
             return [b"".join(map(get, words)) for words in split]
         if self.kind == "leads":
             lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
-            # other white space, two in a row, or one at an end: such a text isn't cut plainly
-            rough = [i for i, t in enumerate(texts) if len(t.split()) != sum(map(len, lines[i]))]
+            # other white space, two blanks in a row, or one at an end: such a text isn't cut plainly
+            rough = [i for i, t in enumerate(texts) if _rough(t) or len(t.split()) != sum(map(len, lines[i]))]
             whole = dict(zip(rough, self._library([texts[i] for i in rough])))
             for i in rough:
                 lines[i] = []
@@ -139,4 +161,5 @@ def encoder(path: str) -> ChunkEncoder:
     """This process's encoder of a tokenizer file; workers are reused, so the cache outlives a task."""
     if path not in _BY_PATH:
         _BY_PATH[path] = ChunkEncoder(path)
+        hold("tokens", _BY_PATH.clear)
     return _BY_PATH[path]
