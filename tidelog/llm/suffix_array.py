@@ -9,7 +9,8 @@ equal ones meet, and most never need sorting:
 
 1.  In each window of LENGTH bytes the GRAM with the smallest hash is its anchor.  Equal windows have equal anchors in
     the same place, so they are found among the windows around one gram.  An anchor's surroundings are all bytes of
-    windows that contain it.  Only a hash of gram and surroundings is sent out, with the document's id.
+    windows that contain it.  Only digests of gram and surroundings are sent out (the surroundings' has 128 bits), with the smallest
+    document of the block that has them.
 2.  Where a smaller document has the same surroundings, all of them are covered: copies end here, whatever their number.
     Of each different surroundings of a gram one owner is left, the document with the smallest id.
 3.  Owners of different surroundings of one gram may still share windows.  Only their bytes are sent, dealt out by gram,
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.blocks import read_block, spread, write_blocks
+from tidelog.llm.memory import tidy, tidy_group
 from tidelog.llm.shared import materialize, work_dir
 
 LENGTH, GRAM = 50, 24
@@ -122,7 +124,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and gram hashes of the anchors of all windows within documents; starts has the end as its last."""
     places, hashes = [], []
-    step, span = 1 << 20, LENGTH - GRAM + 1
+    step, span = 1 << 18, LENGTH - GRAM + 1
     end_of = starts[1:]
     for at in range(0, max(len(data) - LENGTH + 1, 0), step):
         part = data[at : at + step + LENGTH - 1]
@@ -147,6 +149,21 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place[new], gram[new]
 
 
+def between(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` bytes are in any of the spans; a megabyte of sums at a time."""
+    left, right = np.sort(left), np.sort(right)
+    out, open_spans = np.zeros(size, bool), 0
+    for at in range(0, size, 1 << 18):
+        end = min(at + (1 << 18), size)
+        starts, ends = left[slice(*np.searchsorted(left, (at, end)))] - at, right[slice(*np.searchsorted(right, (at, end)))] - at
+        change = np.bincount(starts, minlength=end - at).astype(np.int32) - np.bincount(ends, minlength=end - at).astype(np.int32)
+        change[0] += open_spans
+        level = np.cumsum(change, dtype=np.int32)
+        out[at:end] = level > 0
+        open_spans = int(level[-1])
+    return out
+
+
 class BlockText:
     """A block's bytes, document by document, and its anchors with their surroundings."""
 
@@ -162,51 +179,64 @@ class BlockText:
             self.doc = np.searchsorted(self.starts, self.place, "right") - 1
             self.left = np.maximum(self.place - (LENGTH - GRAM), self.starts[self.doc])
             self.right = np.minimum(self.place + LENGTH, self.starts[self.doc + 1])
-            bucket = ((self.gram >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.int64)
-            self.order = np.argsort(bucket, kind="stable")
-            self.at = np.searchsorted(bucket[self.order], np.arange(n_buckets + 1))
-
-    def surroundings(self) -> np.ndarray:
-        digest, view = xxhash.xxh3_64_intdigest, memoryview(self.data)
-        found = np.array([digest(view[a:b]) for a, b in zip(self.left.tolist(), self.right.tolist())], np.uint64)
-        return found + (self.place - self.left).astype(np.uint64) * ODD[6]
+            self.n_buckets = n_buckets
+
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The digests of all anchors' surroundings, 128 bits as two columns; the anchors that speak for those of the block with the same surroundings,
+        in the order of buckets; and for each anchor which of them speaks for it: the one in the document with the smallest id."""
+        digest, view = xxhash.xxh3_128_digest, memoryview(self.data)
+        raw = b"".join([digest(view[a:b]) for a, b in zip(self.left.tolist(), self.right.tolist())])
+        unit = np.frombuffer(raw, "<u8").reshape(-1, 2) + ((self.place - self.left).astype(np.uint64) * ODD[6])[:, None]
+        bucket = ((self.gram >> np.uint64(24)) % np.uint64(self.n_buckets)).astype(np.int64)
+        order = np.lexsort((self.ids[self.doc], unit[:, 1], unit[:, 0], bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = (unit[order[1:]] != unit[order[:-1]]).any(axis=1) | (bucket[order[1:]] != bucket[order[:-1]])
+        speaks = np.empty(len(order), np.int64)
+        speaks[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.at = np.searchsorted(bucket[first], np.arange(self.n_buckets + 1))
+        return unit, first, speaks
 
 
 def _send(manifest: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, block, data): gram, surroundings and document of each anchor, packed by column."""
+    """(bucket, block, data): gram, surroundings and document, packed by column, of each anchor that speaks for its like in the block.
+
+    So surroundings that are in every document cost a row for each block.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, path in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist()):
                 b, rows = BlockText(path, n_buckets), []
-                around = b.surroundings()
+                unit, first, _ = b.units()
                 for i in np.flatnonzero(np.diff(b.at)):
-                    some = b.order[b.at[i] : b.at[i + 1]]
+                    some = first[b.at[i] : b.at[i + 1]]
                     gram = np.ascontiguousarray(b.gram[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                    rows.append((int(i), block, gram.tobytes() + around[some].astype("<u8").tobytes() + b.ids[b.doc[some]].astype("<i8").tobytes()))
+                    rows.append((int(i), block, gram.tobytes() + unit[some].T.tobytes() + b.ids[b.doc[some]].astype("<i8").tobytes()))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block", "data"])
 
-    return manifest.mapInArrow(each, "bucket int, block long, data binary")
+    return manifest.mapInArrow(tidy(each), "bucket int, block long, data binary")
 
 
 def _judge(sent: DataFrame, owners_of_a_sort: int) -> DataFrame:
-    """(block, bucket, data): a byte for each anchor: KEPT, COVERED, or OWNER plus the logarithm of the sorts to deal to."""
+    """(block, bucket, data): a byte for each anchor that was sent: KEPT, COVERED, or OWNER plus the logarithm of the sorts to deal to."""
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
-        grams, around, ids, sizes = [], [], [], []
+        grams, high, low, ids, sizes = [], [], [], [], []
         for data in group["data"]:
-            n = len(data) // 22
+            n = len(data) // 30
             full = np.zeros((n, 8), np.uint8)
             full[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(n, 6)
             grams.append(full.view("<u8").ravel())
-            around.append(np.frombuffer(data, "<u8", n, 6 * n))
-            ids.append(np.frombuffer(data, "<i8", n, 14 * n))
+            high.append(np.frombuffer(data, "<u8", n, 6 * n))
+            low.append(np.frombuffer(data, "<u8", n, 14 * n))
+            ids.append(np.frombuffer(data, "<i8", n, 22 * n))
             sizes.append(n)
-        gram, unit, doc = np.concatenate(grams), np.concatenate(around), np.concatenate(ids)
-        order = np.lexsort((doc, unit, gram))
-        gram, unit, doc = gram[order], unit[order], doc[order]
+        gram, unit, other, doc = np.concatenate(grams), np.concatenate(high), np.concatenate(low), np.concatenate(ids)
+        order = np.lexsort((doc, other, unit, gram))
+        gram, unit, other, doc = gram[order], unit[order], other[order], doc[order]
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-        new_unit = new_gram | np.concatenate([[True], unit[1:] != unit[:-1]])
+        new_unit = new_gram | np.concatenate([[True], (unit[1:] != unit[:-1]) | (other[1:] != other[:-1])])
         of_unit, of_gram = np.cumsum(new_unit) - 1, np.cumsum(new_gram) - 1
         owner = doc[new_unit]  # the smallest document with these surroundings
         first_unit = of_unit[new_gram]
@@ -222,7 +252,7 @@ def _judge(sent: DataFrame, owners_of_a_sort: int) -> DataFrame:
         back[order] = verdict
         return pd.DataFrame({"block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "data": [x.tobytes() for x in np.split(back, np.cumsum(sizes)[:-1])]})
 
-    return sent.groupBy("bucket").applyInPandas(each, "block long, bucket int, data binary")
+    return sent.groupBy("bucket").applyInPandas(tidy_group(each), "block long, bucket int, data binary")
 
 
 def _apply(manifest: DataFrame, verdicts: DataFrame, n_buckets: int) -> DataFrame:
@@ -233,21 +263,20 @@ def _apply(manifest: DataFrame, verdicts: DataFrame, n_buckets: int) -> DataFram
         known = dict(zip(judged["bucket"], judged["data"]))
         for block, path in zip(listed["block"], listed["path"]):
             b = BlockText(path, n_buckets)
-            verdict = np.zeros(len(b.place), np.uint8)
-            for i in np.flatnonzero(np.diff(b.at)):
-                verdict[b.order[b.at[i] : b.at[i + 1]]] = np.frombuffer(known[int(i)], np.uint8)
-            change = np.zeros(len(b.data) + 1, np.int32)
+            _, first, speaks = b.units()
+            told = np.concatenate([np.frombuffer(known[int(i)], np.uint8) for i in np.flatnonzero(np.diff(b.at))] or [np.zeros(0, np.uint8)])
+            whose = b.ids[b.doc]
+            # a larger document than the one that speaks for an anchor has the same surroundings as a smaller one
+            verdict = np.where(whose > whose[first][speaks], COVERED, told[speaks]) if len(first) else told
             gone = verdict == COVERED
-            np.add.at(change, b.left[gone], 1)
-            np.add.at(change, b.right[gone], -1)
-            covered = np.cumsum(change[:-1]) > 0
+            covered = between(b.left[gone], b.right[gone], len(b.data))
             out.append(pd.DataFrame({"block": [block], "gram": pd.array([None], "Int64"), "sorts": [0], "doc": [0], "start": [0], "data": [np.packbits(covered).tobytes()]}))
             own = np.flatnonzero(verdict >= OWNER)
             if len(own):
                 out.append(pd.DataFrame({"block": block, "gram": pd.array(b.gram[own].view(np.int64), "Int64"), "sorts": verdict[own].astype(int) - OWNER, "doc": b.ids[b.doc[own]], "start": b.left[own], "data": [b.data[x:y] for x, y in zip(b.left[own].tolist(), b.right[own].tolist())]}))
         return pd.concat(out) if out else pd.DataFrame(columns=["block", "gram", "sorts", "doc", "start", "data"])
 
-    return manifest.select("block", "path").groupBy("block").cogroup(verdicts.groupBy("block")).applyInPandas(each, "block long, gram long, sorts int, doc long, start long, data binary")
+    return manifest.select("block", "path").groupBy("block").cogroup(verdicts.groupBy("block")).applyInPandas(tidy_group(each), "block long, gram long, sorts int, doc long, start long, data binary")
 
 
 def _sort(owners: DataFrame) -> DataFrame:
@@ -277,13 +306,13 @@ def _sort(owners: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"block": block[unit[at]], "data": [x.tobytes() for x in (start[unit] + inside)[at].astype("<i8")], "digest": digests, "doc": whose[mine]}))
         return pd.concat(out) if out else pd.DataFrame({"block": pd.Series([], dtype="int64"), "data": pd.Series([], dtype=object), "digest": pd.Series([], dtype=object), "doc": pd.Series([], dtype="int64")})
 
-    return owners.groupBy("task", "part").applyInPandas(each, "block long, data binary, digest binary, doc long")
+    return owners.groupBy("task", "part").applyInPandas(tidy_group(each), "block long, data binary, digest binary, doc long")
 
 
 def covered_bytes(spark: SparkSession, manifest: DataFrame, folder: str, owners_of_a_sort: int = OWNERS) -> DataFrame:
     """(block, data): bits of a block's covered bytes, or window starts (kind 1), any number of rows for each block."""
     spaced, n_blocks = spread(manifest)
-    n_buckets = min(max(8, n_blocks // 2), 8192)
+    n_buckets = max(8, n_blocks // 2)  # a bucket has what two blocks send, whatever the number of blocks
     verdicts = materialize(_judge(_send(spaced, n_buckets), owners_of_a_sort), f"{folder}/verdicts")
     applied = materialize(_apply(manifest, verdicts, n_buckets), f"{folder}/applied")
     owners = applied.where("gram is not null")
@@ -307,19 +336,19 @@ def finish(manifest: DataFrame, covered: DataFrame, result: Callable[[BlockText,
         out = []
         for path in listed["path"].to_pylist():
             b = BlockText(path)
-            change = np.zeros(len(b.data) + 1, np.int32)
-            gone = np.zeros(len(b.data), bool)
-            for kind, data in zip(found["kind"].to_pylist(), found["data"].to_pylist()):
-                if kind:
-                    starts = np.frombuffer(data, "<i8")
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, starts + LENGTH, -1)
+            gone, starts = np.zeros(len(b.data), bool), []
+            for kind, data in zip(found["kind"], found["data"]):
+                if kind.as_py():
+                    starts.append(np.frombuffer(data.as_buffer(), "<i8"))
                 else:
-                    gone |= np.unpackbits(np.frombuffer(data, np.uint8), count=len(gone)).astype(bool)
-            out.append(result(b, gone | (np.cumsum(change[:-1]) > 0)))
+                    gone |= np.unpackbits(np.frombuffer(data.as_buffer(), np.uint8), count=len(gone)).view(bool)
+            if starts:
+                every = np.concatenate(starts)
+                gone |= between(every, every + LENGTH, len(gone))
+            out.append(result(b, gone))
         return pa.concat_tables(out)
 
-    return manifest.select("block", "path").groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(each, schema)
+    return manifest.select("block", "path").groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(tidy_group(each), schema)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -355,18 +384,15 @@ def without_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int | Non
 
     def kept(b: BlockText, gone: np.ndarray) -> pa.Table:
         """Each run of covered bytes shrinks to whole characters."""
-        tail = (b.bytes & 0xC0) == 0x80
-        first = ~tail
-        whole = gone.copy()
-        if len(gone):
-            at = np.flatnonzero(first)
-            lengths = np.diff(np.append(at, len(gone)))
-            whole = np.repeat(np.add.reduceat(gone.astype(np.int64), at) == lengths, lengths)
         old, texts = b.table["text"].to_pylist(), []
         for i, text in enumerate(old):
             a, e = int(b.starts[i]), int(b.starts[i + 1])
-            g = whole[a:e]
-            texts.append(b.bytes[a:e][~g].tobytes().decode() if g.any() else text)
+            stays = ~gone[a:e]
+            if not stays.all():
+                at = np.flatnonzero((b.bytes[a:e] & 0xC0) != 0x80)  # a character stays if any of its bytes does
+                stays = np.repeat(np.logical_or.reduceat(stays, at), np.diff(np.append(at, e - a)))
+                text = b.bytes[a:e][stays].tobytes().decode()
+            texts.append(text)
         out = b.table.set_column(b.table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         if "n_chars" in out.column_names:
             field = out.schema.field("n_chars")
