@@ -15,8 +15,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root): every linked node with the smallest node it reaches.
 
-    A node's smallest neighbour comes from an aggregation and is joined back, so a node with very many links is never
-    gathered in one place.  Each round is a written table; the rounds needed grow with the logarithm of the longest path.
+    A node's smallest neighbour comes from an aggregation with partial sums and is joined back.  Both sides of that join are plain
+    exchanges, as both are written first, so Spark splits the partition of a node with very many links.  Each round is a written table; the rounds needed grow with the logarithm of the longest path.
     """
     folder, n = work_dir(spark, "components"), 0
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -24,9 +24,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     state = _state(now)
     while True:
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{folder}/least-{n}")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large, f"{folder}/large-{n}")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{folder}/least-of-large-{n}")
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", "m")).distinct()
         n += 1

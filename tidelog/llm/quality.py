@@ -4,6 +4,9 @@ Each document fails or passes a base rule (too few words, or too many in repeate
 host; a beta prior fitted to all hosts' rates by moments shrinks each host's rate, and a host is rejected if even a
 low posterior bound of its rate passes a limit.  The verdict is joined back to the host's documents.
 
+Limit and deviations are chosen so that a verdict costs few clean documents: a host goes when more than half of what it has fails, which
+the posterior has to say with three deviations to spare, so that a host of few documents is spared however bad they are.
+
 Corner cases: a null text has no words and so fails; a null host is a host like any other; repeated ids and rows are
 judged one by one; other columns are ignored; an empty table gives no rows.
 """
@@ -17,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.shared import SPACE, materialize, work_dir
+from tidelog.llm.memory import tidy
+from tidelog.llm.shared import SPACE, free, materialize, work_dir
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -76,7 +81,7 @@ def judge_documents(docs: DataFrame, host: str = "source", least_words: int = 20
             rows = [counts_of(t) for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5))], names=["doc_id", "host", *COUNTS])
 
-    found = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text")).mapInArrow(each, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    found = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text")).mapInArrow(tidy(each), "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
     return found.withColumn("base_failed", failed(least_words, repeat_percent))
 
 
@@ -84,21 +89,22 @@ def failed(least_words: int = 20, repeat_percent: int = 30):
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, host: str = "source", limit: float = 0.5, sigmas: float = 3.0) -> DataFrame:
-    """The rows of docs that pass the base rules and come from hosts that aren't rejected."""
-    hosts = judge_hosts(judge_documents(docs, host), limit, sigmas).where("rejected").select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
-    hosts = materialize(hosts, f"{work_dir(spark, 'quality')}/rejected")
+def keep_good(spark: SparkSession, docs: DataFrame, host: str = "source", limit: float = 0.5, sigmas: float = 3.0, least_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+    """The rows of docs that pass the base rules and come from hosts that aren't rejected.
+
+    Each text is counted once: the rows are written with what the base rules say, and its hosts are judged from that.
+    """
+    folder, bad, rejected = work_dir(spark, "quality"), free(docs, "failed"), free(docs, "rejected")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for text in batch.column("text").to_pylist():
-                n, _, _, _, repeated = counts_of(text)
-                good.append(n >= 20 and 100 * repeated <= 30 * n)
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    kept = docs.mapInArrow(each, docs.schema)
-    return kept.join(hosts.select("_host"), kept[host].cast("string").eqNullSafe(F.col("_host")), "left_anti")
+            counts = [counts_of(t) for t in batch.column("text").to_pylist()]
+            yield batch.append_column(bad, pa.array([n < least_words or 100 * repeated > repeat_percent * n for n, _, _, _, repeated in counts], pa.bool_()))
+
+    judged = materialize(docs.mapInArrow(tidy(each), T.StructType([*docs.schema, T.StructField(bad, T.BooleanType())])), f"{folder}/judged")
+    hosts = judge_hosts(judged.select(F.col(host).cast("string").alias("host"), F.col(bad).alias("base_failed")), limit, sigmas).where("rejected")
+    hosts = materialize(hosts.select(F.col("host").alias(rejected)), f"{folder}/rejected")
+    return judged.where(~F.col(bad)).drop(bad).join(hosts, F.col(host).cast("string").eqNullSafe(F.col(rejected)), "left_anti")
 
 
 def judge_hosts(judged: DataFrame, limit: float = 0.5, sigmas: float = 3.0) -> DataFrame:

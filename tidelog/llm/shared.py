@@ -62,6 +62,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with as many marks before it as it takes to be no column's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod5(doc_id="doc_id"):
     """crc32 of the id as decimal text, mod 5: the folds of the contracts."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
+from tidelog.llm.memory import tidy
 from tidelog.llm.shared import materialize, texts, work_dir
 
 #: Distinct fingerprints of a cell that are compared in one go; a fuller cell is cut into blocks, compared two by two.
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, size: int, *more: str) -> DataFrame:
             fps = np.array([fingerprint(shingles(t.encode().lower().split(), size)) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(each, "doc_id long, fp long")
+    return texts(docs).mapInArrow(tidy(each), "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -134,7 +135,7 @@ def cell_links(cells: DataFrame, radius: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield links(held)
 
-    return cells.mapInArrow(each, "a long, b long")
+    return cells.mapInArrow(tidy(each), "a long, b long")
 
 
 def near_links(spark: SparkSession, distinct: DataFrame, radius: int, cell: int = CELL) -> DataFrame:

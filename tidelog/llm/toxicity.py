@@ -9,7 +9,7 @@ score.
 
 Corner cases: a null or empty text has no hits and gets the score of such documents; a document labelled twice is
 toxic if any label says so; null labels and null ids teach nothing; without a toxic or without a clean labelled
-document every score is 0, or NO_HIT if all are toxic; a text without a hit scores NO_HIT at most; other columns are ignored; an empty table gives no rows.
+document, or without a word that tells them apart, every score is 0; of texts with one id the smallest in the order of bytes teaches; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.memory import tidy
 from tidelog.llm.shared import crc_mod5, materialize, texts, work_dir
 
 #: Labelled documents that lexicon and model are fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Terms of the lexicon, at most, and words known to be clean although close to a term.
-TERMS, EXCEPTIONS = 600, 5_000
 #: Quotation marks that open and close, and verbs that report what someone said.
 OPENING, CLOSING, EITHER = "“«„‹‘", "”»“›’", "\"'"
 REPORTING = {"said", "says", "wrote", "writes", "called", "quoted", "quote", "dit", "écrit", "sagte", "schrieb", "dijo", "escribió"}
@@ -39,9 +38,8 @@ MARKS = ".,;:!?()[]{}<>*#$%&|~_-–—…/\\+=^`@" + OPENING + CLOSING + EITHER
 #: Words on either side that make up a hit's window.
 WINDOW = 8
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-STATES = 100_000
-#: The most that a text without any hit scores: nothing in it speaks against it.
-NO_HIT = 0.49
+#: States of the automaton that a process keeps.
+STATES = 50_000
 
 
 def errors_allowed(term: str) -> int:
@@ -208,9 +206,8 @@ class ToxicityModel:
 
     def score(self, text: str) -> float:
         x = self.lexicon.features(text)
-        most = 1.0 if any(x) else NO_HIT
         z = self.weights[-1] + sum([w * (v - c) / s for w, v, c, s in zip(self.weights, x, self.center, self.scale)])
-        return min(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), most)
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[list[float], list[float], list[float]]:
@@ -232,7 +229,8 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample:
     known = labels.where("doc_id is not null and toxic is not null").where(crc_mod5() != held_out_fold)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return texts(docs).join(F.broadcast(known), "doc_id")  # no larger than the sample
+    found = texts(docs).join(F.broadcast(known), "doc_id")  # no larger than the sample
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def mine_lexicon(train: DataFrame, least: int = 3, z: float = 4.0, precision: float = 0.8) -> Lexicon:
@@ -268,7 +266,7 @@ def mine_lexicon(train: DataFrame, least: int = 3, z: float = 4.0, precision: fl
         if rows:
             yield out(rows)
 
-    found = train.mapInArrow(count, "word string, sketch long, clean long")
+    found = train.mapInArrow(tidy(count), "word string, sketch long, clean long")
     counts = found.groupBy("word", "sketch").agg(F.sum("clean").alias("clean")).groupBy("word").agg(F.count("sketch").alias("t"), F.sum("clean").alias("c"))
     counts = materialize(counts, f"{work_dir(train.sparkSession, 'lexicon')}/counts")
     total = counts.where("word = ''").first()
@@ -278,7 +276,7 @@ def mine_lexicon(train: DataFrame, least: int = 3, z: float = 4.0, precision: fl
     odds = F.log((t + 0.5) / (nt - t + 0.5)) - F.log((c + 0.5) / (nc - c + 0.5))
     deviation = F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
     better = counts.where(F.col("word") != "").where((t >= least) & (t >= precision * (t + c)) & (odds > z * deviation))
-    terms = [r["word"] for r in better.orderBy(F.desc(odds / deviation), "word").limit(TERMS).select("word").collect()]
+    terms = [r["word"] for r in better.orderBy(F.desc(odds / deviation), "word").select("word").collect()]  # of words in the sample
     lexicon = Lexicon(terms)
     chosen = set(terms)
 
@@ -287,8 +285,8 @@ def mine_lexicon(train: DataFrame, least: int = 3, z: float = 4.0, precision: fl
         for batch in batches:
             yield batch.filter(pa.array([w not in chosen and automaton.match(w) is not None for w in batch.column(0).to_pylist()], pa.bool_()))
 
-    near = counts.where((F.col("c") > 0) & (F.col("t") < precision * (t + c))).select("word", "c").mapInArrow(close, "word string, c long")
-    lexicon.clean = [r["word"] for r in near.orderBy(F.desc("c"), "word").limit(EXCEPTIONS).collect()]
+    near = counts.where((F.col("c") > 0) & (F.col("t") < precision * (t + c))).select("word", "c").mapInArrow(tidy(close), "word string, c long")
+    lexicon.clean = [r["word"] for r in near.orderBy(F.desc("c"), "word").collect()]  # of words in the sample, those close to a term
     lexicon.__post_init__()
     return lexicon
 
@@ -304,13 +302,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int
             rows = [mine.features(t) for t in batch.column(0).to_pylist()]
             yield pa.record_batch([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = train.select("text", "toxic").mapInArrow(look, "toxic int, x array<double>").collect()  # no more than the sample
+    rows = train.select("text", "toxic").mapInArrow(tidy(look), "toxic int, x array<double>").collect()  # no more than the sample
     y = np.array([r["toxic"] for r in rows], float)
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), 5)
-    if len(set(y.tolist())) < 2:
-        share = float(y.mean()) if len(y) else 0.0
-        constant = 40.0 if share == 1 else -40.0
-        return ToxicityModel(lexicon, [0.0] * 5 + [constant], [0.0] * 5, [1.0] * 5)
+    if len(set(y.tolist())) < 2 or not lexicon.terms:
+        return ToxicityModel(lexicon, [0.0] * 5 + [-40.0], [0.0] * 5, [1.0] * 5)  # nothing tells texts apart
     return ToxicityModel(lexicon, *fit_logistic(x, y))
 
 
@@ -324,7 +320,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([mine.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(each), "doc_id long, score double")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, limit: float = 0.5) -> DataFrame:
@@ -338,7 +334,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, limit
         for batch in batches:
             yield batch.filter(pa.array([mine.score(t or "") < limit for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tidy(each), docs.schema)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, sample: int = SAMPLE) -> DataFrame:

@@ -5,6 +5,9 @@ suffix.  A suffix's rate is shrunk towards the rate of all, a domain's towards i
 domain's; the strength of each prior is fitted by moments to the rates one level below it.  A page whose host has a
 posterior low bound over a limit is blocked; the others, and those about which nothing is known, are allowed.
 
+Limit and deviations are chosen so that a page is blocked on reputation only if bad pages are the greater part of its host with two
+deviations to spare: a host of few labelled pages, or of as many good as bad ones, is spared.
+
 Corner cases: a null url, or one without ``://``, has an empty host and path; such pages share one reputation like any
 host's; repeated rows are judged one by one; other columns are ignored; an empty table gives no rows.
 """
