@@ -8,6 +8,7 @@ import re
 import sys
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,18 @@ def test_chunks_encode_as_the_library_does(name, given_texts):
     assert e.encode(given_texts) == e._library(given_texts)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_an_untouched_library(name):
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path(name), random.Random(1)
+    every = ["".join(x) for k in range(5) for x in product("a,1 \t\r\n\u00a0\u0085\u2028", repeat=k)]
+    bits = ["a", "b c", " ", "  ", "\n", "\t", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "é", "1", "'s", ".", "\u0301", "İ", "\x1c", "\u3000"]
+    every += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    wanted = Tokenizer.from_file(path).encode_batch(every, add_special_tokens=False)
+    assert encoder(path).encode(every) == [np.asarray(e.ids, "<u4").tobytes() for e in wanted]
+
+
 def test_token_files(spark, sf, texts, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -67,35 +80,86 @@ def test_token_files(spark, sf, texts, tmp_path):
     assert np.array_equal(np.concatenate(seen), np.concatenate(every))
 
 
-def test_suffix_tree(spark, sf, texts):
-    rows = {r["doc_id"]: r for r in suffix_tree.score_documents(spark, spark.read.parquet(f"{sf}/documents.parquet"), block_bytes=50_000).collect()}
-    words = {i: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) for i, t in texts}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts}
-    c = Counter(w for i, ws in words.items() if not held[i] for w in [*ws, None])
+def tree_by_hand(docs, held, depth=2):
+    """Scores of documents by counting whole contexts in dictionaries."""
+    c = Counter(w for i, ws in docs for w in [*ws, None] if not held[i])
+    bottom = sum(c.values()) + 0.5 * (len(c) + 1)
+    follows = [{} for _ in range(depth + 1)]
+    for i, ws in docs:
+        s = [None] * depth + ws + [None]
+        for j in range(depth, len(s)):
+            for n in range(1, depth + 1):
+                if not held[i]:
+                    follows[n].setdefault(tuple(s[j - n : j]), Counter())[s[j]] += 1
+    states = {}
+
+    def p(context, w):
+        out = (c[w] + 0.5) / bottom
+        for n in range(1, depth + 1):
+            if (f := states.get(context[depth - n :])) is not None:
+                out = (f[w] + 8 * len(f) * out) / (sum(f.values()) + 8 * len(f))
+        return out
+
+    for n in range(1, depth + 1):
+        new = {}
+        for context, f in follows[n].items():
+            total, gain = sum(f.values()), 0.0
+            for w, x in f.items():
+                kinds = len(f) - (x == 1)
+                before = p((0,) * (depth - n + 1) + context[1:], w)
+                if kinds:
+                    gain += x * math.log((x - 1 + 8 * kinds * before) / (total - 1 + 8 * kinds) / before)
+            if total >= 2 and gain > 2:
+                new[context] = f
+        states |= new
+    scores = {}
+    for i, ws in docs:
+        s = [None] * depth + ws + [None]
+        scores[i] = sum(math.log10(p(tuple(s[j - depth : j]), s[j])) for j in range(depth, len(s)))
+    return scores, states
+
+
+def words_and_folds(texts):
+    words = [(i, WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))) for i, t in texts]
+    return words, {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts}
+
+
+@pytest.mark.parametrize("hot", [1 << 21, 20])
+def test_suffix_tree(spark, sf, texts, hot):
+    """Every column against dictionaries, also with many contexts spread over buckets."""
+    rows = {r["doc_id"]: r for r in suffix_tree.score_documents(spark, spark.read.parquet(f"{sf}/documents.parquet"), block_bytes=50_000, hot=hot).collect()}
+    words, held = words_and_folds(texts)
+    c = Counter(w for i, ws in words if not held[i] for w in [*ws, None])
     n, v = sum(c.values()), len(c)
-    for i, ws in words.items():
+    scores, states = tree_by_hand(words, held)
+    assert len({len(s) for s in states}) == 2 and len(states) > 1000
+    for i, ws in words:
         r = rows[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws) + 1, sum(c[w] > 0 for w in [*ws, None]), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*ws, None]), abs_tol=1e-6)
-        assert r["score"] < 0
-
-
-def test_suffix_tree_states_are_distributions():
-    rng = random.Random(2)
-    docs = [[bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 30))] for _ in range(40)] + [[b"abab"] * 50]
-    codes, starts = suffix_tree.symbols(docs)
-    assert len(codes) == starts[-1] == sum(sum(len(w) + 1 for w in d) + 1 for d in docs)
-    codes, counts = suffix_tree.summed(codes, np.ones(len(codes), np.int64))
-    parts: dict[int, list] = {}
-    for last in np.unique(codes >> np.uint64(8) & np.uint64(0xFFFFFF)):  # as the buckets do
-        mine = codes >> np.uint64(8) & np.uint64(0xFFFFFF) == last
-        for n, p in suffix_tree.tree_part(codes[mine], counts[mine], 2):
-            parts.setdefault(n, []).append(suffix_tree._unpack(p))
-    tree = suffix_tree.SuffixTree.grown({n: suffix_tree.summed(*(np.concatenate(x) for x in zip(*p))) for n, p in parts.items()}, 2)
-    assert max(tree.levels) >= 3
-    for context in np.unique(codes >> np.uint64(8))[::7]:
-        p = 10.0 ** tree.log10((context << np.uint64(8)) + np.arange(256, dtype=np.uint64))
-        assert math.isclose(p.sum(), 1.0, rel_tol=1e-9)
+        assert math.isclose(r["score"], scores[i], rel_tol=1e-5)
+
+
+def test_suffix_tree_on_held_out_texts(spark):
+    """Nineteen of twenty held-out documents score above single words, and all together far above."""
+    for sf in ("sf0.01",):
+        rows = suffix_tree.score_documents(spark, spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("held_out").collect()
+        better = sum(r["score"] > r["base_score"] for r in rows) / len(rows)
+        assert better >= 0.95 and sum(r["score"] for r in rows) > 0.92 * sum(r["base_score"] for r in rows)
+
+
+def test_suffix_tree_predictions_are_distributions():
+    rng = np.random.default_rng(2)
+    n = 4000
+    before, last, symbol = rng.integers(0, 3, n), rng.integers(0, 5, n), np.zeros(n, np.int64)
+    symbol = np.where(last % 2 == 0, rng.integers(0, 3, n), (before + rng.integers(0, 2, n)) % 6)
+    root = (np.bincount(symbol, minlength=7) + 0.5) / (n + 0.5 * 7)
+    every = np.stack(np.meshgrid(np.arange(3), np.arange(5), np.arange(7), indexing="ij"), -1).reshape(-1, 3)
+    counts = np.zeros((3, 5, 7))
+    np.add.at(counts, (before, last, symbol), 1)
+    p = suffix_tree.grow([every[:, 1], every[:, 0]], every[:, 2], counts[tuple(every.T)], root[every[:, 2]])
+    sums = p.reshape(15, 7).sum(1)
+    assert np.allclose(sums, 1.0) and not np.allclose(p, root[every[:, 2]])
 
 
 def removed(docs):

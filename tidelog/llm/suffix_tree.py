@@ -1,30 +1,26 @@
-"""Language-model scores by a probabilistic suffix tree over the bytes of words.
+"""Language-model scores by a probabilistic suffix tree over words.
 
-A text is its words' bytes, a space after each word, and an end symbol; a symbol's context is up to DEPTH symbols
-before it, with end symbols before the start.  A context is a candidate if it occurs LEAST times, whatever the size of the
-corpus, so the tree grows with the text.  It becomes a state of the tree if the symbols that follow it diverge from those that follow its suffix by more than chance explains (the log likelihood
-gained, against CHANCE for each symbol that follows).  The next symbol's distribution in a
-state is smoothed with its longest suffix state's, as often as the state has distinct followers; the root's is
-smoothed evenly.  Each symbol is scored in the longest state that fits.
+A text's symbols are its words and an end; a symbol's context is up to DEPTH words before it, with ends before the start.  A context that occurs LEAST
+times in training, whatever the size of the corpus, becomes a state of the tree if the symbols that follow it diverge from what its
+suffix predicts: each occurrence is predicted from all others of the context, and the log likelihood gained that way over the suffix's prediction has to pass
+GAIN.  So followers seen once speak against a state, and chance alone makes none.  A state's next-symbol distribution is
+its counts smoothed with its longest suffix state's distribution, which counts as much as SMOOTH occurrences of each distinct follower; the root is
+the distribution of single words with add-a-half counts, in which all unseen words together are one.  Each symbol is scored in the longest state that fits.
 
-The symbols of a word and the gap after it spell just that word, so the product of their probabilities is a
-distribution over words and the end, given what came before: a word that was never seen is scored by how it is spelled.
-
-Beside it stands the score of single words with add-a-half counts.  Word counts are exact over the whole training
-part: each block of documents sends the hashes of its distinct words with their counts to buckets, which add them up
-and answer every block that asked.  The tree is nowhere whole either: contexts that share their last WHOLE + 1 symbols are in one
-bucket, which has all the counts that its states need but those of the WHOLE shortest lengths.  These are counted in a pass
-before, at most 256 ** (WHOLE + 1) numbers, and sent to all; a bucket then grows its own part of the tree and answers every
-block with the scores of the symbols that the block asked for.
+The tree is nowhere whole.  Word counts come first: each block of documents sends its distinct words with their counts to buckets, which add them up,
+number the words and answer each block; the documents are then kept as numbers.  Contexts that end in one word are in one bucket, whose states of all
+lengths are grown there; it answers every block with the probabilities of the symbols in context that the block sent.  A context with more than HOT
+occurrences is spread: what follows it is dealt out by context and follower together, and only its number of distinct followers and its gain, a row for each such
+context, come together; the contexts that end in it are dealt out by the word before.  Results don't depend on HOT.
 
 Corner cases: a null or empty text is the end alone; a null id is training; repeated ids and rows are scored one by
-one, and count as often as they are there; without any training document the counts are zero and the tree is a
-uniform root; other columns are ignored; an empty table gives no rows.
+one, and count as often as they are there; without any training document all counts are zero and the tree is a root
+with the one unseen symbol; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,18 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.blocks import read_block, spread, write_blocks
-from tidelog.llm.shared import crc_mod5, materialize, texts, work_dir
-
-#: Longest context (the oldest symbol in the highest byte of a code), and how often a candidate context has to occur.
-DEPTH, LEAST = 6, 2
-END, SYMBOLS = 0x0A, 256
-#: Contexts up to this long are counted whole, whether they are candidates or not: no more than 256 ** WHOLE of them.
-WHOLE = 2
-#: Buckets of contexts at least, those that add up the shortest contexts, and bytes of text in a block.
-GRAM_BUCKETS, WHOLE_BUCKETS, BLOCK = 256, 16, 6 << 20
-#: Log likelihood that a state has to gain for each of its followers.
-CHANCE = 1.5
-LN10 = float(np.log(10))
+from tidelog.llm.memory import tidy, tidy_group
+from tidelog.llm.shared import crc_mod5, filesystem, materialize, texts, work_dir
+
+#: Words of the longest context; occurrences that a state needs; log likelihood that it has to gain; weight of its suffix, for each distinct follower.
+DEPTH, LEAST, GAIN, SMOOTH = 2, 2, 2.0, 8.0
+#: Occurrences of a context from which on it is spread over buckets.
+HOT = 1 << 21
+#: Buckets of contexts at least, and bytes of text in a block.
+GRAM_BUCKETS, BLOCK = 256, 6 << 20
+END = 0
+CODED = "block long, doc_id array<long>, held_out array<boolean>, n_words array<int>, ids binary, distinct binary, counts binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -54,305 +50,408 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-@dataclass
-class BlockWords:
-    """A block's distinct words by hash, and which of them stand where."""
-
-    index: np.ndarray  # of each word occurrence
-    hashes: np.ndarray  # of each distinct word
-    starts: np.ndarray  # of each document's occurrences, with the total at the end
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, each by its bytes, all first ones first, as sorted numbers compress well that way."""
+    n = len(columns[0])
+    planes = b"".join([np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns]) if n else b""
+    return np.array([n], "<u8").tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
-    @staticmethod
-    def of(docs: list[list[bytes]]) -> BlockWords:
-        numbers: dict[bytes, int] = {}
-        put = numbers.setdefault
-        index = np.array([put(w, len(numbers)) for words in docs for w in words], np.int64)
-        digest = xxhash.xxh3_64_intdigest
-        return BlockWords(index, np.array([digest(w) for w in numbers], np.uint64), np.cumsum([0, *map(len, docs)]))
 
-    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct words in the order of their buckets, and where each bucket starts."""
-        bucket = ((self.hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(n + 1))
-
-
-def symbols(docs: list[list[bytes]], depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol of each document its context and itself as one number, and where each document starts."""
-    depth = depth or DEPTH
-    lead = bytes([END]) * depth
-    parts = [lead + b"".join([b" ".join(words), b" \n" if words else b"\n"]) for words in docs]
-    stream = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    sizes = np.array([len(p) for p in parts], np.int64)
-    n = len(stream) - depth
-    codes = np.zeros(max(n, 0), np.uint64)
-    for i in range(depth + 1):
-        codes = (codes << np.uint64(8)) | stream[i : i + n]
-    first = np.cumsum(sizes) - sizes  # the code at a document's start is its first symbol's
-    keep = np.ones(len(codes), bool)
-    for i in range(depth):
-        keep[first[1:] - 1 - i] = False  # symbols that only lead the next document in
-    starts = np.cumsum(np.concatenate([[0], sizes - depth]))
-    return codes[keep], starts
-
-
-def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order with the sums of their counts."""
-    if not len(codes):
-        return codes, counts
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
-    at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[at], np.add.reduceat(counts[order], at)
-
-
-def shortened(codes: np.ndarray, length: int) -> np.ndarray:
-    """Codes with contexts of this length."""
-    return codes & np.uint64((1 << (8 * (length + 1))) - 1)
-
-
-def divergent(codes: np.ndarray, counts: np.ndarray, shorter: np.ndarray, shorter_counts: np.ndarray, length: int, least: float) -> np.ndarray:
-    """Which codes have contexts that become states; the shorter codes are those of their suffixes, all of them."""
-    if not len(codes):
-        return np.zeros(0, bool)
-    context = codes >> np.uint64(8)
-    new = np.concatenate([[True], context[1:] != context[:-1]])
-    at, group = np.flatnonzero(new), np.cumsum(new) - 1
-    totals, kinds = np.add.reduceat(counts, at), np.diff(np.concatenate([at, [len(codes)]]))
-    suffix, suffix_counts = summed(shorter >> np.uint64(8), shorter_counts)
-    short = shortened(codes, length - 1)
-    followers = shorter_counts[np.searchsorted(shorter, short)]
-    suffix_totals = suffix_counts[np.searchsorted(suffix, short >> np.uint64(8))]
-    gain = np.add.reduceat(counts * np.log(counts / totals[group] * suffix_totals / followers), at)
-    return ((totals >= least) & (gain > CHANCE * kinds))[group]
-
-
-class SuffixTree:
-    """States by length; ``levels[n]`` has the codes and counts of the states with contexts of n symbols."""
-
-    def __init__(self, root: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.root = (root + 0.5) / (root.sum() + 0.5 * SYMBOLS)
-        self.levels = {}
-        for n, (codes, counts) in sorted(levels.items()):
-            if len(codes):
-                context, totals = summed(codes >> np.uint64(8), counts)
-                kinds = summed(codes >> np.uint64(8), np.ones(len(codes), np.int64))[1]
-                self.levels[n] = (context, totals, kinds, codes, counts)
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """The log10 probability of each code's symbol in the longest state that its context ends with."""
-        p = self.root[(codes & np.uint64(255)).astype(np.int64)]
-        for n, (context, totals, kinds, entries, counts) in self.levels.items():
-            mine = shortened(codes, n)
-            at = np.minimum(np.searchsorted(context, mine >> np.uint64(8)), len(context) - 1)
-            hit = np.flatnonzero(context[at] == mine >> np.uint64(8))
-            where = np.minimum(np.searchsorted(entries, mine[hit]), len(entries) - 1)
-            seen = np.where(entries[where] == mine[hit], counts[where], 0)
-            p[hit] = (seen + kinds[at[hit]] * p[hit]) / (totals[at[hit]] + kinds[at[hit]])
-        return np.log(p) / LN10
-
-    def extended(self, levels: dict[int, tuple[np.ndarray, np.ndarray]]) -> SuffixTree:
-        """This tree with longer states."""
-        out = SuffixTree(np.zeros(SYMBOLS), levels)
-        out.root, out.levels = self.root, self.levels | out.levels
-        return out
-
-    @staticmethod
-    def grown(parts: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> SuffixTree:
-        """From all counts with contexts of one and two symbols, the candidates with three, and the longer states."""
-        root_codes, root_counts = summed(shortened(parts[1][0], 0), parts[1][1])
-        root = np.zeros(SYMBOLS)
-        root[root_codes.astype(np.int64)] = root_counts
-        levels, above = dict(parts), (root_codes, root_counts)
-        for n in range(1, WHOLE + 2):
-            keep = divergent(*parts[n], *above, n, least)
-            levels[n], above = (parts[n][0][keep], parts[n][1][keep]), parts[n]
-        return SuffixTree(root, levels)
-
-
-def _pack(codes: np.ndarray, counts: np.ndarray) -> bytes:
-    return codes.astype("<u8").tobytes() + counts.astype("<u8").tobytes()
-
-
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(data, "<u8")
-    return both[: len(both) // 2], both[len(both) // 2 :].astype(np.int64)
-
-
-def tree_part(codes: np.ndarray, counts: np.ndarray, least: float) -> list[tuple[int, bytes]]:
-    """What a bucket of contexts that share their last WHOLE + 1 symbols contributes: (length, packed codes and counts).
-
-    Contexts of up to WHOLE symbols go on in other buckets, so all counts are handed on to be added up; the next longer ones are
-    complete, but their suffixes aren't, so the candidates are handed on; of all others only the states.
-    """
-    by_length = {n: summed(shortened(codes, n), counts) for n in range(1, DEPTH + 1)}
-    out = []
-    for n, mine in by_length.items():
-        if n <= WHOLE:
-            keep = np.ones(len(mine[0]), bool)
-        elif n == WHOLE + 1:
-            context, totals = summed(mine[0] >> np.uint64(8), mine[1])
-            keep = np.isin(mine[0] >> np.uint64(8), context[totals >= least])
-        else:
-            keep = divergent(*mine, *by_length[n - 1], n, least)
-        out.append((n, _pack(mine[0][keep], mine[1][keep])))
+def unpack(data: bytes, *types: str) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    wide = [np.dtype(t).itemsize for t in types]
+    planes, out, at = pa.decompress(data[8:], n * sum(wide), codec="zstd", asbytes=True), [], 0
+    for t, w in zip(types, wide):
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8, n * w, at).reshape(w, n).T).view(t).ravel())
+        at += n * w
     return out
 
 
-def bucket_scores(base: SuffixTree, whole: tuple[np.ndarray, np.ndarray], codes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The log10 probability of each of a bucket's codes, of which some have a count of zero.
+def mixed(*columns: np.ndarray) -> np.ndarray:
+    """A hash of each row of numbers."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h >> np.uint64(8)
+
+
+def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """Each bucket of sorted bucket numbers that has any, and where it is."""
+    at = np.searchsorted(bucket, np.arange(n + 1))
+    return ((int(b), slice(at[b], at[b + 1])) for b in np.flatnonzero(np.diff(at)))
+
+
+def distinct_rows(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns under 2 ** 32, in order, and which of them each row is."""
+    number, keys = np.zeros(len(columns[0]), np.uint64), []
+    for c in columns:
+        key, inverse = np.unique(number << np.uint64(32) | c.astype(np.uint64), return_inverse=True)
+        number = inverse.astype(np.uint64)
+        keys.append(key)
+    out, rows = [], np.arange(len(keys[-1]) if keys else 0)
+    for key in reversed(keys):
+        out.append((key[rows] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        rows = (key[rows] >> np.uint64(32)).astype(np.int64)
+    return out[::-1], number.astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Context:
+    """What its followers say of each context: occurrences, distinct followers, and whether it is a state."""
+
+    total: np.ndarray
+    kinds: np.ndarray
+    state: np.ndarray
+
 
-    ``base`` is the tree of the contexts of up to WHOLE symbols, ``whole`` the counts of all with WHOLE.
-    """
-    seen = counts > 0
-    levels = {n: _unpack(data) for n, data in tree_part(codes[seen], counts[seen], least) if n > WHOLE}
-    if WHOLE + 1 in levels:
-        keep = divergent(*levels[WHOLE + 1], *whole, WHOLE + 1, least)
-        levels[WHOLE + 1] = tuple(x[keep] for x in levels[WHOLE + 1])
-    return base.extended(levels).log10(codes)
+def predicted(x: np.ndarray, p: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The probability of a follower seen x times after a state."""
+    return (x + SMOOTH * kinds * p) / np.maximum(total + SMOOTH * kinds, 1e-9)  # without followers there is no state
 
 
-def grams(docs: list[list[bytes]], n: int) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols by their distinct codes, the documents' starts, the codes, their order by bucket, and where each bucket starts."""
-    codes, starts = symbols(docs)
-    found = pa.array(codes).dictionary_encode()
-    codes = found.dictionary.to_numpy()
-    bucket = (((codes >> np.uint64(8)) & np.uint64((1 << (8 * (WHOLE + 1))) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n)
-    order = np.lexsort((codes, bucket))
-    return found, starts, codes, order, np.searchsorted(bucket[order], np.arange(n + 1))
+def gain_of(x: np.ndarray, p: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """What each seen follower adds to its context's gain: its occurrences, each predicted from the others, against its suffix's prediction."""
+    others = kinds - (x == 1)
+    return np.where(others > 0, x * np.log(np.maximum(predicted(x - 1, p, total - 1, others), 1e-300) / p), 0.0)
 
 
-def _planes(codes: np.ndarray, wide: int, counts: np.ndarray) -> bytes:
-    """Codes by their bytes, all first ones first, as they are sorted and compress well; then the counts."""
-    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def states_of(group: np.ndarray, x: np.ndarray, p: np.ndarray, n: int) -> Context:
+    """Of n contexts, whose followers with counts and suffix predictions are rows."""
+    seen = x > 0
+    total, kinds = np.bincount(group, x, n), np.bincount(group[seen], minlength=n)
+    gain = np.bincount(group[seen], gain_of(x[seen], p[seen], total[group[seen]], kinds[group[seen]]), n)
+    return Context(total, kinds, (total >= LEAST) & (gain > GAIN))
 
 
-def _from_planes(data: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // (wide + 4)
-    raw = np.frombuffer(data, np.uint8).reshape(wide + 4, n)
-    full, counts = np.zeros((n, 8), np.uint8), np.ascontiguousarray(raw[wide:].T)
-    full[:, :wide] = raw[:wide].T
-    return full.view("<u8").ravel(), counts.view("<u4").ravel().astype(np.int64)
+def grow(contexts: list[np.ndarray], symbol: np.ndarray, counts: np.ndarray, p: np.ndarray, known: int = 0) -> np.ndarray:
+    """The probability of each row's symbol after its words (the last one first), with counts in training and predictions by the first ``known`` words."""
+    number = np.zeros(len(symbol), np.uint64)
+    for length, word in enumerate(contexts, 1):
+        number = np.unique(number << np.uint64(32) | word.astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
+        if length <= known:
+            continue
+        gram, first, inverse = np.unique(number << np.uint64(32) | symbol.astype(np.uint64), return_index=True, return_inverse=True)
+        group, x, before = (gram >> np.uint64(32)).astype(np.int64), np.bincount(inverse, counts, len(gram)), p[first]
+        c = states_of(group, x, before, int(number.max()) + 1 if len(number) else 0)
+        p = np.where(c.state[group], predicted(x, before, c.total[group], c.kinds[group]), before)[inverse]
+    return p
 
 
-def _gathered(group: pd.DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """A bucket's keys as they were sent, the distinct ones with their sums, and how many each block sent."""
-    pairs = [_from_planes(data, wide) for data in group["data"]]
-    keys = np.concatenate([k for k, _ in pairs])
-    return keys, *summed(keys, np.concatenate([c for _, c in pairs])), [len(k) for k, _ in pairs]
+# -- words
 
 
-def _rows(manifest: DataFrame, rows_of) -> DataFrame:
-    """(bucket, block, data) of each block, of its documents' words and which of them are held out."""
+def _words(manifest: DataFrame, n_buckets: int) -> DataFrame:
+    """(kind, block, bucket, data): counts and numbers of each block's words, and of each bucket its words, tokens and the most frequent word's count."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, path in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist()):
-                table = read_block(path)
-                docs, held = [words_of(t) for t in table["text"].to_pylist()], np.array(table["held_out"].to_pylist(), bool)
-                rows = [(b, block, data) for b, data in rows_of(docs, held)]
+                index, hashes, starts, held, _ = _read(path)
+                counts = np.bincount(index[np.repeat(~held, np.diff(starts))], minlength=len(hashes)).astype("<u4")
+                bucket, order = _word_buckets(hashes, n_buckets)
+                rows = [(b, block, pack(hashes[order[s]].astype("<u8"), counts[order[s]])) for b, s in by_bucket(bucket[order], n_buckets)]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block", "data"])
 
-    return manifest.mapInArrow(each, "bucket int, block long, data binary")
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        bucket, parts = int(group["bucket"].iat[0]), [unpack(d, "<u8", "<u4") for d in group["data"]]
+        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        sums = np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64)
+        rank = np.empty(len(keys), np.int64)
+        rank[np.lexsort((keys, -sums))] = np.arange(len(keys))
+        number = 1 + rank * n_buckets + bucket  # frequent words have small numbers; none is the end's
+        if len(number) and int(number.max()) >= 1 << 32:
+            raise OverflowError("more than 2 ** 32 distinct words; use larger blocks")
+        rows, at = [("sums", -1, bucket, np.array([(sums > 0).sum(), sums.sum(), sums.max(initial=0)], "<u8").tobytes())], 0
+        for block, (k, _) in zip(group["block"], parts):
+            mine = inverse[at : at + len(k)]
+            rows.append(("words", int(block), bucket, pack(number[mine].astype("<u4"), sums[mine].astype("<u8"))))
+            at += len(k)
+        return pd.DataFrame(rows, columns=["kind", "block", "bucket", "data"])
 
+    sent = manifest.mapInArrow(tidy(send), "bucket int, block long, data binary")
+    return sent.groupBy("bucket").applyInPandas(tidy_group(answer), "kind string, block long, bucket int, data binary")
+
+
+def _read(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """Word occurrences by number in the block, the distinct words' hashes, the documents' starts, which are held out, and the block."""
+    table = read_block(path)
+    docs, numbers = [words_of(t) for t in table["text"].to_pylist()], {}
+    put = numbers.setdefault
+    index = np.array([put(w, len(numbers)) for words in docs for w in words], np.int64)
+    digest = xxhash.xxh3_64_intdigest
+    return index, np.array([digest(w) for w in numbers], np.uint64), np.cumsum([0, *map(len, docs)]), np.array(table["held_out"].to_pylist(), bool), table
+
+
+def _word_buckets(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    bucket = ((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
+def _coded(manifest: DataFrame, words: DataFrame, n_buckets: int) -> DataFrame:
+    """CODED: each block with its words as numbers, and its distinct words with their counts."""
+
+    def each(listed: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+        known, out = dict(zip(answered["bucket"], answered["data"])), []
+        for block, path in zip(listed["block"], listed["path"]):
+            index, hashes, starts, held, table = _read(path)
+            number, counts = np.zeros(len(hashes), np.uint32), np.zeros(len(hashes), np.uint64)
+            bucket, order = _word_buckets(hashes, n_buckets)
+            for b, s in by_bucket(bucket[order], n_buckets):
+                number[order[s]], counts[order[s]] = unpack(known[b], "<u4", "<u8")
+            order = np.argsort(number)
+            out.append((block, table["doc_id"].to_pylist(), held.tolist(), np.diff(starts).tolist(), pack(number[index]), pack(number[order]), pack(counts[order])))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in CODED.split(", ")])
+
+    return manifest.select("block", "path").groupBy("block").cogroup(words.where("kind = 'words'").groupBy("block")).applyInPandas(tidy_group(each), CODED)
+
+
+# -- symbols in context
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Tokens, distinct symbols and ends in training, and from which count on a context is spread."""
+
+    tokens: int
+    distinct: int
+    ends: int
+    hot: int
+
+    @property
+    def bottom(self) -> float:
+        return self.tokens + 0.5 * (self.distinct + 1)
+
+
+class BlockGrams:
+    """A block's distinct symbols in context, with their counts in training and the root's probabilities."""
+
+    def __init__(self, row: dict, corpus: Corpus):
+        self.corpus, self.sizes = corpus, np.array(row["n_words"], np.int64)
+        self.held = np.array(row["held_out"], bool)
+        (ids,), (self.distinct,), (self.counts,) = unpack(row["ids"], "<u4"), unpack(row["distinct"], "<u4"), unpack(row["counts"], "<u8")
+        last = np.cumsum(self.sizes + 1) - 1  # where each document's end is
+        self.starts = last - self.sizes
+        stream = np.full(int(last[-1]) + 1 if len(last) else 0, END, np.uint32)
+        word = np.ones(len(stream), bool)
+        word[last] = False
+        stream[word] = ids
+        place = np.arange(len(stream)) - np.repeat(self.starts, self.sizes + 1)
+        before = [np.where(place >= n, np.concatenate([np.zeros(n, np.uint32), stream[:-n]]) if len(stream) >= n else stream, np.uint32(END)) for n in range(1, DEPTH + 1)]
+        (*self.context, self.symbol), self.of = distinct_rows(*before, stream)
+        self.n = np.bincount(self.of[np.repeat(~self.held, self.sizes + 1)], minlength=len(self.symbol)).astype(np.uint32)
+        self.stream = stream
+        self.p = ((self.count(self.symbol) + 0.5) / corpus.bottom).astype("<f4")
+
+    def count(self, symbols: np.ndarray) -> np.ndarray:
+        """Occurrences of symbols in training."""
+        if not len(self.distinct):
+            return np.full(len(symbols), self.corpus.ends, np.int64)
+        at = np.minimum(np.searchsorted(self.distinct, symbols), len(self.distinct) - 1)
+        return np.where(symbols == END, self.corpus.ends, self.counts[at].astype(np.int64))
+
+    def rows(self, which: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The distinct contexts of this length with their symbols, among some of the grams, and which of them each is."""
+        return distinct_rows(*[c[which] for c in self.context[:length]], self.symbol[which])
+
+    def resolve(self, about: list[dict], told: dict[int, dict[int, bytes]], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Put in the probabilities after spread contexts; how many words of each gram's context that settles, and whether the next longer one is spread too."""
+        times, length = self.count(self.context[0]), np.zeros(len(self.symbol), np.int64)
+        hot = times > self.corpus.hot
+        for level, known in enumerate(about, 1):
+            if not hot.any():
+                break
+            rows, of = self.rows(hot, level)
+            x, bucket = np.zeros(len(rows[0]), np.int64), (mixed(*rows) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            for b, s in by_bucket(bucket[order], n_buckets):
+                (x[order[s]],) = unpack(told[level][b], "<u8")
+            total, kinds, state = (np.array(c) for c in zip(*[known[tuple(r)] for r in np.column_stack(rows[:-1]).tolist()]))
+            before = self.p[hot][np.unique(of, return_index=True)[1]].astype(float)
+            self.p[hot] = np.where(state, predicted(x, before, total, kinds), before)[of]
+            length[hot] = level
+            # the next longer context occurs as often as its last word follows the words before that; one that begins before the text, as often as this one
+            follows = dict(zip(map(tuple, np.column_stack(rows).tolist()), x.tolist()))
+            if level < DEPTH:
+                longer = np.column_stack([c[hot] for c in self.context[: level + 1]]).tolist()
+                times[hot] = [t if c[0] == END else follows.get((*c[1:], c[0]), 0) for t, c in zip(times[hot].tolist(), longer)]
+                hot &= times > self.corpus.hot
+            else:
+                hot = np.zeros(len(hot), bool)
+        return length, hot
+
+    def asked(self, length: np.ndarray) -> np.ndarray:
+        """Grams whose contexts may have states that aren't spread."""
+        return np.flatnonzero((length < DEPTH) & ((length > 0) | (self.count(self.context[0]) >= LEAST)))
+
+    def dealt(self, length: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(settled words, bucket, grams) of the grams to ask for, those of a context together."""
+        some = self.asked(length)
+        for known in np.unique(length[some]):
+            mine = some[length[some] == known]
+            bucket = (mixed(*[c[mine] for c in self.context[: known + 1]]) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")  # within a bucket in the order of contexts
+            for b, s in by_bucket(bucket[order], n_buckets):
+                yield int(known), b, mine[order[s]]
+
+
+def over(coded: DataFrame, told: DataFrame | None, each: Callable[[dict, dict], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows made from each block and from what it was told before, by level and bucket."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    if told is None:
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(len(batch)):
+                    rows = list(each(batch.slice(i, 1).to_pylist()[0], {}))
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), schema=_arrow(schema), preserve_index=False)
+
+        return coded.mapInArrow(tidy(alone), schema)
+
+    def both(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        known: dict[int, dict[int, bytes]] = {}
+        for level, bucket, data in zip(answers["level"], answers["bucket"], answers["data"]):
+            known.setdefault(level, {})[bucket] = data
+        return pd.DataFrame([r for row in rows.to_dict("records") for r in each(row, known)], columns=names)
+
+    return coded.groupBy("block").cogroup(told.select("block", "level", "bucket", "data").groupBy("block")).applyInPandas(tidy_group(both), schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    return pa.schema([(n, types[t]) for n, t in (c.split() for c in schema.split(", "))])
+
+
+# -- contexts that are spread
+
+
+def _spread(coded: DataFrame, told: DataFrame | None, corpus: Corpus, about: list[dict], n_buckets: int) -> DataFrame:
+    """(block, level, bucket, data, most): counts of what follows spread contexts of the next length, for each block (and, for block -1, all of a bucket's; most: the highest)."""
+    level = len(about) + 1
+    types = ["<u4"] * (level + 1)
+
+    def send(row: dict, known: dict) -> Iterator[tuple]:
+        g = BlockGrams(row, corpus)
+        _, hot = g.resolve(about, known, n_buckets)
+        if not hot.any():
+            return
+        rows, of = g.rows(hot, level)
+        n, p = np.bincount(of, g.n[hot], len(rows[0])).astype("<u4"), g.p[hot][np.unique(of, return_index=True)[1]]
+        bucket = (mixed(*rows) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for b, s in by_bucket(bucket[order], n_buckets):
+            yield b, row["block"], pack(*[c[order[s]] for c in rows], n[order[s]], p[order[s]])
 
-def _words(manifest: DataFrame, n_words: int) -> DataFrame:
-    """(kind, block, bucket, data): counts for each block, a bucket's distinct words and total, and counts of the shortest contexts."""
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack(d, *types, "<u4", "<f4") for d in group["data"]]
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        rows, of = distinct_rows(*columns[: level + 1])
+        x = np.bincount(of, columns[-2], len(rows[0])).astype("<u8")
+        p, seen, bucket, at, out = columns[-1][np.unique(of, return_index=True)[1]], x > 0, int(group["bucket"].iat[0]), 0, []
+        for block, part in zip(group["block"], parts):
+            out.append((int(block), level, bucket, pack(x[of[at : at + len(part[0])]]), 0))
+            at += len(part[0])
+        out.append((-1, level, bucket, pack(*[c[seen] for c in rows[:-1]], x[seen], p[seen]), int(x.max(initial=0))))
+        return pd.DataFrame(out, columns=["block", "level", "bucket", "data", "most"])
+
+    sent = over(coded, told, send, "bucket int, block long, data binary")
+    return sent.groupBy("bucket").applyInPandas(tidy_group(answer), "block long, level int, bucket int, data binary, most long")
+
+
+def _about(found: DataFrame, level: int) -> dict[tuple, tuple]:
+    """Occurrences, distinct followers and state of each spread context of a length: a row for each comes to the driver, at most one for each HOT tokens."""
+    tables, names = found.where(f"level = {level} and block = -1").select("data"), [f"c{i}" for i in range(level)]
+    schema = ", ".join(f"{n} long" for n in names)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                *context, x, _ = unpack(data, *["<u4"] * level, "<u8", "<f4")
+                rows, of = distinct_rows(*context)
+                yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in rows), pa.array(np.bincount(of, x, len(rows[0])).astype(np.int64)), pa.array(np.bincount(of, minlength=len(rows[0])).astype(np.int64))], names=[*names, "total", "kinds"])
 
-    def send(docs: list[list[bytes]], held: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        w = BlockWords.of(docs)
-        counts = np.bincount(w.index[np.repeat(~held, np.diff(w.starts))], minlength=len(w.hashes))
-        order, at = w.buckets(n_words)
-        for b in np.flatnonzero(np.diff(at)):
-            some = order[at[b] : at[b + 1]]
-            yield int(b), _planes(w.hashes[some], 8, counts[some])
-        codes, _ = symbols([d for d, h in zip(docs, held) if not h], WHOLE)
-        found = pa.array(codes).value_counts()
-        codes, counts = found.field("values").to_numpy(), found.field("counts").to_numpy()
-        bucket = codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-        for b in range(WHOLE_BUCKETS):
-            if len(some := np.flatnonzero(bucket % np.uint64(WHOLE_BUCKETS) == b)):
-                yield n_words + b, _planes(codes[some], WHOLE + 1, counts[some])
+    sums = tables.mapInArrow(counted, f"{schema}, total long, kinds long").groupBy(*names).agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).collect()
+    known = {tuple(r[:level]): (r["total"], r["kinds"]) for r in sums}
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(group["bucket"].iat[0])
-        keys, total, sums, sizes = _gathered(group, 8 if bucket < n_words else WHOLE + 1)
-        if bucket >= n_words:
-            return pd.DataFrame([("whole", -1, bucket, _pack(total, sums))], columns=["kind", "block", "bucket", "data"])
-        answers = np.split(sums[np.searchsorted(total, keys)].astype("<u8"), np.cumsum(sizes)[:-1])
-        rows = [("words", int(block), bucket, a.tobytes()) for block, a in zip(group["block"], answers)]
-        rows.append(("sums", -1, bucket, np.array([(sums > 0).sum(), sums.sum()], "<u8").tobytes()))
-        return pd.DataFrame(rows, columns=["kind", "block", "bucket", "data"])
+    def gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                *context, x, p = unpack(data, *["<u4"] * level, "<u8", "<f4")
+                rows, of = distinct_rows(*context)
+                total, kinds = (np.array(c, float)[of] for c in zip(*[known[tuple(r)] for r in np.column_stack(rows).tolist()])) if len(of) else (np.zeros(0), np.zeros(0))
+                gain = np.bincount(of, gain_of(x.astype(float), p.astype(float), total, kinds), len(rows[0]))
+                yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in rows), pa.array(gain.astype(float))], names=[*names, "gain"])
 
-    return _rows(manifest, send).groupBy("bucket").applyInPandas(answer, "kind string, block long, bucket int, data binary")
+    gains = tables.mapInArrow(gained, f"{schema}, gain double").groupBy(*names).agg(F.sum("gain").alias("gain")).collect()
+    return {tuple(r[:level]): (*known[tuple(r[:level])], r["gain"] > GAIN) for r in gains}
 
 
-def _logs(manifest: DataFrame, n_grams: int, shared, least: float) -> DataFrame:
-    """(kind, block, bucket, data): the scores of each block's distinct symbols in context, by bucket."""
+# -- scores
 
-    def send(docs: list[list[bytes]], held: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        found, starts, codes, order, at = grams(docs, n_grams)
-        counts = np.bincount(found.indices.to_numpy()[np.repeat(~held, np.diff(starts))], minlength=len(codes))
-        for b in np.flatnonzero(np.diff(at)):
-            some = order[at[b] : at[b + 1]]
-            yield int(b), _planes(codes[some], DEPTH + 1, counts[some])
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        keys, total, sums, sizes = _gathered(group, DEPTH + 1)
-        logs = bucket_scores(*shared.value, total, sums, least)
-        answers = np.split(logs[np.searchsorted(total, keys)].astype("<f8"), np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"kind": "logs", "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "data": [a.tobytes() for a in answers]})
+def _answers(coded: DataFrame, told: DataFrame | None, corpus: Corpus, about: list[dict], n_buckets: int) -> DataFrame:
+    """(block, level, bucket, data): log10 probabilities of each block's grams; level is negative: less the number of settled words, less one."""
 
-    return _rows(manifest, send).groupBy("bucket").applyInPandas(answer, "kind string, block long, bucket int, data binary")
+    def send(row: dict, known: dict) -> Iterator[tuple]:
+        g = BlockGrams(row, corpus)
+        length, _ = g.resolve(about, known, n_buckets)
+        for settled, b, some in g.dealt(length, n_buckets):
+            yield settled, b, row["block"], pack(*[c[some] for c in g.context], g.symbol[some], g.n[some].astype("<u4"), g.p[some])
 
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack(d, *["<u4"] * (DEPTH + 1), "<u4", "<f4") for d in group["data"]]
+        *words, n, p = (np.concatenate(c) for c in zip(*parts))
+        settled, bucket = int(group["settled"].iat[0]), int(group["bucket"].iat[0])
+        logs = np.log10(grow(words[:-1], words[-1], n, p.astype(float), settled)).astype("<f4")
+        split = np.split(logs, np.cumsum([len(x[0]) for x in parts])[:-1])
+        return pd.DataFrame({"block": group["block"].to_numpy(), "level": -1 - settled, "bucket": bucket, "data": [x.tobytes() for x in split]})
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    sent = over(coded, told, send, "settled int, bucket int, block long, data binary")
+    return sent.groupBy("bucket", "settled").applyInPandas(tidy_group(answer), "block long, level int, bucket int, data binary")
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1, least: int = LEAST, block_bytes: int = BLOCK) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1, block_bytes: int = BLOCK, hot: int = HOT) -> DataFrame:
     """SCORES of every document, learning from those outside the held-out fold."""
     folder = work_dir(spark, "suffix-tree")
     source = texts(docs, F.coalesce(crc_mod5() == held_out_fold, F.lit(False)).alias("held_out"))
     manifest = write_blocks(source, f"{folder}/blocks", block_bytes)
     spaced, n_blocks = spread(manifest)
-    n_ends = source.where(~F.col("held_out")).count()
-    n_words, n_grams = min(max(8, n_blocks // 2), 4096), min(max(GRAM_BUCKETS, n_blocks), 4096)
+    n_words, n_grams = max(8, n_blocks // 2), max(GRAM_BUCKETS, n_blocks)
     words = materialize(_words(spaced, n_words), f"{folder}/words")
-
-    # a row for each bucket, and counts of no more than 256 ** (WHOLE + 1) different codes
-    sums = [np.frombuffer(r["data"], "<u8") for r in words.where("kind = 'sums'").select("data").collect()]
-    distinct, tokens = int(sum(int(s[0]) for s in sums)) + (n_ends > 0), int(sum(int(s[1]) for s in sums)) + n_ends
-    shortest = [_unpack(r["data"]) for r in words.where("kind = 'whole'").select("data").collect()]
-    whole = summed(*(np.concatenate(x) for x in zip(*shortest))) if shortest else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    parts = {n: summed(shortened(whole[0], n), whole[1]) for n in range(1, WHOLE + 1)}
-    base = SuffixTree.grown(parts | {WHOLE + 1: (np.zeros(0, np.uint64), np.zeros(0, np.int64))}, least)
-    shared = spark.sparkContext.broadcast((base, whole))
-    logs = materialize(_logs(spaced, n_grams, shared, least), f"{folder}/logs")
-
-    def score(listed: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        known, scored = ({b: d for k, b, d in zip(answered["kind"], answered["bucket"], answered["data"]) if k == kind} for kind in ("words", "logs"))
-        for path in listed["path"]:
-            table = read_block(path)
-            docs = [words_of(t) for t in table["text"].to_pylist()]
-            w = BlockWords.of(docs)
-            counts = np.zeros(len(w.hashes), np.int64)
-            order, at = w.buckets(n_words)
-            for b in np.flatnonzero(np.diff(at)):
-                counts[order[at[b] : at[b + 1]]] = np.frombuffer(known[int(b)], "<u8")
-            bottom = np.log10(tokens + 0.5 * (distinct + 1))
-            add = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[w.starts])
-            base = np.array([v.sum() for v in np.split((np.log10(counts + 0.5) - bottom)[w.index], w.starts[1:-1])])
-            found, starts, codes, order, at = grams(docs, n_grams)
-            logs = np.zeros(len(codes))
-            for b in np.flatnonzero(np.diff(at)):
-                logs[order[at[b] : at[b + 1]]] = np.frombuffer(scored[int(b)], "<f8")
-            logs = logs[found.indices.to_numpy()]
-            n = np.diff(w.starts)
-            out.append(pd.DataFrame({
-                "doc_id": table["doc_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "held_out": table["held_out"].to_pandas(), "n_tokens": n + 1, "n_known": add((counts > 0).astype(np.int64)[w.index]) + (n_ends > 0),
-                "train_tokens": tokens, "base_score": base + np.log10(n_ends + 0.5) - bottom, "score": np.add.reduceat(logs, starts[:-1]),
-            }))
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in SCORES.split(", ")])
-
-    return manifest.groupBy("block").cogroup(words.where("kind = 'words'").union(logs).groupBy("block")).applyInPandas(score, SCORES)
+    sums = [np.frombuffer(r["data"], "<u8") for r in words.where("kind = 'sums'").select("data").collect()]  # a row for each bucket
+    coded = materialize(_coded(manifest, words, n_words), f"{folder}/coded")
+    held = coded.select(F.explode("held_out").alias("h"))
+    ends = held.where("not h").count()
+    corpus = Corpus(int(sum(int(s[1]) for s in sums)) + ends, int(sum(int(s[0]) for s in sums)) + (ends > 0), ends, hot)
+    drop(f"{folder}/blocks")  # the numbers stand for the texts from here on
+    drop(f"{folder}/words")
+
+    about, told = [], None
+    most = max([ends, *(int(s[2]) for s in sums)])
+    while most > hot and len(about) < DEPTH:
+        found = materialize(_spread(coded, told, corpus, about, n_grams), f"{folder}/spread-{len(about)}")
+        about = [*about, _about(found, len(about) + 1)]
+        most = max(ends, found.agg(F.max("most")).first()[0] or 0)
+        rows = found.where("block >= 0").drop("most")
+        told = rows if told is None else told.union(rows)
+    answers = _answers(coded, told, corpus, about, n_grams)
+    told = answers if told is None else told.union(answers)
+
+    def score(row: dict, known: dict) -> Iterator[tuple]:
+        g = BlockGrams(row, corpus)
+        length, _ = g.resolve(about, known, n_grams)
+        logs = np.log10(g.p.astype(float))
+        for settled, b, some in g.dealt(length, n_grams):
+            logs[some] = np.frombuffer(known[-1 - settled][b], "<f4")
+        counts = g.count(g.stream)
+        base = np.add.reduceat(np.log10(counts + 0.5) - np.log10(corpus.bottom), g.starts)
+        score, seen = np.add.reduceat(logs[g.of], g.starts), np.add.reduceat((counts > 0).astype(np.int64), g.starts)
+        for i, doc_id in enumerate(row["doc_id"]):
+            yield None if pd.isna(doc_id) else int(doc_id), bool(g.held[i]), int(g.sizes[i]) + 1, int(seen[i]), corpus.tokens, float(base[i]), float(score[i])
+
+    return over(coded, told, score, SCORES)
+
+
+def drop(uri: str) -> None:
+    fs, path = filesystem(uri)
+    fs.delete_dir(path)
