@@ -9,7 +9,7 @@ with the answers to it.  So only keys and answers are shuffled, never texts, and
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,8 +24,8 @@ BLOCK_BYTES = 4 << 20
 MANIFEST = "block long, path string, n_docs long, n_bytes long"
 
 
-def write_blocks(docs: DataFrame, uri: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Write (text, ...) rows as blocks and return their manifest; every row is in exactly one block.
+def write_blocks(docs: DataFrame, uri: str, block_bytes: int = BLOCK_BYTES, kept: Callable[[pa.Table], pa.Table] = lambda table: table) -> DataFrame:
+    """Write (text, ...) rows as blocks and return their manifest; every row is in exactly one block, of which ``kept`` is written.
 
     A file's name is unique to an attempt of a task; only what finished attempts name is in the manifest.
     """
@@ -39,10 +39,11 @@ def write_blocks(docs: DataFrame, uri: str, block_bytes: int = BLOCK_BYTES) -> D
         def flush() -> None:
             nonlocal held, size, number
             fs, path = filesystem(name := f"{uri}/block-{part:06d}-{number:06d}-{uuid.uuid4().hex}.arrow")
-            table = pa.Table.from_batches(held)
+            whole = pa.Table.from_batches(held)
+            table = kept(whole)
             with fs.open_output_stream(path) as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(table)
-            out.append({"block": (part << 32) + number, "path": name, "n_docs": table.num_rows, "n_bytes": size})
+            out.append({"block": (part << 32) + number, "path": name, "n_docs": whole.num_rows, "n_bytes": size})
             held, size, number = [], 0, number + 1
 
         for batch in batches:

@@ -41,7 +41,7 @@ HOT = 1 << 21
 #: Buckets of contexts at least, and bytes of text in a block.
 GRAM_BUCKETS, BLOCK = 256, 6 << 20
 END = 0
-CODED = "block long, doc_id array<long>, held_out array<boolean>, n_words array<int>, ids binary, distinct binary, counts binary"
+NAMED = "block long, path string, training long, words binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -82,18 +82,29 @@ def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     return ((int(b), slice(at[b], at[b + 1])) for b in np.flatnonzero(np.diff(at)))
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, in any order, and which of them each key is."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 def distinct_rows(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of columns under 2 ** 32, in order, and which of them each row is."""
-    number, keys = np.zeros(len(columns[0]), np.uint64), []
-    for c in columns:
-        key, inverse = np.unique(number << np.uint64(32) | c.astype(np.uint64), return_inverse=True)
+    """The distinct rows of columns under 2 ** 32, in any order, and which of them each row is."""
+    number = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        key, inverse = numbered(number << np.uint64(32) | c.astype(np.uint64))
         number = inverse.astype(np.uint64)
-        keys.append(key)
-    out, rows = [], np.arange(len(keys[-1]) if keys else 0)
-    for key in reversed(keys):
-        out.append((key[rows] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        rows = (key[rows] >> np.uint64(32)).astype(np.int64)
-    return out[::-1], number.astype(np.int64)
+    key, inverse = numbered(number)
+    first = np.empty(len(key), np.int64)
+    first[inverse] = np.arange(len(inverse))
+    return [c[first] for c in columns], inverse
+
+
+def of_each(inverse: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The value that all rows of each distinct one share."""
+    out = np.empty(n, values.dtype)
+    out[inverse] = values
+    return out
 
 
 @dataclass(frozen=True)
@@ -128,12 +139,13 @@ def grow(contexts: list[np.ndarray], symbol: np.ndarray, counts: np.ndarray, p:
     """The probability of each row's symbol after its words (the last one first), with counts in training and predictions by the first ``known`` words."""
     number = np.zeros(len(symbol), np.uint64)
     for length, word in enumerate(contexts, 1):
-        number = np.unique(number << np.uint64(32) | word.astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
+        context, number = numbered(number << np.uint64(32) | word.astype(np.uint64))
+        number = number.astype(np.uint64)
         if length <= known:
             continue
-        gram, first, inverse = np.unique(number << np.uint64(32) | symbol.astype(np.uint64), return_index=True, return_inverse=True)
-        group, x, before = (gram >> np.uint64(32)).astype(np.int64), np.bincount(inverse, counts, len(gram)), p[first]
-        c = states_of(group, x, before, int(number.max()) + 1 if len(number) else 0)
+        gram, inverse = numbered(number << np.uint64(32) | symbol.astype(np.uint64))
+        group, x, before = (gram >> np.uint64(32)).astype(np.int64), np.bincount(inverse, counts, len(gram)), of_each(inverse, p, len(gram))
+        c = states_of(group, x, before, len(context))
         p = np.where(c.state[group], predicted(x, before, c.total[group], c.kinds[group]), before)[inverse]
     return p
 
@@ -147,10 +159,10 @@ def _words(manifest: DataFrame, n_buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, path in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist()):
-                index, hashes, starts, held, _ = _read(path)
-                counts = np.bincount(index[np.repeat(~held, np.diff(starts))], minlength=len(hashes)).astype("<u4")
+                row = read_block(path)
+                (hashes,), (counts,) = unpack(row["hashes"][0].as_py(), "<u8"), unpack(row["counts"][0].as_py(), "<u4")
                 bucket, order = _word_buckets(hashes, n_buckets)
-                rows = [(b, block, pack(hashes[order[s]].astype("<u8"), counts[order[s]])) for b, s in by_bucket(bucket[order], n_buckets)]
+                rows = [(b, block, pack(hashes[order[s]], counts[order[s]])) for b, s in by_bucket(bucket[order], n_buckets)]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block", "data"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -173,14 +185,14 @@ def _words(manifest: DataFrame, n_buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(tidy_group(answer), "kind string, block long, bucket int, data binary")
 
 
-def _read(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """Word occurrences by number in the block, the distinct words' hashes, the documents' starts, which are held out, and the block."""
-    table = read_block(path)
+def coded(table: pa.Table) -> pa.Table:
+    """What is kept of a block's texts, in one row: the words as numbers in the block, the distinct words' hashes, and their counts in training."""
     docs, numbers = [words_of(t) for t in table["text"].to_pylist()], {}
-    put = numbers.setdefault
-    index = np.array([put(w, len(numbers)) for words in docs for w in words], np.int64)
-    digest = xxhash.xxh3_64_intdigest
-    return index, np.array([digest(w) for w in numbers], np.uint64), np.cumsum([0, *map(len, docs)]), np.array(table["held_out"].to_pylist(), bool), table
+    put, digest, sizes = numbers.setdefault, xxhash.xxh3_64_intdigest, [len(d) for d in docs]
+    ids = np.array([put(w, len(numbers)) for words in docs for w in words], "<u4")
+    hashes, held = np.array([digest(w) for w in numbers], "<u8"), table["held_out"].to_pylist()
+    counts = np.bincount(ids[np.repeat(~np.array(held, bool), sizes)], minlength=len(numbers)).astype("<u4")
+    return pa.table({"doc_id": pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())), "held_out": [held], "n_words": pa.array([sizes], pa.list_(pa.int64())), "ids": [pack(ids)], "hashes": [pack(hashes)], "counts": [pack(counts)]})
 
 
 def _word_buckets(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,22 +200,22 @@ def _word_buckets(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.argsort(bucket, kind="stable")
 
 
-def _coded(manifest: DataFrame, words: DataFrame, n_buckets: int) -> DataFrame:
-    """CODED: each block with its words as numbers, and its distinct words with their counts."""
+def _named(manifest: DataFrame, words: DataFrame, n_buckets: int) -> DataFrame:
+    """NAMED: each block with the numbers and counts of its words, in the block's order."""
 
     def each(listed: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         known, out = dict(zip(answered["bucket"], answered["data"])), []
         for block, path in zip(listed["block"], listed["path"]):
-            index, hashes, starts, held, table = _read(path)
-            number, counts = np.zeros(len(hashes), np.uint32), np.zeros(len(hashes), np.uint64)
+            row = read_block(path)
+            (hashes,), held = unpack(row["hashes"][0].as_py(), "<u8"), row["held_out"][0].as_py()
+            number, counts = np.zeros(len(hashes), "<u4"), np.zeros(len(hashes), "<u8")
             bucket, order = _word_buckets(hashes, n_buckets)
             for b, s in by_bucket(bucket[order], n_buckets):
                 number[order[s]], counts[order[s]] = unpack(known[b], "<u4", "<u8")
-            order = np.argsort(number)
-            out.append((block, table["doc_id"].to_pylist(), held.tolist(), np.diff(starts).tolist(), pack(number[index]), pack(number[order]), pack(counts[order])))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CODED.split(", ")])
+            out.append((block, path, len(held) - sum(held), pack(number, counts)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in NAMED.split(", ")])
 
-    return manifest.select("block", "path").groupBy("block").cogroup(words.where("kind = 'words'").groupBy("block")).applyInPandas(tidy_group(each), CODED)
+    return manifest.select("block", "path").groupBy("block").cogroup(words.where("kind = 'words'").groupBy("block")).applyInPandas(tidy_group(each), NAMED)
 
 
 # -- symbols in context
@@ -227,28 +239,34 @@ class BlockGrams:
     """A block's distinct symbols in context, with their counts in training and the root's probabilities."""
 
     def __init__(self, row: dict, corpus: Corpus):
-        self.corpus, self.sizes = corpus, np.array(row["n_words"], np.int64)
-        self.held = np.array(row["held_out"], bool)
-        (ids,), (self.distinct,), (self.counts,) = unpack(row["ids"], "<u4"), unpack(row["distinct"], "<u4"), unpack(row["counts"], "<u8")
+        block = read_block(row["path"])
+        self.corpus, self.doc_id = corpus, block["doc_id"][0].as_py()
+        self.sizes, self.held = np.array(block["n_words"][0].as_py(), np.int64), np.array(block["held_out"][0].as_py(), bool)
+        (ids,) = unpack(block["ids"][0].as_py(), "<u4")
+        number, counts = unpack(row["words"], "<u4", "<u8")
+        number, self.counts = np.append(np.uint32(END), number), np.append(corpus.ends, counts.astype(np.int64))  # the end is the block's symbol 0
         last = np.cumsum(self.sizes + 1) - 1  # where each document's end is
         self.starts = last - self.sizes
-        stream = np.full(int(last[-1]) + 1 if len(last) else 0, END, np.uint32)
+        stream = np.zeros(len(ids) + len(last), np.uint64)
         word = np.ones(len(stream), bool)
         word[last] = False
-        stream[word] = ids
+        stream[word] = ids + np.uint32(1)
         place = np.arange(len(stream)) - np.repeat(self.starts, self.sizes + 1)
-        before = [np.where(place >= n, np.concatenate([np.zeros(n, np.uint32), stream[:-n]]) if len(stream) >= n else stream, np.uint32(END)) for n in range(1, DEPTH + 1)]
-        (*self.context, self.symbol), self.of = distinct_rows(*before, stream)
-        self.n = np.bincount(self.of[np.repeat(~self.held, self.sizes + 1)], minlength=len(self.symbol)).astype(np.uint32)
-        self.stream = stream
-        self.p = ((self.count(self.symbol) + 0.5) / corpus.bottom).astype("<f4")
-
-    def count(self, symbols: np.ndarray) -> np.ndarray:
-        """Occurrences of symbols in training."""
-        if not len(self.distinct):
-            return np.full(len(symbols), self.corpus.ends, np.int64)
-        at = np.minimum(np.searchsorted(self.distinct, symbols), len(self.distinct) - 1)
-        return np.where(symbols == END, self.corpus.ends, self.counts[at].astype(np.int64))
+        parts = [stream, *[np.where(place >= n, np.roll(stream, n), np.uint64(0)) for n in range(1, DEPTH + 1)]]
+        wide = np.uint64(int(len(number)).bit_length())
+        if (DEPTH + 1) * int(wide) <= 64:
+            key = parts[-1]
+            for part in parts[-2::-1]:
+                key = key << wide | part
+            key, self.of = numbered(key)
+            local = [(key >> np.uint64(i) * wide & (np.uint64(1) << wide) - np.uint64(1)).astype(np.int64) for i in range(DEPTH + 1)]
+        else:
+            local, self.of = distinct_rows(*parts)
+            local = [c.astype(np.int64) for c in local]
+        self.symbol, *self.context = (number[c] for c in local)
+        self.n = np.bincount(self.of[np.repeat(~self.held, self.sizes + 1)], minlength=len(self.symbol)).astype("<u4")
+        self.seen, self.before = self.counts[stream.astype(np.int64)], self.counts[local[1]]  # of each place's symbol, of each gram's last word
+        self.p = ((self.counts[local[0]] + 0.5) / corpus.bottom).astype("<f4")
 
     def rows(self, which: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
         """The distinct contexts of this length with their symbols, among some of the grams, and which of them each is."""
@@ -256,7 +274,7 @@ class BlockGrams:
 
     def resolve(self, about: list[dict], told: dict[int, dict[int, bytes]], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Put in the probabilities after spread contexts; how many words of each gram's context that settles, and whether the next longer one is spread too."""
-        times, length = self.count(self.context[0]), np.zeros(len(self.symbol), np.int64)
+        times, length = self.before.copy(), np.zeros(len(self.symbol), np.int64)
         hot = times > self.corpus.hot
         for level, known in enumerate(about, 1):
             if not hot.any():
@@ -267,7 +285,7 @@ class BlockGrams:
             for b, s in by_bucket(bucket[order], n_buckets):
                 (x[order[s]],) = unpack(told[level][b], "<u8")
             total, kinds, state = (np.array(c) for c in zip(*[known[tuple(r)] for r in np.column_stack(rows[:-1]).tolist()]))
-            before = self.p[hot][np.unique(of, return_index=True)[1]].astype(float)
+            before = of_each(of, self.p[hot], len(rows[0])).astype(float)
             self.p[hot] = np.where(state, predicted(x, before, total, kinds), before)[of]
             length[hot] = level
             # the next longer context occurs as often as its last word follows the words before that; one that begins before the text, as often as this one
@@ -282,20 +300,22 @@ class BlockGrams:
 
     def asked(self, length: np.ndarray) -> np.ndarray:
         """Grams whose contexts may have states that aren't spread."""
-        return np.flatnonzero((length < DEPTH) & ((length > 0) | (self.count(self.context[0]) >= LEAST)))
+        return np.flatnonzero((length < DEPTH) & ((length > 0) | (self.before >= LEAST)))
 
     def dealt(self, length: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(settled words, bucket, grams) of the grams to ask for, those of a context together."""
         some = self.asked(length)
         for known in np.unique(length[some]):
             mine = some[length[some] == known]
-            bucket = (mixed(*[c[mine] for c in self.context[: known + 1]]) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")  # within a bucket in the order of contexts
+            mine = mine[np.argsort(self.context[0][mine].astype(np.uint64) << np.uint64(32) | self.context[1][mine])]  # in the order of contexts
+            bucket = mixed(*[c[mine] for c in self.context[: known + 1]]) % np.uint64(n_buckets)
+            order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
+            bucket = bucket.astype(np.int64)
             for b, s in by_bucket(bucket[order], n_buckets):
                 yield int(known), b, mine[order[s]]
 
 
-def over(coded: DataFrame, told: DataFrame | None, each: Callable[[dict, dict], Iterator[tuple]], schema: str) -> DataFrame:
+def over(named: DataFrame, told: DataFrame | None, each: Callable[[dict, dict], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows made from each block and from what it was told before, by level and bucket."""
     names = [c.split()[0] for c in schema.split(", ")]
     if told is None:
@@ -306,15 +326,16 @@ def over(coded: DataFrame, told: DataFrame | None, each: Callable[[dict, dict],
                     rows = list(each(batch.slice(i, 1).to_pylist()[0], {}))
                     yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), schema=_arrow(schema), preserve_index=False)
 
-        return coded.mapInArrow(tidy(alone), schema)
+        return named.mapInArrow(tidy(alone), schema)
 
     def both(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         known: dict[int, dict[int, bytes]] = {}
         for level, bucket, data in zip(answers["level"], answers["bucket"], answers["data"]):
             known.setdefault(level, {})[bucket] = data
-        return pd.DataFrame([r for row in rows.to_dict("records") for r in each(row, known)], columns=names)
+        out = pd.DataFrame([r for row in rows.to_dict("records") for r in each(row, known)], columns=names)
+        return out.astype({"doc_id": "Int64"}) if "doc_id" in names else out
 
-    return coded.groupBy("block").cogroup(told.select("block", "level", "bucket", "data").groupBy("block")).applyInPandas(tidy_group(both), schema)
+    return named.groupBy("block").cogroup(told.select("block", "level", "bucket", "data").groupBy("block")).applyInPandas(tidy_group(both), schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -325,7 +346,7 @@ def _arrow(schema: str) -> pa.Schema:
 # -- contexts that are spread
 
 
-def _spread(coded: DataFrame, told: DataFrame | None, corpus: Corpus, about: list[dict], n_buckets: int) -> DataFrame:
+def _spread(named: DataFrame, told: DataFrame | None, corpus: Corpus, about: list[dict], n_buckets: int) -> DataFrame:
     """(block, level, bucket, data, most): counts of what follows spread contexts of the next length, for each block (and, for block -1, all of a bucket's; most: the highest)."""
     level = len(about) + 1
     types = ["<u4"] * (level + 1)
@@ -336,7 +357,7 @@ def _spread(coded: DataFrame, told: DataFrame | None, corpus: Corpus, about: lis
         if not hot.any():
             return
         rows, of = g.rows(hot, level)
-        n, p = np.bincount(of, g.n[hot], len(rows[0])).astype("<u4"), g.p[hot][np.unique(of, return_index=True)[1]]
+        n, p = np.bincount(of, g.n[hot], len(rows[0])).astype("<u4"), of_each(of, g.p[hot], len(rows[0]))
         bucket = (mixed(*rows) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         for b, s in by_bucket(bucket[order], n_buckets):
@@ -347,14 +368,14 @@ def _spread(coded: DataFrame, told: DataFrame | None, corpus: Corpus, about: lis
         columns = [np.concatenate(c) for c in zip(*parts)]
         rows, of = distinct_rows(*columns[: level + 1])
         x = np.bincount(of, columns[-2], len(rows[0])).astype("<u8")
-        p, seen, bucket, at, out = columns[-1][np.unique(of, return_index=True)[1]], x > 0, int(group["bucket"].iat[0]), 0, []
+        p, seen, bucket, at, out = of_each(of, columns[-1], len(x)), x > 0, int(group["bucket"].iat[0]), 0, []
         for block, part in zip(group["block"], parts):
             out.append((int(block), level, bucket, pack(x[of[at : at + len(part[0])]]), 0))
             at += len(part[0])
         out.append((-1, level, bucket, pack(*[c[seen] for c in rows[:-1]], x[seen], p[seen]), int(x.max(initial=0))))
         return pd.DataFrame(out, columns=["block", "level", "bucket", "data", "most"])
 
-    sent = over(coded, told, send, "bucket int, block long, data binary")
+    sent = over(named, told, send, "bucket int, block long, data binary")
     return sent.groupBy("bucket").applyInPandas(tidy_group(answer), "block long, level int, bucket int, data binary, most long")
 
 
@@ -389,7 +410,7 @@ def _about(found: DataFrame, level: int) -> dict[tuple, tuple]:
 # -- scores
 
 
-def _answers(coded: DataFrame, told: DataFrame | None, corpus: Corpus, about: list[dict], n_buckets: int) -> DataFrame:
+def _answers(named: DataFrame, told: DataFrame | None, corpus: Corpus, about: list[dict], n_buckets: int) -> DataFrame:
     """(block, level, bucket, data): log10 probabilities of each block's grams; level is negative: less the number of settled words, less one."""
 
     def send(row: dict, known: dict) -> Iterator[tuple]:
@@ -406,7 +427,7 @@ def _answers(coded: DataFrame, told: DataFrame | None, corpus: Corpus, about: li
         split = np.split(logs, np.cumsum([len(x[0]) for x in parts])[:-1])
         return pd.DataFrame({"block": group["block"].to_numpy(), "level": -1 - settled, "bucket": bucket, "data": [x.tobytes() for x in split]})
 
-    sent = over(coded, told, send, "settled int, bucket int, block long, data binary")
+    sent = over(named, told, send, "settled int, bucket int, block long, data binary")
     return sent.groupBy("bucket", "settled").applyInPandas(tidy_group(answer), "block long, level int, bucket int, data binary")
 
 
@@ -414,27 +435,26 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1
     """SCORES of every document, learning from those outside the held-out fold."""
     folder = work_dir(spark, "suffix-tree")
     source = texts(docs, F.coalesce(crc_mod5() == held_out_fold, F.lit(False)).alias("held_out"))
-    manifest = write_blocks(source, f"{folder}/blocks", block_bytes)
+    manifest = write_blocks(source, f"{folder}/blocks", block_bytes, coded)
     spaced, n_blocks = spread(manifest)
     n_words, n_grams = max(8, n_blocks // 2), max(GRAM_BUCKETS, n_blocks)
     words = materialize(_words(spaced, n_words), f"{folder}/words")
     sums = [np.frombuffer(r["data"], "<u8") for r in words.where("kind = 'sums'").select("data").collect()]  # a row for each bucket
-    coded = materialize(_coded(manifest, words, n_words), f"{folder}/coded")
-    held = coded.select(F.explode("held_out").alias("h"))
-    ends = held.where("not h").count()
+    named = materialize(_named(manifest, words, n_words), f"{folder}/named")
+    ends = named.agg(F.sum("training")).first()[0] or 0
     corpus = Corpus(int(sum(int(s[1]) for s in sums)) + ends, int(sum(int(s[0]) for s in sums)) + (ends > 0), ends, hot)
-    drop(f"{folder}/blocks")  # the numbers stand for the texts from here on
     drop(f"{folder}/words")
+    named, _ = spread(named)
 
     about, told = [], None
     most = max([ends, *(int(s[2]) for s in sums)])
     while most > hot and len(about) < DEPTH:
-        found = materialize(_spread(coded, told, corpus, about, n_grams), f"{folder}/spread-{len(about)}")
+        found = materialize(_spread(named, told, corpus, about, n_grams), f"{folder}/spread-{len(about)}")
         about = [*about, _about(found, len(about) + 1)]
         most = max(ends, found.agg(F.max("most")).first()[0] or 0)
         rows = found.where("block >= 0").drop("most")
         told = rows if told is None else told.union(rows)
-    answers = _answers(coded, told, corpus, about, n_grams)
+    answers = _answers(named, told, corpus, about, n_grams)
     told = answers if told is None else told.union(answers)
 
     def score(row: dict, known: dict) -> Iterator[tuple]:
@@ -443,13 +463,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1
         logs = np.log10(g.p.astype(float))
         for settled, b, some in g.dealt(length, n_grams):
             logs[some] = np.frombuffer(known[-1 - settled][b], "<f4")
-        counts = g.count(g.stream)
-        base = np.add.reduceat(np.log10(counts + 0.5) - np.log10(corpus.bottom), g.starts)
-        score, seen = np.add.reduceat(logs[g.of], g.starts), np.add.reduceat((counts > 0).astype(np.int64), g.starts)
-        for i, doc_id in enumerate(row["doc_id"]):
-            yield None if pd.isna(doc_id) else int(doc_id), bool(g.held[i]), int(g.sizes[i]) + 1, int(seen[i]), corpus.tokens, float(base[i]), float(score[i])
+        base = np.add.reduceat(np.log10(g.seen + 0.5) - np.log10(corpus.bottom), g.starts)
+        score, seen = np.add.reduceat(logs[g.of], g.starts), np.add.reduceat((g.seen > 0).astype(np.int64), g.starts)
+        for i, doc_id in enumerate(g.doc_id):
+            yield doc_id, bool(g.held[i]), int(g.sizes[i]) + 1, int(seen[i]), corpus.tokens, float(base[i]), float(score[i])
 
-    return over(coded, told, score, SCORES)
+    return over(named, told, score, SCORES)
 
 
 def drop(uri: str) -> None:
