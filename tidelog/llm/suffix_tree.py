@@ -39,7 +39,7 @@ DEPTH, LEAST, GAIN, SMOOTH = 2, 2, 2.0, 8.0
 #: Occurrences of a context from which on it is spread over buckets.
 HOT = 1 << 21
 #: Buckets of contexts at least, and bytes of text in a block.
-GRAM_BUCKETS, BLOCK = 256, 6 << 20
+GRAM_BUCKETS, BLOCK = 256, 8 << 20
 END = 0
 NAMED = "block long, path string, training long, words binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -234,6 +234,10 @@ class Corpus:
     def bottom(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        """The root's probabilities of symbols with these counts."""
+        return ((counts.astype(float) + 0.5) / self.bottom).astype("<f4")
+
 
 class BlockGrams:
     """A block's distinct symbols in context, with their counts in training and the root's probabilities."""
@@ -266,7 +270,7 @@ class BlockGrams:
         self.symbol, *self.context = (number[c] for c in local)
         self.n = np.bincount(self.of[np.repeat(~self.held, self.sizes + 1)], minlength=len(self.symbol)).astype("<u4")
         self.seen, self.before = self.counts[stream.astype(np.int64)], self.counts[local[1]]  # of each place's symbol, of each gram's last word
-        self.p = ((self.counts[local[0]] + 0.5) / corpus.bottom).astype("<f4")
+        self.local, self.p = local[0], corpus.root(self.counts[local[0]])
 
     def rows(self, which: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
         """The distinct contexts of this length with their symbols, among some of the grams, and which of them each is."""
@@ -411,21 +415,28 @@ def _about(found: DataFrame, level: int) -> dict[tuple, tuple]:
 
 
 def _answers(named: DataFrame, told: DataFrame | None, corpus: Corpus, about: list[dict], n_buckets: int) -> DataFrame:
-    """(block, level, bucket, data): log10 probabilities of each block's grams; level is negative: less the number of settled words, less one."""
+    """(block, level, bucket, data): for each block's grams bits that say where states change the probability, and log10 of it there.
+
+    ``level`` is negative: less the number of settled words, less one.
+    """
 
     def send(row: dict, known: dict) -> Iterator[tuple]:
         g = BlockGrams(row, corpus)
         length, _ = g.resolve(about, known, n_buckets)
         for settled, b, some in g.dealt(length, n_buckets):
-            yield settled, b, row["block"], pack(*[c[some] for c in g.context], g.symbol[some], g.n[some].astype("<u4"), g.p[some])
+            # before any word is settled the prediction is the root's, for which the symbol's count stands: it packs better
+            said = g.p[some] if settled else g.counts[g.local[some]].astype("<u8")
+            yield settled, b, row["block"], pack(*[c[some] for c in g.context], g.symbol[some], g.n[some], said)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(d, *["<u4"] * (DEPTH + 1), "<u4", "<f4") for d in group["data"]]
-        *words, n, p = (np.concatenate(c) for c in zip(*parts))
         settled, bucket = int(group["settled"].iat[0]), int(group["bucket"].iat[0])
-        logs = np.log10(grow(words[:-1], words[-1], n, p.astype(float), settled)).astype("<f4")
-        split = np.split(logs, np.cumsum([len(x[0]) for x in parts])[:-1])
-        return pd.DataFrame({"block": group["block"].to_numpy(), "level": -1 - settled, "bucket": bucket, "data": [x.tobytes() for x in split]})
+        parts = [unpack(d, *["<u4"] * (DEPTH + 2), "<f4" if settled else "<u8") for d in group["data"]]
+        *words, n, said = (np.concatenate(c) for c in zip(*parts))
+        before = (said if settled else corpus.root(said)).astype(float)
+        p = grow(words[:-1], words[-1], n, before, settled)
+        ends = np.cumsum([len(x[0]) for x in parts])[:-1]
+        data = [np.packbits(c).tobytes() + np.log10(x[c]).astype("<f4").tobytes() for c, x in zip(np.split(p != before, ends), np.split(p, ends))]
+        return pd.DataFrame({"block": group["block"].to_numpy(), "level": -1 - settled, "bucket": bucket, "data": data})
 
     sent = over(named, told, send, "settled int, bucket int, block long, data binary")
     return sent.groupBy("bucket", "settled").applyInPandas(tidy_group(answer), "block long, level int, bucket int, data binary")
@@ -462,7 +473,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1
         length, _ = g.resolve(about, known, n_grams)
         logs = np.log10(g.p.astype(float))
         for settled, b, some in g.dealt(length, n_grams):
-            logs[some] = np.frombuffer(known[-1 - settled][b], "<f4")
+            data, n = known[-1 - settled][b], -(-len(some) // 8)
+            logs[some[np.unpackbits(np.frombuffer(data, np.uint8, n), count=len(some)).view(bool)]] = np.frombuffer(data, "<f4", -1, n)
         base = np.add.reduceat(np.log10(g.seen + 0.5) - np.log10(corpus.bottom), g.starts)
         score, seen = np.add.reduceat(logs[g.of], g.starts), np.add.reduceat((g.seen > 0).astype(np.int64), g.starts)
         for i, doc_id in enumerate(g.doc_id):
