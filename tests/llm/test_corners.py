@@ -11,7 +11,7 @@ ROWS = [
     (5, "X the same passage that is long enough to be found twice in two documents, is it", "b"), (6, LONG, "b"), (7, LONG, "b"), (7, LONG, "b"), (None, "a document without an id", "a"), (None, None, None),
 ]
 #: Names that the operators use inside.
-CLASHING = ["n_chars", "score", "key", "value", "host", "fp", "block", "part", "rank", "length", "start", "root", "node", "gram", "held_out", "kind", "data", "path", "size", "rejected", "count"]
+CLASHING = ["n_chars", "score", "key", "_node", "_same", "value", "host", "fp", "block", "part", "rank", "length", "start", "root", "node", "gram", "held_out", "kind", "data", "path", "size", "rejected", "count", "_md5", "_key", "_id", "_host", "_bad", "_block", "failed", "_failed", "_rejected", "same", "rows", "toxic", "view", "fps"]
 
 
 @pytest.fixture(scope="module")

@@ -21,7 +21,7 @@ from hypothesis import strategies as st
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 from oracle import compare
 
-from tidelog.llm import neighbours, packing, pieces, queries, similar, simhash, suffix_array, suffix_tree, token_files, toxicity
+from tidelog.llm import neighbours, packing, pieces, quality, queries, similar, simhash, suffix_array, suffix_tree, token_files, toxicity, urls
 from tidelog.llm.tokens import encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -427,3 +427,119 @@ def test_similar_documents_of_a_family_just_under_the_limit(spark):
     assert close == {(2 * g + 1, 2 * g) for g in range(20)}
     kept = {r["doc_id"] for r in similar.keep_one(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert kept == set(range(0, 40, 2))
+
+
+def shingle_sets(texts, size=5):
+    out = []
+    for _, t in texts:
+        words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(t)]
+        out.append(frozenset(" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset())
+    return out
+
+
+def test_near_dedup_keeps_what_brute_force_keeps(spark):
+    """All pairs of the documents at sf0.01 by their whole shingle sets."""
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").sort_values("doc_id")
+    texts = list(zip(d["doc_id"].tolist(), d["text"].fillna("").tolist()))
+    sets, holders, root = shingle_sets(texts), {}, list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        common = Counter(j for x in s for j in holders[x] if j < i)
+        for j, n in common.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    empty = [i for i, s in enumerate(sets) if not s]
+    wanted = {texts[i][0] for i in range(len(texts)) if find(i) == i and (sets[i] or i == empty[0])}
+    kept = similar.keep_one(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == wanted and len(kept) == len(wanted)
+
+
+def test_recall_of_views_at_the_limit():
+    """Pairs of random shingle sets at a similarity of 0.8 that share no view: one in 1.7 million is expected."""
+    rng, missed = np.random.default_rng(3), 0
+    for _ in range(2000):
+        common, apart = rng.integers(0, 1 << 63, 160, np.uint64), rng.integers(0, 1 << 63, 40, np.uint64)
+        a, b = (np.unique(np.concatenate([common, x])) for x in (apart[:20], apart[20:]))
+        missed += not (similar.views_of(a) == similar.views_of(b)).any()
+    assert missed == 0
+
+
+def fingerprint_by_hand(text, size=3):
+    words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall(text)]
+    parts = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_components(spark, sf, texts):
+    """The query's fingerprints and components, all pairs by hand."""
+    fps = {i: fingerprint_by_hand(t) for i, t in texts}
+    component, todo = {}, sorted(fps)
+    for i in todo:
+        if i not in component:
+            component[i], queue = i, [i]
+            while queue:
+                a = queue.pop()
+                for b in todo:
+                    if b not in component and (fps[a] ^ fps[b]).bit_count() <= 3:
+                        component[b] = i
+                        queue.append(b)
+    rows = queries.op6_simhash(spark, sf).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{fps[i]:016x}", component[i]) for i in fps}
+
+
+def planted_hosts(spark):
+    """Three hosts of mostly bad documents (many, few, null name), and good ones around them."""
+    rng = random.Random(4)
+    good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    rows = [(i, good() if i % 10 else "too short", f"good{i % 6}.org") for i in range(300)]
+    rows += [(1000 + i, good() if i % 10 == 0 else "too short", "bad.net") for i in range(60)]
+    rows += [(2000 + i, good() if i == 0 else "too short", "few.net") for i in range(4)]
+    rows += [(3000 + i, good() if i % 12 == 0 else "too short", None) for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_hosts_are_rejected_and_spared_by_the_method(spark):
+    docs = planted_hosts(spark)
+    rows = quality.judge(spark, docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    passed = lambda host: [r["kept"] for r in rows if r["source"] == host and not r["base_failed"]]
+    assert passed("bad.net") == [False] * 6 and passed(None) == [False] * 5  # good documents of bad hosts
+    assert passed("few.net") == [True] and all(all(passed(f"good{i}.org")) for i in range(6))
+    kept = {r["doc_id"] for r in quality.keep_good(spark, docs).collect()}
+    assert kept == {r["doc_id"] for r in rows if r["kept"]}
+    stricter = {r["doc_id"] for r in quality.keep_good(spark, docs, least_words=41).collect()}
+    assert stricter == set()
+
+
+def test_urls_are_blocked_and_spared_by_reputation(spark):
+    pages = [(i, f"http://mostly.bad.com/{'de' if i % 8 else 'fr'}/{i}") for i in range(80)]
+    pages += [(1000 + i, f"http://good{i % 9}.com/fr/{i}") for i in range(180)]
+    pages += [(100 + i, f"http://even.com/{'de' if i % 2 else 'fr'}/{i}") for i in range(60)]
+    pages += [(200, "http://mostly.bad.com/other"), (201, "http://even.com/other"), (202, "http://other.bad.com/x"), (203, "http://unseen.net/x"), (204, "http://few.com/de/1"), (205, "http://few.com/x")]
+    rows = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(spark, spark.createDataFrame(pages, "page_id long, url string"), urls.RULES).collect()}
+    assert rows[200] == (None, "block") and rows[1] == ("com/de/", "block") and rows[0] == ("com/fr/", "allow")
+    assert rows[201] == (None, "allow") and rows[203] == (None, "allow") and rows[205] == (None, "allow")
+    labelled = spark.createDataFrame([(i, f"http://{'spam' if i < 40 else 'fine'}.net/{i}", int(i < 40 and i % 20 > 0) if i % 4 else None) for i in range(80)], "page_id long, url string, bad int")
+    given = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark, labelled, [], label=labelled["bad"]).collect()}
+    assert all(given[i] == ("block" if i < 40 else "allow") for i in range(80))
+
+
+def test_toxicity_keeps_every_term_and_no_repeated_row(spark):
+    rng = random.Random(6)
+    terms = [f"vile{''.join(rng.choice('bcdfghjklmnp') for _ in range(5))}" for _ in range(900)]
+    plain = lambda: " ".join(rng.choice(("tree", "house", "river", "stone", "cloud", "bread")) for _ in range(12))
+    rows = [(i, plain() + "".join(f" {t}" for t in (terms[i % 900], terms[(i + 300) % 900], terms[(i + 600) % 900])), 1) for i in range(1800)] + [(5000 + i, plain(), 0) for i in range(1800)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    train = toxicity.labelled(docs, labels)
+    assert train.count() == train.select("doc_id").distinct().count()
+    lexicon = toxicity.mine_lexicon(train)
+    assert len(set(terms) & set(lexicon.terms)) > 800

@@ -11,17 +11,20 @@ judged as (select *, case when rule in ('example.org/en/1', 'example.org/es/', '
 hosts as (select host, count(ruled)::double as n, count(*) filter (ruled = 'block')::double as k, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') as suffix from judged group by host),
 domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by all),
 suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by all),
-total as (select (sum(k) + 0.5) / (sum(n) + 1.0) as m from suffixes),
-s1 as (select suffix, n, k, m as parent from suffixes, total),
+total as (select (sum(k) + 0.5) / (sum(n) + 1.0) as m, sum(n) + 1.0 as known from suffixes),
+s1 as (select suffix, n, k, m as parent, known from suffixes, total),
 z1 as (select sum(pow(k - n * parent, 2)) as s, sum(n * parent * (1 - parent)) as b, sum(n * (n - 1) * parent * (1 - parent)) as p from s1 where n > 0),
-w1 as (select case when coalesce(s, 0) = 0 or coalesce(p, 0) = 0 then 10.0 when s > b then least(greatest(p / (s - b) - 1, 1.0), 1000.0) else 1000.0 end as w from z1),
-s2 as (select d.domain, d.n, d.k, (s1.k + w * parent) / (s1.n + w) as parent from domains d join s1 using (suffix), w1),
+w1 as (select case when coalesce(s, 0) = 0 or coalesce(p, 0) = 0 then 10.0 when s > b then least(greatest(p / (s - b) - 1, 1.0), 1000.0) else 1000.0 end as fitted from z1),
+p1 as (select suffix, n, k, parent, least(fitted, known) as w from s1, w1),
+s2 as (select d.domain, d.n, d.k, (p1.k + w * parent) / (p1.n + w) as parent, p1.n + w as known from domains d join p1 using (suffix)),
 z2 as (select sum(pow(k - n * parent, 2)) as s, sum(n * parent * (1 - parent)) as b, sum(n * (n - 1) * parent * (1 - parent)) as p from s2 where n > 0),
-w2 as (select case when coalesce(s, 0) = 0 or coalesce(p, 0) = 0 then 10.0 when s > b then least(greatest(p / (s - b) - 1, 1.0), 1000.0) else 1000.0 end as w from z2),
-s3 as (select h.host, h.n, h.k, (s2.k + w * parent) / (s2.n + w) as parent from hosts h join s2 using (domain), w2),
+w2 as (select case when coalesce(s, 0) = 0 or coalesce(p, 0) = 0 then 10.0 when s > b then least(greatest(p / (s - b) - 1, 1.0), 1000.0) else 1000.0 end as fitted from z2),
+p2 as (select domain, n, k, parent, least(fitted, known) as w from s2, w2),
+s3 as (select h.host, h.n, h.k, (p2.k + w * parent) / (p2.n + w) as parent, p2.n + w as known from hosts h join p2 using (domain)),
 z3 as (select sum(pow(k - n * parent, 2)) as s, sum(n * parent * (1 - parent)) as b, sum(n * (n - 1) * parent * (1 - parent)) as p from s3 where n > 0),
-w3 as (select case when coalesce(s, 0) = 0 or coalesce(p, 0) = 0 then 10.0 when s > b then least(greatest(p / (s - b) - 1, 1.0), 1000.0) else 1000.0 end as w from z3),
-post as (select host, k + w * parent as a, n - k + w * (1 - parent) as b from s3, w3),
+w3 as (select case when coalesce(s, 0) = 0 or coalesce(p, 0) = 0 then 10.0 when s > b then least(greatest(p / (s - b) - 1, 1.0), 1000.0) else 1000.0 end as fitted from z3),
+p3 as (select host, n, k, parent, least(fitted, known) as w from s3, w3),
+post as (select host, k + w * parent as a, n - k + w * (1 - parent) as b from p3),
 known as (select host, a / (a + b) - 2.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 as rejected from post)
 select page_id, j.host, path, rule, coalesce(ruled, case when rejected then 'block' else 'allow' end) as verdict from judged j join known using (host)"""
 

@@ -42,15 +42,33 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Work folders of this driver that are still there, in the order of their making.
+_MADE: list[str] = []
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one.  It stays until the driver's Python ends: results read it lazily."""
+    """A new folder in the shared one.  It stays until the driver's Python ends, as results read it lazily, or until it is released."""
     uri = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     fs, path = filesystem(uri)
     fs.create_dir(path, recursive=True)
     atexit.register(_remove, uri)
+    _MADE.append(uri)
     return uri
 
 
+def work_dirs() -> list[str]:
+    return list(_MADE)
+
+
+def release(uris: list[str], reader: DataFrame) -> None:
+    """Remove work folders, but not those that ``reader`` still reads."""
+    files = reader.inputFiles() if uris else []
+    for uri in uris:
+        if uri in _MADE and not any(uri.rsplit("/", 1)[-1] in f for f in files):
+            _MADE.remove(uri)
+            _remove(uri)
+
+
 def materialize(df: DataFrame, uri: str) -> DataFrame:
     """Write a DataFrame as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(uri)

@@ -2,7 +2,8 @@
 
 Reputation is empirical Bayes.  Labelled outcomes (bad or not) are added up by host, by registered domain and by
 suffix.  A suffix's rate is shrunk towards the rate of all, a domain's towards its suffix's, a host's towards its
-domain's; the strength of each prior is fitted by moments to the rates one level below it.  A page whose host has a
+domain's; the strength of each prior is fitted by moments to the rates one level below it, and is at most what its own level rests on: labelled pages and the
+strength of the prior above.  A page whose host has a
 posterior low bound over a limit is blocked; the others, and those about which nothing is known, are allowed.
 
 Limit and deviations are chosen so that a page is blocked on reputation only if bad pages are the greater part of its host with two
@@ -79,11 +80,12 @@ def reputation(spark: SparkSession, pages: DataFrame, sigmas: float = 2.0) -> Da
     def shrunk(level: DataFrame, name: str) -> DataFrame:
         level = materialize(level, f"{folder}/{name}")
         s = _strength(level)
-        a, b = F.col("k") + s * F.col("parent"), F.col("n") - F.col("k") + s * (1 - F.col("parent"))
-        return level.withColumns({"rate": a / (a + b), "low": a / (a + b) - sigmas * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))})
+        w = F.least(F.lit(s), F.col("known"))  # a prior is no surer than what is known of the level above
+        a, b = F.col("k") + w * F.col("parent"), F.col("n") - F.col("k") + w * (1 - F.col("parent"))
+        return level.withColumns({"rate": a / (a + b), "weight": F.col("n") + w, "low": a / (a + b) - sigmas * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))})
 
-    by_suffix = shrunk(suffixes.withColumn("parent", F.lit(overall)), "suffixes").select("suffix", F.col("rate").alias("parent"))
-    by_domain = shrunk(domains.join(by_suffix, "suffix"), "domains").select("domain", F.col("rate").alias("parent"))
+    by_suffix = shrunk(suffixes.withColumns({"parent": F.lit(overall), "known": F.lit((total["n"] or 0) + 1.0)}), "suffixes").select("suffix", F.col("rate").alias("parent"), F.col("weight").alias("known"))
+    by_domain = shrunk(domains.join(by_suffix, "suffix"), "domains").select("domain", F.col("rate").alias("parent"), F.col("weight").alias("known"))
     by_host = shrunk(hosts.select("host", "domain", "n", "k").join(by_domain, "domain"), "by_host")
     return by_host.select("host", F.col("rate").alias("bad_rate"), F.col("low").alias("low_bound"))
 
