@@ -543,3 +543,21 @@ def test_toxicity_keeps_every_term_and_no_repeated_row(spark):
     assert train.count() == train.select("doc_id").distinct().count()
     lexicon = toxicity.mine_lexicon(train)
     assert len(set(terms) & set(lexicon.terms)) > 800
+
+
+@pytest.mark.parametrize("part", [8192, 40])
+def test_recall_on_the_embeddings(spark, monkeypatch, part):
+    """The query against brute force over all embeddings of sf0.01, also with leaves cut into parts."""
+    monkeypatch.setattr(neighbours, "PART", part)
+    t = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x, ids = np.array([np.asarray(v, float) for v in t["embedding"]]), t["vec_id"].to_numpy()
+    rows = queries.op7_projection_forest(spark, "/root/testdata/sf0.01").toPandas()
+    found, wanted = 0, 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        best = ids[np.lexsort((ids, -score))[:20]]
+        mine = rows[rows["query_id"] == ids[i]].sort_values("rank")
+        assert len(mine) == 20 and np.allclose(mine["score"], [(x[np.flatnonzero(ids == j)[0]] * x[i]).sum() for j in mine["vec_id"]], rtol=1e-12)
+        found, wanted = found + len(set(best) & set(mine["vec_id"])), wanted + 20
+    assert found >= 0.9 * wanted

@@ -7,7 +7,8 @@ goes down all trees through one priority queue, ordered by how far inside its ha
 its number of leaves; the rows of those leaves are its candidates, scored exactly.
 
 Rows with equal vectors are one point with its smallest ids: a result needs at most ``k`` of them and the query's own.
-A leaf with many points is dealt into parts, and its queries visit every part.
+Neighbouring leaves share a bucket of bounded size, to which a query goes once with all its leaves there; a leaf with more
+points than that is dealt into parts, and its queries visit every part.  Leaves get finer as the table grows, until the sample has two vectors in each.
 
 Corner cases: vectors that are null, zero, of another length than most, or have null or non-finite components take
 no part, nor do rows with a null id; of an id with several vectors as a query the smallest vector counts, as a candidate
@@ -17,6 +18,7 @@ the nearest; repeated rows are one; other columns are ignored; an empty table gi
 from __future__ import annotations
 
 import heapq
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +27,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidelog.llm.memory import tidy, tidy_group
 from tidelog.llm.shared import materialize, work_dir
 
 #: Vectors that the forest is fitted on, at most: those with the smallest hashes.
 SAMPLE = 16_384
-#: Points in a part of a leaf.
-PART = 4096
+#: Points of leaves that a task looks at together.
+PART = 8192
 
 
 @dataclass
@@ -63,18 +67,20 @@ class Forest:
             out[:, t] = at
         return out
 
-    def probe(self, x: np.ndarray, n: int) -> list[list[int]]:
-        """The n leaves that the shared queue reaches first, for each query."""
+    def probe(self, x: np.ndarray, n: int, sizes: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """The n leaves that the shared queue reaches first, for each query; more if no tree's leaves among them have ``least`` points."""
         lifted, out = self.lift(x, query=True), []
         norms = np.linalg.norm(lifted, axis=1, keepdims=True)
         lifted = lifted / np.where(norms, norms, 1) * self.norm  # a query's own length doesn't change its order
         for margins in lifted @ self.normals.T - self.offsets:
-            queue, found = [(-np.inf, r) for r in self.roots], []
+            queue, found, points = [(-np.inf, r) for r in self.roots], [], [0] * len(self.roots)
             heapq.heapify(queue)
-            while queue and len(found) < n:
+            while queue and (len(found) < n or max(points) < least):
                 worst, node = heapq.heappop(queue)
                 if self.left[node] < 0:
                     found.append(int(node))
+                    if sizes is not None:
+                        points[bisect(self.roots, node) - 1] += int(sizes[node])
                     continue
                 m = float(margins[node])
                 heapq.heappush(queue, (max(worst, -m), int(self.right[node])))
@@ -146,28 +152,45 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
 
-def _packed(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
+def _packed(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(float)
 
 
-def points(rows: DataFrame, k: int) -> DataFrame:
-    """(rep, ids, v) of distinct vectors: v packed as doubles, ids the k + 1 smallest, rep the smallest of all."""
+def dealt(counts: dict[int, int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bucket of each leaf and the number of its buckets: neighbouring leaves share one up to PART points, a leaf with more has several to itself."""
+    first, parts, bucket, held = np.zeros(n, np.int64), np.ones(n, np.int64), 0, 0
+    for leaf in range(n):
+        size = counts.get(leaf, 0)
+        if size > PART:
+            bucket += held > 0
+            first[leaf], parts[leaf], held = bucket, -(-size // PART), 0
+            bucket += int(parts[leaf])
+            continue
+        if held + size > PART:
+            bucket, held = bucket + 1, 0
+        first[leaf], held = bucket, held + size
+    return first, parts
+
+
+def points(rows: DataFrame, k: int, kind: str) -> DataFrame:
+    """(rep, ids, v) of distinct vectors: v packed as numbers of this kind, ids the k + 1 smallest, rep the smallest of all."""
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))  # limited in each task before the shuffle
     few = rows.distinct().withColumn("r", rank).where(F.col("r") <= k + 1)
     grouped = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "v")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([np.asarray(x, "<f8").tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["rep", "ids", "v"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([np.asarray(x, kind).tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["rep", "ids", "v"])
 
-    return grouped.mapInArrow(pack, "rep long, ids array<long>, v binary")
+    return grouped.mapInArrow(tidy(pack), "rep long, ids array<long>, v binary")
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 256, recall: float = 0.96, sample: int = SAMPLE) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 64, recall: float = 0.94, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose vec_id is divisible by ``every``, the k nearest other rows found."""
     folder = work_dir(spark, "neighbours")
     rows = usable(vectors)
-    found = materialize(points(rows, k), f"{folder}/points")
+    kind = "<f4" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "<f8"  # what the vectors have, without loss
+    found = materialize(points(rows, k, kind), f"{folder}/points")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     fitted = found.orderBy(F.xxhash64("v"), "rep").limit(sample).select("v").collect()  # no more than the sample
     out = "query_id long, rank int, vec_id long, score double"
@@ -177,11 +200,12 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 2
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                yield pa.record_batch([pa.array([float(np.sqrt((_packed(b.column(0)) ** 2).sum(1)).max())])], names=["n"])
+                yield pa.record_batch([pa.array([float(np.sqrt((_packed(b.column(0), kind) ** 2).sum(1)).max())]), pa.array([len(b)])], names=["n", "rows"])
 
-    norm = found.select("v").mapInArrow(norms, "n double").agg(F.max("n")).first()[0]
-    drawn = np.frombuffer(b"".join(r["v"] for r in fitted), "<f8").reshape(len(fitted), -1)
-    grown = grow(drawn, norm, trees, leaf)
+    size = found.select("v").mapInArrow(tidy(norms), "n double, rows long").agg(F.max("n").alias("n"), F.sum("rows").alias("rows")).first()
+    drawn = np.frombuffer(b"".join(r["v"] for r in fitted), kind).reshape(len(fitted), -1).astype(float)
+    # leaves are as fine in the sample as it takes for a leaf's share of the table to be ``leaf``: they grow in number with the table, as far as the sample goes
+    grown = grow(drawn, size["n"], trees, max(2, -(-leaf * len(drawn) // size["rows"])))
     probes = enough_probes(grown, drawn, k, recall)
     forest = spark.sparkContext.broadcast(grown)  # as large as the sample and the number of trees make it
 
@@ -190,44 +214,60 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 2
             for at in range(0, len(batch), 2048):
                 b = batch.slice(at, 2048)
                 if len(b):
-                    leaves = forest.value.leaves(_packed(b.column(1)))
+                    leaves = forest.value.leaves(_packed(b.column(1), kind))
                     take = np.repeat(np.arange(len(b)), leaves.shape[1])
                     yield pa.record_batch([pa.array(leaves.ravel()), *(c.take(pa.array(take)) for c in b.columns)], names=["leaf", "rep", "v"])
 
+    indexed = found.select("rep", "v").mapInArrow(tidy(index), "leaf int, rep long, v binary")
+    counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row for each leaf, of which the sample allows so many
+    first, parts = dealt(counts, len(grown.left))
+    places = spark.sparkContext.broadcast((first, parts, np.array([counts.get(i, 0) for i in range(len(grown.left))])))
+    several = [(leaf, int(first[leaf]), int(parts[leaf])) for leaf in sorted(counts)]
+    members = indexed.join(F.broadcast(spark.createDataFrame(several, "leaf int, first int, parts int")), "leaf")
+    members = members.select((F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int").alias("bucket"), "leaf", "rep", "v")
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, parts, sizes = places.value
         for batch in batches:
             for at in range(0, len(batch), 512):
-                b = batch.slice(at, 512)
-                if len(b):
-                    x = np.array(b.column(1).to_pylist(), float)
-                    probed = forest.value.probe(x, probes)
-                    take = np.repeat(np.arange(len(b)), [len(p) for p in probed])
-                    packed = pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())
-                    yield pa.record_batch([pa.array([n for p in probed for n in p], pa.int32()), b.column(0).take(pa.array(take)), packed.take(pa.array(take))], names=["leaf", "query_id", "q"])
-
-    indexed = found.select("rep", "v").mapInArrow(index, "leaf int, rep long, v binary")
-    sizes = materialize(indexed.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), f"{folder}/sizes")
-    members = indexed.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
-    queries = asked.mapInArrow(ask, "leaf int, query_id long, q binary").join(sizes, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+                b, rows = batch.slice(at, 512), []
+                if not len(b):
+                    continue
+                x = np.array(b.column(1).to_pylist(), float)
+                for query_id, q, probed in zip(b.column(0).to_pylist(), x.astype(kind), forest.value.probe(x, probes, sizes, k + 1)):
+                    leaves = np.repeat(np.array(probed), parts[probed])
+                    step = np.arange(len(leaves)) - np.repeat(np.cumsum(parts[probed]) - parts[probed], parts[probed])
+                    bucket = first[leaves] + step
+                    order = np.argsort(bucket, kind="stable")
+                    for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                        rows.append((int(bucket[some[0]]), query_id, q.tobytes(), leaves[some].astype("<i4").tobytes()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "query_id", "q", "leaves"])
+
+    queries = asked.mapInArrow(tidy(ask), "bucket int, query_id long, q binary, leaves binary")
 
     def score(group: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(group) or not len(points):
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "rep": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float)})
         points = points.sort_values("rep")
-        v, rep, parts = np.frombuffer(b"".join(points["v"]), "<f8").reshape(len(points), -1), points["rep"].to_numpy(), []
+        leaves, leaf = np.unique(points["leaf"].to_numpy(), return_inverse=True)
+        rep, first = np.unique(points["rep"].to_numpy(), return_index=True)  # a point may be here once for each tree
+        v, out = np.frombuffer(b"".join(points["v"].iloc[first]), kind).reshape(len(rep), -1).astype(float), []
         for at in range(0, len(group), 128):
             some = group.iloc[at : at + 128]
-            q = np.frombuffer(b"".join(some["q"]), "<f8").reshape(len(some), -1)
-            rough = q @ v.T
+            q = np.frombuffer(b"".join(some["q"]), kind).reshape(len(some), -1).astype(float)
+            visited = np.zeros((len(some), len(leaves)), bool)
+            for i, asked_for in enumerate(some["leaves"]):
+                visited[i, np.searchsorted(leaves, np.intersect1d(leaves, np.frombuffer(asked_for, "<i4")))] = True
+            rough = np.where(np.logical_or.reduceat(visited[:, leaf], first, axis=1), q @ v.T, -np.inf)
+            last = np.full(len(some), -np.inf)
             if len(v) > k + 1:
                 last = np.partition(rough, len(v) - k - 1, axis=1)[:, len(v) - k - 1]
-                i, j = np.nonzero(rough >= (last - 1e-9 * (1 + np.abs(last)))[:, None])  # with all that rounding may have let slip
-            else:
-                i, j = (x.ravel() for x in np.indices(rough.shape))
-            parts.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "rep": rep[j], "score": (v[j] * q[i]).sum(1)}))
-        return pd.concat(parts)
+            floor = np.where(np.isfinite(last), last - 1e-9 * (1 + np.abs(last)), -np.inf)  # with all that rounding may have let slip
+            i, j = np.nonzero((rough >= floor[:, None]) & np.isfinite(rough))
+            out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "rep": rep[j], "score": (v[j] * q[i]).sum(1)}))
+        return pd.concat(out)
 
-    scored = queries.groupBy("leaf", "part").cogroup(members.groupBy("leaf", "part")).applyInPandas(score, "query_id long, rep long, score double")
+    scored = queries.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInPandas(tidy_group(score), "query_id long, rep long, score double")
     one = scored.groupBy("query_id", "rep").agg(F.max("score").alias("score"))
     top = one.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
     top = top.join(found.select("rep", "ids"), "rep")
