@@ -35,7 +35,9 @@ from tidelog.llm.shared import materialize, work_dir
 #: Vectors that the forest is fitted on, at most: those with the smallest hashes.
 SAMPLE = 16_384
 #: Points of leaves that a task looks at together.
-PART = 8192
+PART = 32_768
+#: Places beside those wanted in a list of nearest points, for ties at its end.
+SLACK = 8
 
 
 @dataclass
@@ -156,11 +158,13 @@ def _packed(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(float)
 
 
-def dealt(counts: dict[int, int], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first bucket of each leaf and the number of its buckets: neighbouring leaves share one up to PART points, a leaf with more has several to itself."""
+def dealt(counts: dict[int, int], n: int, roots: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The first bucket of each leaf and the number of its buckets: neighbouring leaves of a tree share one up to PART points, a leaf with more has several to itself."""
     first, parts, bucket, held = np.zeros(n, np.int64), np.ones(n, np.int64), 0, 0
     for leaf in range(n):
         size = counts.get(leaf, 0)
+        if leaf in roots:
+            bucket, held = bucket + (held > 0), 0
         if size > PART:
             bucket += held > 0
             first[leaf], parts[leaf], held = bucket, -(-size // PART), 0
@@ -185,7 +189,7 @@ def points(rows: DataFrame, k: int, kind: str) -> DataFrame:
     return grouped.mapInArrow(tidy(pack), "rep long, ids array<long>, v binary")
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 64, recall: float = 0.94, sample: int = SAMPLE) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 128, recall: float = 0.94, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose vec_id is divisible by ``every``, the k nearest other rows found."""
     folder = work_dir(spark, "neighbours")
     rows = usable(vectors)
@@ -220,7 +224,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 2
 
     indexed = found.select("rep", "v").mapInArrow(tidy(index), "leaf int, rep long, v binary")
     counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row for each leaf, of which the sample allows so many
-    first, parts = dealt(counts, len(grown.left))
+    first, parts = dealt(counts, len(grown.left), set(grown.roots))
     places = spark.sparkContext.broadcast((first, parts, np.array([counts.get(i, 0) for i in range(len(grown.left))])))
     several = [(leaf, int(first[leaf]), int(parts[leaf])) for leaf in sorted(counts)]
     members = indexed.join(F.broadcast(spark.createDataFrame(several, "leaf int, first int, parts int")), "leaf")
@@ -243,29 +247,44 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 2
                         rows.append((int(bucket[some[0]]), query_id, q.tobytes(), leaves[some].astype("<i4").tobytes()))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "query_id", "q", "leaves"])
 
+    asked = asked.repartition(spark.sparkContext.defaultParallelism)  # few rows, each of which takes long
     queries = asked.mapInArrow(tidy(ask), "bucket int, query_id long, q binary, leaves binary")
 
     def score(group: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(group) or not len(points):
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "rep": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float)})
-        points = points.sort_values("rep")
-        leaves, leaf = np.unique(points["leaf"].to_numpy(), return_inverse=True)
-        rep, first = np.unique(points["rep"].to_numpy(), return_index=True)  # a point may be here once for each tree
-        v, out = np.frombuffer(b"".join(points["v"].iloc[first]), kind).reshape(len(rep), -1).astype(float), []
-        for at in range(0, len(group), 128):
-            some = group.iloc[at : at + 128]
-            q = np.frombuffer(b"".join(some["q"]), kind).reshape(len(some), -1).astype(float)
-            visited = np.zeros((len(some), len(leaves)), bool)
-            for i, asked_for in enumerate(some["leaves"]):
-                visited[i, np.searchsorted(leaves, np.intersect1d(leaves, np.frombuffer(asked_for, "<i4")))] = True
-            rough = np.where(np.logical_or.reduceat(visited[:, leaf], first, axis=1), q @ v.T, -np.inf)
-            last = np.full(len(some), -np.inf)
-            if len(v) > k + 1:
-                last = np.partition(rough, len(v) - k - 1, axis=1)[:, len(v) - k - 1]
-            floor = np.where(np.isfinite(last), last - 1e-9 * (1 + np.abs(last)), -np.inf)  # with all that rounding may have let slip
-            i, j = np.nonzero((rough >= floor[:, None]) & np.isfinite(rough))
-            out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "rep": rep[j], "score": (v[j] * q[i]).sum(1)}))
-        return pd.concat(out)
+        points = points.sort_values(["leaf", "rep"])
+        leaves, at = np.unique(points["leaf"].to_numpy(), return_index=True)
+        at = np.append(at, len(points))
+        v, rep = np.frombuffer(b"".join(points["v"]), kind).reshape(len(points), -1).astype(float), points["rep"].to_numpy()
+        q = np.frombuffer(b"".join(group["q"]), kind).reshape(len(group), -1).astype(float)
+        asked_for = [np.frombuffer(x, "<i4") for x in group["leaves"]]
+        who, what = np.repeat(np.arange(len(group)), [len(x) for x in asked_for]), np.concatenate(asked_for)
+        order = np.argsort(what, kind="stable")
+        who, bounds = who[order], np.searchsorted(what[order], np.append(leaves, leaves[-1] + 1))
+        # each query's best so far, a few more than wanted: no point is here twice, as a bucket's leaves are of one tree
+        room = k + 1 + SLACK
+        best, mine = np.full((len(q), room), -np.inf), np.zeros((len(q), room), np.int64)
+        for i in range(len(leaves)):
+            some, leaf = who[bounds[i] : bounds[i + 1]], slice(at[i], at[i + 1])
+            for part in np.array_split(some, -(-len(some) // 512)) if len(some) else []:
+                near = np.concatenate([best[part], q[part] @ v[leaf].T], axis=1)
+                place = np.concatenate([mine[part], np.broadcast_to(np.arange(leaf.start, leaf.stop), (len(part), leaf.stop - leaf.start))], axis=1)
+                top = np.argpartition(near, near.shape[1] - room, axis=1)[:, -room:]
+                best[part], mine[part] = np.take_along_axis(near, top, 1), np.take_along_axis(place, top, 1)
+        order = np.argsort(-best, axis=1)
+        best, mine = np.take_along_axis(best, order, 1), np.take_along_axis(mine, order, 1)
+        # more points tie for the last place, as far as rounding can tell, than there was room for: these queries look at all of theirs again
+        tied = np.flatnonzero(np.isfinite(best[:, -1]) & (best[:, -1] >= best[:, k] - 1e-9 * (1 + np.abs(best[:, k]))))
+        rows, places = np.nonzero(np.isfinite(best))
+        fine = ~np.isin(rows, tied)
+        rows, found = rows[fine], mine[rows[fine], places[fine]]
+        for i in tied:
+            every = np.concatenate([np.arange(at[j], at[j + 1]) for j in np.searchsorted(leaves, np.intersect1d(leaves, asked_for[i]))])
+            close = every[v[every] @ q[i] >= best[i, k] - 1e-9 * (1 + abs(best[i, k]))]
+            rows, found = np.append(rows, np.full(len(close), i)), np.append(found, close)
+        exact = np.concatenate([(v[found[n : n + 65_536]] * q[rows[n : n + 65_536]]).sum(1) for n in range(0, len(found), 65_536)] or [np.zeros(0)])
+        return pd.DataFrame({"query_id": group["query_id"].to_numpy()[rows], "rep": rep[found], "score": exact})
 
     scored = queries.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInPandas(tidy_group(score), "query_id long, rep long, score double")
     one = scored.groupBy("query_id", "rep").agg(F.max("score").alias("score"))
