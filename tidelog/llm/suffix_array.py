@@ -9,11 +9,12 @@ equal ones meet, and most never need sorting:
 
 1.  In each window of LENGTH bytes the GRAM with the smallest hash is its anchor.  Equal windows have equal anchors in
     the same place, so they are found among the windows around one gram.  An anchor's surroundings are all bytes of
-    windows that contain it.  Only digests of gram and surroundings are sent out (the surroundings' has 128 bits), with the smallest
+    windows that contain it.  Only digests of gram and surroundings are sent out (the surroundings' has 96 bits beside the 48 of the gram), with the smallest
     document of the block that has them.
+    Beside them go short marks of the 13 bytes on either side of the gram: surroundings that share a window share one of them.
 2.  Where a smaller document has the same surroundings, all of them are covered: copies end here, whatever their number.
     Of each different surroundings of a gram one owner is left, the document with the smallest id.
-3.  Owners of different surroundings of one gram may still share windows.  Only their bytes are sent, dealt out by gram,
+3.  Owners of different surroundings of one gram that have a mark in common may still share windows.  Only their bytes are sent, dealt out by gram,
     and their suffixes sorted as above, a few megabytes at a time.
 4.  A gram with very many different surroundings is dealt out over several sorts.  Each finds its own runs; the smallest
     documents of equal runs of different sorts are then compared by digest, a row for each run.
@@ -40,7 +41,7 @@ from tidelog.llm.blocks import read_block, spread, write_blocks
 from tidelog.llm.memory import tidy, tidy_group
 from tidelog.llm.shared import materialize, work_dir
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM, HALF = 50, 24, 13
 #: Surroundings of one gram in a sort, and bytes of surroundings in a sort of many grams.
 OWNERS, SORT_BYTES = 8_192, 3 << 18
 NO_ID = (1 << 63) - 1
@@ -181,6 +182,20 @@ class BlockText:
             self.right = np.minimum(self.place + LENGTH, self.starts[self.doc + 1])
             self.n_buckets = n_buckets
 
+    def marks(self) -> np.ndarray:
+        """For each anchor hashes of the HALF bytes after and before its gram, zero where the document has fewer.
+
+        A window has LENGTH - GRAM bytes beside its anchor, and so HALF of them at least on one side: surroundings of a gram that share a window share a mark.
+        """
+        padded = np.frombuffer(self.data + bytes(16), np.uint8)
+        words = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+        out = np.zeros((len(self.place), 2), "<u2")
+        for side, at in enumerate((self.place + GRAM, self.place - HALF)):
+            there = np.flatnonzero((at >= self.starts[self.doc]) & (at + HALF <= self.starts[self.doc + 1]))
+            mixed = words[at[there]] * ODD[7] + words[at[there] + HALF - 8] * ODD[6]
+            out[there, side] = np.maximum((mixed ^ mixed >> np.uint64(29)) * ODD[5] >> np.uint64(48), np.uint64(1))
+        return out
+
     def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The digests of all anchors' surroundings, 128 bits as two columns; the anchors that speak for those of the block with the same surroundings,
         in the order of buckets; and for each anchor which of them speaks for it: the one in the document with the smallest id."""
@@ -188,14 +203,29 @@ class BlockText:
         raw = b"".join([digest(view[a:b]) for a, b in zip(self.left.tolist(), self.right.tolist())])
         unit = np.frombuffer(raw, "<u8").reshape(-1, 2) + ((self.place - self.left).astype(np.uint64) * ODD[6])[:, None]
         bucket = ((self.gram >> np.uint64(24)) % np.uint64(self.n_buckets)).astype(np.int64)
-        order = np.lexsort((self.ids[self.doc], unit[:, 1], unit[:, 0], bucket))
-        new = np.ones(len(order), bool)
-        new[1:] = (unit[order[1:]] != unit[order[:-1]]).any(axis=1) | (bucket[order[1:]] != bucket[order[:-1]])
-        speaks = np.empty(len(order), np.int64)
-        speaks[order] = np.cumsum(new) - 1
-        first = order[new]
+        found = pa.array(unit[:, 0]).dictionary_encode()
+        speaks, n, whose = found.indices.to_numpy(), len(found.dictionary), self.ids[self.doc]
+        first = self._smallest(speaks, whose, n)
+        if (unit[:, 1] != unit[first[speaks], 1]).any():  # half of a digest is the same by chance: tell them apart by all of it
+            _, speaks = np.unique(unit, axis=0, return_inverse=True)
+            speaks = speaks.ravel()
+            n = int(speaks.max()) + 1
+            first = self._smallest(speaks, whose, n)
+        order = np.argsort(bucket[first].astype(np.uint16) if self.n_buckets < 1 << 16 else bucket[first], kind="stable")
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        first = first[order]
         self.at = np.searchsorted(bucket[first], np.arange(self.n_buckets + 1))
-        return unit, first, speaks
+        return unit, first, back[speaks]
+
+    @staticmethod
+    def _smallest(group: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+        """A row of each group with the group's smallest id."""
+        least, out = np.full(n, NO_ID), np.zeros(n, np.int64)
+        np.minimum.at(least, group, ids)
+        rows = np.flatnonzero(ids == least[group])
+        out[group[rows]] = rows
+        return out
 
 
 def _send(manifest: DataFrame, n_buckets: int) -> DataFrame:
@@ -208,11 +238,11 @@ def _send(manifest: DataFrame, n_buckets: int) -> DataFrame:
         for batch in batches:
             for block, path in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist()):
                 b, rows = BlockText(path, n_buckets), []
-                unit, first, _ = b.units()
+                (unit, first, _), marks = b.units(), b.marks()
                 for i in np.flatnonzero(np.diff(b.at)):
                     some = first[b.at[i] : b.at[i + 1]]
                     gram = np.ascontiguousarray(b.gram[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                    rows.append((int(i), block, gram.tobytes() + unit[some].T.tobytes() + b.ids[b.doc[some]].astype("<i8").tobytes()))
+                    rows.append((int(i), block, gram.tobytes() + unit[some, 0].tobytes() + unit[some, 1].astype("<u4").tobytes() + marks[some].T.tobytes() + b.ids[b.doc[some]].astype("<i8").tobytes()))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "block", "data"])
 
     return manifest.mapInArrow(tidy(each), "bucket int, block long, data binary")
@@ -222,14 +252,16 @@ def _judge(sent: DataFrame, owners_of_a_sort: int) -> DataFrame:
     """(block, bucket, data): a byte for each anchor that was sent: KEPT, COVERED, or OWNER plus the logarithm of the sorts to deal to."""
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
-        grams, high, low, ids, sizes = [], [], [], [], []
+        grams, high, low, after, before, ids, sizes = [], [], [], [], [], [], []
         for data in group["data"]:
             n = len(data) // 30
             full = np.zeros((n, 8), np.uint8)
             full[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(n, 6)
             grams.append(full.view("<u8").ravel())
             high.append(np.frombuffer(data, "<u8", n, 6 * n))
-            low.append(np.frombuffer(data, "<u8", n, 14 * n))
+            low.append(np.frombuffer(data, "<u4", n, 14 * n))
+            after.append(np.frombuffer(data, "<u2", n, 18 * n))
+            before.append(np.frombuffer(data, "<u2", n, 20 * n))
             ids.append(np.frombuffer(data, "<i8", n, 22 * n))
             sizes.append(n)
         gram, unit, other, doc = np.concatenate(grams), np.concatenate(high), np.concatenate(low), np.concatenate(ids)
@@ -239,11 +271,18 @@ def _judge(sent: DataFrame, owners_of_a_sort: int) -> DataFrame:
         new_unit = new_gram | np.concatenate([[True], (unit[1:] != unit[:-1]) | (other[1:] != other[:-1])])
         of_unit, of_gram = np.cumsum(new_unit) - 1, np.cumsum(new_gram) - 1
         owner = doc[new_unit]  # the smallest document with these surroundings
+        # of a gram's surroundings only those can share a window that have a mark in common
+        related, gram_of = np.zeros(len(owner), bool), of_gram[new_unit]
+        for side in (after, before):
+            mark = np.concatenate(side)[order][new_unit].astype(np.int64)
+            marked = np.flatnonzero(mark)
+            found = pa.array(gram_of[marked] << 16 | mark[marked]).dictionary_encode().indices.to_numpy()
+            related[marked] |= np.bincount(found)[found] > 1 if len(found) else False
         first_unit = of_unit[new_gram]
         low, high = np.minimum.reduceat(owner, first_unit), np.maximum.reduceat(owner, first_unit)
-        units = np.diff(np.append(first_unit, len(owner)))
+        units = np.add.reduceat(related.astype(np.int64), first_unit)
         verdict = np.where(doc > owner[of_unit], COVERED, KEPT)
-        several = (verdict == KEPT) & (low < high)[of_gram]
+        several = (verdict == KEPT) & (low < high)[of_gram] & related[of_unit]
         # the smallest document of a gram only lends its bytes: once for each surroundings
         several &= (doc > low[of_gram]) | new_unit
         sorts = np.ceil(np.log2(np.maximum(1, units / owners_of_a_sort))).astype(int)
