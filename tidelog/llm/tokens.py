@@ -11,7 +11,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -96,22 +96,23 @@ class ChunkEncoder:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        m = WORD.match(chunk.removeprefix(" "))
-        if m is None:
-            text = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
-            return b"".join([self._merge(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
-        word, marks = m.groups()
-        if self.kind == "drops":
-            word = word.lower()
-        elif chunk[0] == " ":
-            word = " " + word
-        ids = self._merge(word.encode().decode("latin-1").translate(BYTE_ALPHABET))
-        return ids + self._merge(marks) if marks else ids
-
-    def _learn(self, cache: dict[str, bytes], wanted: Iterable[str], lead: str, extra: dict[str, bytes]) -> None:
-        for w in wanted:
-            if w not in cache:
-                (cache if len(w) <= CACHE_CHARS else extra)[w] = self._chunk(lead + w) if w else b""
+        text = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
+        return b"".join([self._merge(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+
+    def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str, extra: dict[str, bytes]) -> None:
+        match, merged, drops, space = WORD.match, self.merged, self.kind == "drops", BYTE_ALPHABET[32] if lead else ""
+        for w in wanted.difference(cache):
+            if (m := match(w)) is None:
+                ids = self._chunk(lead + w) if w else b""
+            else:
+                word, marks = m.groups()
+                if drops:
+                    word = word.lower()
+                piece = space + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET))
+                ids = merged.get(piece) or self._merge(piece)
+                if marks:
+                    ids += merged.get(marks) or self._merge(marks)
+            (cache if len(w) <= CACHE_CHARS else extra)[w] = ids
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
