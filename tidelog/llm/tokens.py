@@ -41,12 +41,19 @@ _BY_PATH: dict[str, ChunkEncoder] = {}
 RARE = "|<>[]_#*"
 
 
+#: White space beside the space and the line end.
+BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_BLANKS = [c for c in BLANKS if c.isascii()]
+
+
 def _rarest(text: str) -> str:
     return min(text, key=lambda c: RARE.find(c) % 99)
 
 
 def _rough(text: str) -> bool:
-    """Whether blanks stand at an end or side by side; with none of these, other white space changes the number of words."""
+    """Whether there is other white space than spaces and line ends, or blanks stand at an end or side by side."""
+    if any(c in text for c in (ASCII_BLANKS if text.isascii() else BLANKS)):
+        return True
     return text[:1].isspace() or text[-1:].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
 
 
@@ -139,22 +146,24 @@ class ChunkEncoder:
         if self.kind == "leads":
             lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
             # other white space, two blanks in a row, or one at an end: such a text isn't cut plainly
-            rough = [i for i, t in enumerate(texts) if _rough(t) or len(t.split()) != sum(map(len, lines[i]))]
+            rough = [i for i, t in enumerate(texts) if _rough(t)]
             whole = dict(zip(rough, self._library([texts[i] for i in rough])))
             for i in rough:
                 lines[i] = []
             heads, tails = set(), set()
             for doc in lines:
                 for words in doc:
-                    heads.add(words[0])
-                    tails.update(words[1:])
+                    rest = iter(words)
+                    heads.add(next(rest))
+                    tails.update(rest)
             more: dict[str, bytes] = {}
             more_spaced: dict[str, bytes] = {}
             self._learn(self.plain, heads, "", more)
             self._learn(self.spaced, tails, " ", more_spaced)
             head = lambda w: self.plain[w] if w in self.plain else more[w]
             tail = self.spaced.__getitem__ if not more_spaced else lambda w: self.spaced[w] if w in self.spaced else more_spaced[w]
-            return [whole[i] if i in whole else self.end_of_line.join([head(words[0]) + b"".join(map(tail, words[1:])) for words in doc]) for i, doc in enumerate(lines)]
+            line = lambda rest: head(next(rest)) + b"".join(map(tail, rest))
+            return [whole[i] if i in whole else self.end_of_line.join([line(iter(words)) for words in doc]) for i, doc in enumerate(lines)]
         return self._library(texts)
 
 
