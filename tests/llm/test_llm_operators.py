@@ -533,16 +533,17 @@ def test_urls_are_blocked_and_spared_by_reputation(spark):
 
 
 def test_toxicity_keeps_every_term_and_no_repeated_row(spark):
+    """More terms than six hundred, each in many toxic documents and no clean one; a document that is there fifty times teaches once."""
     rng = random.Random(6)
-    terms = [f"vile{''.join(rng.choice('bcdfghjklmnp') for _ in range(5))}" for _ in range(900)]
-    plain = lambda: " ".join(rng.choice(("tree", "house", "river", "stone", "cloud", "bread")) for _ in range(12))
-    rows = [(i, plain() + "".join(f" {t}" for t in (terms[i % 900], terms[(i + 300) % 900], terms[(i + 600) % 900])), 1) for i in range(1800)] + [(5000 + i, plain(), 0) for i in range(1800)]
+    terms = [f"vile{''.join(rng.choice('bcdfghjklmnp') for _ in range(5))}" for _ in range(700)]
+    plain = lambda i: " ".join(f"word{rng.randint(0, 500)}" for _ in range(6)) + f" own{i}a own{i}b own{i}c"
+    rows = [(i, plain(i) + " " + " ".join(rng.sample(terms, 120)), 1) for i in range(600)] + [(5000 + i, plain(5000 + i), 0) for i in range(6000)]
     docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 50, "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     train = toxicity.labelled(docs, labels)
     assert train.count() == train.select("doc_id").distinct().count()
     lexicon = toxicity.mine_lexicon(train)
-    assert len(set(terms) & set(lexicon.terms)) > 800
+    assert len(set(terms) & set(lexicon.terms)) > 680
 
 
 @pytest.mark.parametrize("part", [8192, 40])
