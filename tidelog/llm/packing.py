@@ -113,14 +113,14 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, size: int) -> D
         part, seen, end = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             enc, rows = encoder(tokenizer_path), []
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
+            for at in range(0, len(batch), 512):
+                some = batch.slice(at, 512)
                 for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
                     ids = ids + end
                     total, start, piece = len(ids) // 4, 0, 0
                     n = total % size or size
                     while start < total:
-                        rows.append((part, int(seen[n]), doc_id, piece, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
+                        rows.append((part, int(seen[n]), doc_id, piece, start, n, zlib.crc32(ids if n == total else ids[4 * start : 4 * (start + n)])))
                         seen[n] += 1
                         start, piece, n = start + n, piece + 1, size
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

@@ -123,8 +123,8 @@ class ChunkEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            out += self._some(texts[at : at + 256])
+        for at in range(0, len(texts), 512):
+            out += self._some(texts[at : at + 512])
         return out
 
     def _some(self, texts: Sequence[str]) -> list[bytes]:
