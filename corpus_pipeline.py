@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
-    return keep_one(spark, docs, size=5, similarity=0.8)
+    """One document of each group of near copies: operator 6's links, and shingles of five words with a similarity of 0.8 or more."""
+    return keep_one(spark, docs, size=5, similarity=0.8, radius=3)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -562,3 +562,21 @@ def test_recall_on_the_embeddings(spark, monkeypatch, part):
         assert len(mine) == 20 and np.allclose(mine["score"], [(x[np.flatnonzero(ids == j)[0]] * x[i]).sum() for j in mine["vec_id"]], rtol=1e-12)
         found, wanted = found + len(set(best) & set(mine["vec_id"])), wanted + 20
     assert found >= 0.9 * wanted
+
+
+def test_near_dedup_stage_has_the_links_of_operator_6(spark):
+    """Texts whose fingerprints are in range go together whatever their sets; sets at 0.8 still do whatever their fingerprints."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrase, base = words(31) * 40, words(200)
+    docs = [" ".join(phrase + words(10)) for _ in range(3)] + [" ".join(base), " ".join(base[:60] + words(6) + base[66:]), " ".join(base[:4] + words(9) + base[13:]), " ".join(words(200)), "", " "]
+    fps, sets = [fingerprint_by_hand(t) for t in docs], shingle_sets(enumerate(docs))
+    near = {(i, j) for i in range(len(docs)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    alike = {(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert {(1, 0), (2, 0), (8, 7)} <= near and (1, 0) not in alike and alike - near and (near | alike) <= {(1, 0), (2, 0), (2, 1), (4, 3), (5, 3), (5, 4), (8, 7)}
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, "").collect())
+    assert kept == [0, 3, 6, 7]
+    assert corpus_pipeline.near_dedup(spark, table.limit(0), "").collect() == []

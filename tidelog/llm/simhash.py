@@ -157,19 +157,24 @@ def near_links(spark: SparkSession, distinct: DataFrame, radius: int, cell: int
     return cell_links(parts, radius)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every document; the smallest id reachable over links within the radius.
-
-    Documents with one fingerprint are one node, so a group of copies of any size costs one row after a partial count.
-    """
+def near_components(spark: SparkSession, fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of written rows (doc_id, fp): the smallest fingerprint and the smallest doc_id reachable over links within the radius."""
     folder = work_dir(spark, "simhash")
-    fps = materialize(fingerprints(docs, size), f"{folder}/fps")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/classes")
     roots = components(spark, near_links(spark, classes.select("fp"), radius))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(rooted.join(smallest, "root").select("fp", "component_id"), f"{folder}/named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"), f"{folder}/named")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) of every document; the smallest id reachable over links within the radius.
+
+    Documents with one fingerprint are one node, so a group of copies of any size costs one row after a partial count.
+    """
+    fps = materialize(fingerprints(docs, size), f"{work_dir(spark, 'simhash')}/fps")
+    named = near_components(spark, fps, radius)
+    return fps.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

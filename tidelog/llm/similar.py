@@ -13,6 +13,9 @@ verified on the whole shingle sets.  Then only links that held join groups, and
 those between groups that are still apart, four times as many for a join in each round, until no cell keeps any back.
 So of the pairs that share a cell no link is lost.  Pairs that share none are lost, with the chance above.
 
+With a ``radius`` the groups begin as operator 6's components, found by its segment popcounts, grid and Manhattan bound, which loses
+no pair of fingerprints in range.  The views then look only for links between texts that are still apart.
+
 Copies of one text are one node, named by the text's md5.  A cell with many members is cut into blocks that meet two by two.
 
 Corner cases: texts without words are one group; a text shorter than a shingle is one shingle; equal ids and rows
@@ -32,12 +35,14 @@ from pyspark.sql import functions as F
 from tidelog.llm.components import components
 from tidelog.llm.memory import tidy
 from tidelog.llm.shared import free, materialize, work_dir
-from tidelog.llm.simhash import shingles
+from tidelog.llm.simhash import fingerprint, near_components, shingles
 
 VIEWS, TAKEN, SKETCH = 20, 3, 512
 CELL = 1024
 #: Links that are verified for each join of two groups of a cell in the first round, and how many times more in each next.
 LINKS, MORE = 2, 4
+#: Words in a shingle of the fingerprints, as operator 6 has them.
+FP_SIZE = 3
 #: Size of the bitmap of texts with links.
 BITS = 1 << 23
 _ODD = np.random.default_rng(6).integers(0, 1 << 62, VIEWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -167,42 +172,52 @@ def _bitmap(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def similar_classes(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
+def similar_classes(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, cell: int = CELL, radius: int | None = None) -> DataFrame:
     """(node, doc_id, rows, root): the distinct texts' md5 (16 bytes), the smallest id with that text, how many rows have both, and the group that the text is in.
 
+    Links are texts of the similarity and, with a radius, texts whose fingerprints differ in no more bits.
     Shingle sets are made for the texts with links only: a bitmap of a fixed size lets few others through.
     """
     folder = work_dir(spark, "similar")
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def once(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-        """Nodes and shingle sets of a batch's different texts."""
+    def once(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[list[bytes], list[np.ndarray], list[str]]]:
+        """Nodes, shingle sets and texts of a batch's different texts."""
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns))
             seen = {n: t for n, p, t in rows if wanted is None or wanted[p >> 5] >> (p & 31) & 1}
-            yield list(seen), [shingle_set(t, size) for t in seen.values()]
+            yield list(seen), [shingle_set(t, size) for t in seen.values()], list(seen.values())
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, sets in once(batches):
+        for nodes, sets, said in once(batches):
+            fps = np.array([0 if radius is None else fingerprint(shingles(t.encode().lower().split(), FP_SIZE)) for t in said], np.uint64)
             views = np.array([views_of(s) for s in sets], np.uint64).reshape(len(sets), VIEWS)
-            yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array(views.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([sketch_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["node", "views", "sketch", "size"])
+            yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array(views.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([sketch_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps.view(np.int64))], names=["node", "views", "sketch", "size", "fp"])
 
     named = docs.select(node_of(text).alias("node"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
     owner = named.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("o")).select("node", "o.doc_id", "o.rows")
     classes = materialize(owner, f"{folder}/classes")
     whole = docs.select(node_of(text).alias("node"), text.alias("text")).select("node", _place().alias("place"), "text")
-    seen = whole.mapInArrow(tidy(look), "node binary, views array<long>, sketch binary, size long").dropDuplicates(["node"])
+    seen = whole.mapInArrow(tidy(look), "node binary, views array<long>, sketch binary, size long, fp long").dropDuplicates(["node"])
     seen = materialize(seen, f"{folder}/seen")
 
-    rows = seen.select("node", F.posexplode("views").alias("view", "fp"))
+    tried = held = None
+    # each text's group to begin with (start) and a number for it (near)
+    base, apart = seen.withColumn("start", F.col("node")).withColumn("near", F.lit(0).cast("long")), "count > 1"
+    if radius is not None:
+        groups = near_components(spark, seen.select(F.col("node").alias("doc_id"), "fp"), radius)
+        base, apart = seen.join(groups.select("fp", F.col("root").alias("near"), F.col("component_id").alias("start")), "fp"), "count > 1 and lo <> hi"
+        held = materialize(base.where("node <> start").select(F.col("start").alias("a"), F.col("node").alias("b")), f"{folder}/near")
+
+    rows = base.select("node", "near", F.posexplode("views").alias("view", "fp"))
     # written, so that both sides of the join are plain exchanges, of which Spark can split the skewed partitions
-    count = materialize(rows.groupBy("view", "fp").count().where("count > 1"), f"{folder}/count")
-    rows = rows.join(count, ["view", "fp"]).withColumn("blocks", F.ceil(F.col("count") / cell).cast("int"))
-    rows = rows.join(seen.select("node", "sketch", "size"), "node")
+    count = materialize(rows.groupBy("view", "fp").agg(F.count("*").alias("count"), F.min("near").alias("lo"), F.max("near").alias("hi")).where(apart).select("view", "fp", "count"), f"{folder}/count")
+    rows = rows.select("node", "view", "fp").join(count, ["view", "fp"]).withColumn("blocks", F.ceil(F.col("count") / cell).cast("int"))
+    rows = rows.join(base.select("node", "sketch", "size", "start"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     part = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j)))
     def gather(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-        for nodes, sets in once(batches, np.frombuffer(bits.value, "<u4").tolist()):
+        for nodes, sets, _ in once(batches, np.frombuffer(bits.value, "<u4").tolist()):
             yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,16 +235,15 @@ def similar_classes(spark: SparkSession, docs: DataFrame, size: int = 5, similar
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return materialize(both.mapInArrow(tidy(verify), "a binary, b binary"), f"{folder}/verified-{name}")
 
-    spread = rows.select("view", "fp", part.alias("part"), "node", "sketch", "size")
-    members, links, number = spread.withColumn("root", F.col("node")), LINKS, 0
-    tried = held = None
+    spread = rows.select("view", "fp", part.alias("part"), "node", "sketch", "size", "start")
+    members, links, number = spread.withColumnRenamed("start", "root"), LINKS, 0
     while True:
         cells = members.select("view", "fp", "part", "node", "sketch", "size", "root").repartition("view", "fp", "part").sortWithinPartitions("view", "fp", "part")
         found = materialize(_cell_links(cells, similarity, links), f"{folder}/found-{number}")
         pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs-{number}")
         good = verified(pairs, str(number))
-        tried, held = (pairs, good) if tried is None else (tried.union(pairs), held.union(good))
+        tried, held = pairs if tried is None else tried.union(pairs), good if held is None else held.union(good)
         roots = components(spark, held)
         kept = found.where("a is null").select("view", "fp", "part")
         # the cells that kept pairs back and whose members are still apart
@@ -247,9 +261,9 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """The rows of docs without near copies: of each group the smallest id stays, once; null ids are larger than any other."""
-    classes = similar_classes(spark, docs, size, similarity)
+    classes = similar_classes(spark, docs, size, similarity, radius=radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")).alias("o")
     node, key, same = free(docs, "node"), free(docs, "key"), free(docs, "same")
     stay = classes.groupBy("root").agg(first).select(F.col("o.node").alias(key), F.col("o.doc_id").alias(same), F.col("o.rows").alias("rows"))
