@@ -201,19 +201,26 @@ def similar_classes(spark: SparkSession, docs: DataFrame, size: int = 5, similar
     seen = whole.mapInArrow(tidy(look), "node binary, views array<long>, sketch binary, size long, fp long").dropDuplicates(["node"])
     seen = materialize(seen, f"{folder}/seen")
 
+    rows = seen.select("node", F.posexplode("views").alias("view", "fp"))
+    # written, so that both sides of the join are plain exchanges, of which Spark can split the skewed partitions
+    count = materialize(rows.groupBy("view", "fp").count().where("count > 1"), f"{folder}/count")
+    rows = rows.join(count, ["view", "fp"]).withColumn("blocks", F.ceil(F.col("count") / cell).cast("int")).select("view", "fp", "node", "blocks")
+    rows = materialize(rows, f"{folder}/rows")
+
+    def apart(of: DataFrame, roots: DataFrame) -> DataFrame:
+        """Cells whose members are in several groups."""
+        rooted = of.select("view", "fp", "node").join(roots, "node", "left")
+        ends = rooted.groupBy("view", "fp").agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"))
+        return ends.where("lo <> hi").select("view", "fp")
+
     tried = held = None
-    # each text's group to begin with (start) and a number for it (near)
-    base, apart = seen.withColumn("start", F.col("node")).withColumn("near", F.lit(0).cast("long")), "count > 1"
     if radius is not None:
         groups = near_components(spark, seen.select(F.col("node").alias("doc_id"), "fp"), radius)
-        base, apart = seen.join(groups.select("fp", F.col("root").alias("near"), F.col("component_id").alias("start")), "fp"), "count > 1 and lo <> hi"
-        held = materialize(base.where("node <> start").select(F.col("start").alias("a"), F.col("node").alias("b")), f"{folder}/near")
-
-    rows = base.select("node", "near", F.posexplode("views").alias("view", "fp"))
-    # written, so that both sides of the join are plain exchanges, of which Spark can split the skewed partitions
-    count = materialize(rows.groupBy("view", "fp").agg(F.count("*").alias("count"), F.min("near").alias("lo"), F.max("near").alias("hi")).where(apart).select("view", "fp", "count"), f"{folder}/count")
-    rows = rows.select("node", "view", "fp").join(count, ["view", "fp"]).withColumn("blocks", F.ceil(F.col("count") / cell).cast("int"))
-    rows = rows.join(base.select("node", "sketch", "size", "start"), "node")
+        near = seen.select("node", "fp").join(groups.select("fp", "component_id"), "fp").where("node <> component_id")
+        near = materialize(near.select("node", F.col("component_id").alias("root")), f"{folder}/near")
+        held = near.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        rows = materialize(rows.join(apart(rows, near), ["view", "fp"], "left_semi"), f"{folder}/rows-apart")
+    rows = rows.join(seen.select("node", "sketch", "size"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     part = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j)))
     def gather(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
@@ -235,8 +242,9 @@ def similar_classes(spark: SparkSession, docs: DataFrame, size: int = 5, similar
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return materialize(both.mapInArrow(tidy(verify), "a binary, b binary"), f"{folder}/verified-{name}")
 
-    spread = rows.select("view", "fp", part.alias("part"), "node", "sketch", "size", "start")
-    members, links, number = spread.withColumnRenamed("start", "root"), LINKS, 0
+    spread = rows.select("view", "fp", part.alias("part"), "node", "sketch", "size")
+    start = spread.withColumn("root", F.lit(None).cast("binary")) if held is None else spread.join(near, "node", "left")
+    members, links, number = start.withColumn("root", F.coalesce("root", "node")), LINKS, 0
     while True:
         cells = members.select("view", "fp", "part", "node", "sketch", "size", "root").repartition("view", "fp", "part").sortWithinPartitions("view", "fp", "part")
         found = materialize(_cell_links(cells, similarity, links), f"{folder}/found-{number}")
@@ -247,9 +255,8 @@ def similar_classes(spark: SparkSession, docs: DataFrame, size: int = 5, similar
         roots = components(spark, held)
         kept = found.where("a is null").select("view", "fp", "part")
         # the cells that kept pairs back and whose members are still apart
-        rooted = rows.join(kept.select("view", "fp").distinct(), ["view", "fp"], "left_semi").select("view", "fp", "node").join(roots, "node", "left")
-        rooted = rooted.groupBy("view", "fp").agg(F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi"))
-        again = materialize(kept.join(rooted.where("lo <> hi"), ["view", "fp"], "left_semi"), f"{folder}/again-{number}")
+        still = apart(rows.join(kept.select("view", "fp").distinct(), ["view", "fp"], "left_semi"), roots)
+        again = materialize(kept.join(still, ["view", "fp"], "left_semi"), f"{folder}/again-{number}")
         if not again.limit(1).count():
             break
         members = spread.join(again, ["view", "fp", "part"], "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
