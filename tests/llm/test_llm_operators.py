@@ -580,3 +580,14 @@ def test_near_dedup_stage_has_the_links_of_operator_6(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table, "").collect())
     assert kept == [0, 3, 6, 7]
     assert corpus_pipeline.near_dedup(spark, table.limit(0), "").collect() == []
+
+
+def test_encoders_learn_words_as_they_are_looked_up():
+    from tokenizers import Tokenizer
+
+    from tidelog.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found, long = tokens.ChunkEncoder(path), "x" * (tokens.CACHE_CHARS + 1)
+    assert np.frombuffer(found.spaced["again,"] + found.spaced[long], "<u4").tolist() == Tokenizer.from_file(path).encode(f" again, {long}", add_special_tokens=False).ids
+    assert "again," in found.spaced and long not in found.spaced

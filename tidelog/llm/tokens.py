@@ -11,7 +11,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
@@ -70,6 +70,20 @@ def _kind(path: str) -> str:
     return "whole"
 
 
+class _Words(dict):
+    """Words to their ids; a word that is looked up in vain is learnt, and kept unless it is long."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.learn(word)
+        if len(word) <= CACHE_CHARS:
+            self[word] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Texts to ids as little-endian unsigned 32-bit integers, equal to the library's own ``encode`` of the whole text."""
 
@@ -85,8 +99,7 @@ class ChunkEncoder:
         self.kind = _kind(path)
         self.model = self.tokenizer.model
         self.merged: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.plain, self.spaced = _Words(lambda w: self._learn(w, "")), _Words(lambda w: self._learn(w, " "))
         self.end_of_line = self._library(["\n"])[0] if self.kind == "leads" else b""
 
     def _library(self, parts: Sequence[str]) -> list[bytes]:
@@ -106,20 +119,15 @@ class ChunkEncoder:
         text = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
         return b"".join([self._merge(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
 
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str, extra: dict[str, bytes]) -> None:
-        match, merged, drops, space = WORD.match, self.merged, self.kind == "drops", BYTE_ALPHABET[32] if lead else ""
-        for w in wanted.difference(cache):
-            if (m := match(w)) is None:
-                ids = self._chunk(lead + w) if w else b""
-            else:
-                word, marks = m.groups()
-                if drops:
-                    word = word.lower()
-                piece = space + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET))
-                ids = merged.get(piece) or self._merge(piece)
-                if marks:
-                    ids += merged.get(marks) or self._merge(marks)
-            (cache if len(w) <= CACHE_CHARS else extra)[w] = ids
+    def _learn(self, word: str, lead: str) -> bytes:
+        if (m := WORD.match(word)) is None:
+            return self._chunk(lead + word) if word else b""
+        letters, marks = m.groups()
+        if self.kind == "drops":
+            letters = letters.lower()
+        piece = (BYTE_ALPHABET[32] if lead else "") + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_ALPHABET))
+        ids = self.merged.get(piece) or self._merge(piece)
+        return ids + (self.merged.get(marks) or self._merge(marks)) if marks else ids
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -138,32 +146,23 @@ class ChunkEncoder:
                 rest = iter(self._some([t for i, t in enumerate(texts) if i not in whole]))
                 return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
         if self.kind == "drops":
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            extra: dict[str, bytes] = {}
-            self._learn(self.plain, set().union(*split), "", extra)
-            get = self.plain.__getitem__ if not extra else lambda w: self.plain[w] if w in self.plain else extra[w]
-            return [b"".join(map(get, words)) for words in split]
+            get = self.plain.__getitem__
+            return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
         if self.kind == "leads":
-            lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
             # other white space, two blanks in a row, or one at an end: such a text isn't cut plainly
             rough = [i for i, t in enumerate(texts) if _rough(t)]
             whole = dict(zip(rough, self._library([texts[i] for i in rough])))
-            for i in rough:
-                lines[i] = []
-            heads, tails = set(), set()
-            for doc in lines:
-                for words in doc:
-                    rest = iter(words)
-                    heads.add(next(rest))
-                    tails.update(rest)
-            more: dict[str, bytes] = {}
-            more_spaced: dict[str, bytes] = {}
-            self._learn(self.plain, heads, "", more)
-            self._learn(self.spaced, tails, " ", more_spaced)
-            head = lambda w: self.plain[w] if w in self.plain else more[w]
-            tail = self.spaced.__getitem__ if not more_spaced else lambda w: self.spaced[w] if w in self.spaced else more_spaced[w]
-            line = lambda rest: head(next(rest)) + b"".join(map(tail, rest))
-            return [whole[i] if i in whole else self.end_of_line.join([line(iter(words)) for words in doc]) for i, doc in enumerate(lines)]
+            head, tail, out = self.plain.__getitem__, self.spaced.__getitem__, []
+            for i, t in enumerate(texts):
+                if i in whole:
+                    out.append(whole[i])
+                    continue
+                lines = []
+                for x in t.split("\n"):
+                    rest = iter(x.split(" "))
+                    lines.append(head(next(rest)) + b"".join(map(tail, rest)))
+                out.append(self.end_of_line.join(lines))
+            return out
         return self._library(texts)
 
 
