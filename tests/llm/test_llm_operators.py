@@ -21,7 +21,7 @@ from hypothesis import strategies as st
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 from oracle import compare
 
-from tidelog.llm import neighbours, packing, pieces, quality, queries, similar, simhash, suffix_array, suffix_tree, token_files, toxicity, urls
+from tidelog.llm import components, neighbours, packing, pieces, quality, queries, shared, similar, simhash, suffix_array, suffix_tree, token_files, toxicity, urls
 from tidelog.llm.tokens import encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -265,6 +265,20 @@ def test_near_fingerprints(spark, cell):
     assert {frozenset(g) for g in found.values()} == groups
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_few_links_are_joined_up_in_one_task(spark, kind):
+    """The same roots as from rounds of stars, with two written tables in place of one for each step of each round."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(400)] + [(i, i + 1) for i in range(1000, 1200)] + [(5, 5), (8, 7), (7, 8), (None, 3)]
+    named = (lambda x: x) if kind == "long" else (lambda x: None if x is None else bytearray((x % 65536).to_bytes(2, "big")))
+    links = spark.createDataFrame([(named(a), named(b)) for a, b in pairs], f"a {kind}, b {kind}").repartition(5)
+    roots = lambda few: {str(r["node"]): str(r["root"]) for r in components.components(spark, links, few).collect()}
+    by_stars, began = roots(0), len(shared.work_dirs())
+    assert roots(1 << 20) == by_stars and len(by_stars) > 500
+    assert sorted(os.listdir(shared.filesystem(shared.work_dirs()[began])[1])) == ["0", "rooted"]
+    assert components.components(spark, links.where("a is null")).count() == 0
+
+
 def test_fingerprints(spark, sf, texts):
     rows = {r["doc_id"]: r["fingerprint"] for r in queries.op6_simhash(spark, sf).collect()}
     for i, t in texts[:60]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.components import components
+from tidelog.llm.components import components, join_up
 from tidelog.llm.memory import tidy
 from tidelog.llm.shared import materialize, texts, work_dir
 
@@ -98,14 +98,7 @@ def _joined_up(fp: np.ndarray, place: np.ndarray, group: np.ndarray, radius: int
             break
         near = left[np.bitwise_count(place[left] ^ place[left + step]) <= radius]  # the lower bound
         near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= radius]
-        a, b = near, near + step
-        while len(a):
-            a, b = label[a], label[b]
-            apart = a != b
-            a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-            np.minimum.at(label, b, a)
-            while (label[label] != label).any():
-                label = label[label]
+        join_up(label, near, near + step)
     far = np.flatnonzero(label != np.arange(len(label)))
     return far, label[far]
 
