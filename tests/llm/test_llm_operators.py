@@ -401,6 +401,28 @@ def test_n_best_are_the_best(text):
     assert found.decode(found.encode(word)[0][1]) == word.replace("▁", " ")
 
 
+def test_n_best_are_spelled_where_they_differ(texts):
+    """The losses are those of a search, and no more is spelled than the changed words, with the verdict of whole decoding."""
+    found = pieces.PieceLattice(public_tokenizers.path("piece_bpe_32k.model"), 3)
+    spell, spelled = found.spell, []
+    found.spell = lambda ids: spelled.append(len(ids)) or spell(ids)
+    for _, t in texts[:100]:
+        text = found.normalize(t + " 𝔘𝔫 日本\u0301 naïve")
+        words = found.words.findall(text)
+        for word in words:
+            ways = found.nbest(word, 2)
+            score, _, loss = found.best(word)
+            assert score == ways[0][0] and loss == (score - ways[1][0] if len(ways) > 1 else float("inf"))
+        spelled.clear()
+        rows = found.encoded(text)
+        assert len(spelled) <= 8 and max(spelled) <= 16 * max(map(len, words))  # four bytes an id, four ids a character
+        assert [same for _, _, same in rows] == [found.decode(ids) == found.decode(rows[0][1]) for _, ids, _ in rows]
+    short = found.normalize("ab cd")
+    found.spelled = [f"{i}," for i in range(len(found.spelled))]  # ids that spell apart
+    rows = found.encoded(short)
+    assert [same for _, _, same in rows] == [True, False, False] and len({found.decode(ids) for _, ids, _ in rows}) == 3
+
+
 def test_n_best_query(spark, sf):
     rows = queries.op10_nbest_pieces(spark, sf).toPandas()
     assert rows["round_trip"].all() and set(rows["rank"]) == {1, 2, 3}

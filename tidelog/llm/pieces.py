@@ -22,7 +22,7 @@ import re
 import struct
 import zlib
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import pyarrow as pa
@@ -39,6 +39,10 @@ SPACE = "▁"
 _BY_PATH: dict[tuple[str, int], PieceLattice] = {}
 
 
+def _pack(ids: Sequence[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceLattice:
     """The pieces of a model; ``n``: how many segmentations to find."""
 
@@ -70,6 +74,9 @@ class PieceLattice:
         line = "" if any("\n" in p for p in self.pieces) else "\n"
         self.words = re.compile(r"(?s).+" if crossing else rf"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if line else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.inside = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}  # neighbours in some piece
+        self.packed = [_pack((i,)) for i in every]
+        self.lone = ({}, (self.unknown, -1))  # a character that begins no piece
+        self.first = {c: (node, piece or self.lone[1]) for c, (node, piece) in self.trie.items()}
         self.recent: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
         self.recent_parts: dict[str, tuple] = {}
@@ -105,44 +112,41 @@ class PieceLattice:
                 end += 1
         return into, best
 
-    def best(self, word: str) -> tuple[float, list[int], float]:
+    def best(self, word: str) -> tuple[float, bytes, float]:
         """Score and ids of the best segmentation, and what the second best loses against it (infinite if there is none).
 
-        Another path has an edge that the best one hasn't; the best path through each such edge is known from the scores of
-        both its ends.  So the loss is found without searching the second path.
+        Each place has the scores of the two best paths to it; another path there is one by another last edge, or the
+        second best to where the best one's last edge begins.  Of equal ones the longest last edge is the best one's.
         """
-        into, best = self._forward(word)
-        size, total = len(word), best[-1]
-        at, kept, ids, second = size, size, [], -1e300
-        rest = [-1e300] * size + [0.0]
-        for end in range(size, 0, -1):
-            here = rest[end]
-            if end == kept:  # on the best path: one of its edges goes on with it, the others leave it
-                wanted, taken = best[end], False
-                for start, score, i in into[end]:
-                    through = here + score
-                    if through > rest[start]:
-                        rest[start] = through
-                    if not taken and best[start] + score == wanted:
-                        taken, at, chosen = True, start, i
-                    elif best[start] + through > second:
-                        second = best[start] + through
-                ids.append(chosen if chosen >= 0 else self._unknown_ids(word[at:end]))
-                kept = at
-            else:
-                for start, score, _ in into[end]:
-                    through = here + score
-                    if through > rest[start]:
-                        rest[start] = through
-                    if best[start] + through > second:
-                        second = best[start] + through
-        flat: list[int] = []
-        for i in reversed(ids):
-            if isinstance(i, int):
-                flat.append(i)
-            else:
-                flat += i
-        return total, flat, total - second if second > -1e299 else float("inf")
+        size, first, lone = len(word), self.first, self.lone
+        best, other = [0.0] + [-1e300] * size, [-1e300] * (size + 1)
+        came, by = [0] * (size + 1), [-1] * (size + 1)  # the best path's last edge
+        for start in range(size):
+            here, end = best[start], start
+            node, piece = first.get(word[start]) or lone
+            while True:
+                end += 1
+                if piece is not None:
+                    gain, i = piece
+                    score = here + gain
+                    if score > (was := best[end]):
+                        best[end], came[end], by[end] = score, start, i
+                        gain += other[start]
+                        other[end] = was if was > gain else gain
+                    elif score > other[end]:
+                        other[end] = score
+                if end == size or (found := node.get(word[end])) is None:
+                    break
+                node, piece = found
+        ids: list[bytes] = []
+        end = size
+        while end:
+            start, i = came[end], by[end]
+            ids.append(self.packed[i] if i >= 0 else _pack(self._unknown_ids(word[start:end])))
+            end = start
+        ids.reverse()
+        total, second = best[-1], other[-1]
+        return total, b"".join(ids), total - second if second > -1e299 else float("inf")
 
     def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, best first.
@@ -192,11 +196,11 @@ class PieceLattice:
             for part in self.parts(word):
                 some = self.recent_parts.get(part) or self.older_parts.get(part)
                 if some is None:
-                    s, i, d = self.best(part)
-                    some = (s, struct.pack(f"<{len(i)}I", *i), d)
+                    some = self.best(part)
                 if len(part) <= CACHE_CHARS:
                     self.recent_parts[part] = some
-                score, ids, loss = score + some[0], ids + some[1], min(loss, some[2])
+                gain, packed, lost = some
+                score, ids, loss = score + gain, ids + packed, lost if lost < loss else loss
             found = (score, ids, loss, word)
         if len(word) <= CACHE_CHARS:
             self.recent[word] = found
@@ -210,29 +214,42 @@ class PieceLattice:
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """(score, ids as little-endian unsigned 32-bit integers) of the n best segmentations of a normalized text."""
-        entries = []
-        for w in self.words.findall(text):
-            entries.append(self.recent.get(w) or self.entry(w))
+        return [(score, ids) for score, ids, _ in self.encoded(text)]
+
+    def encoded(self, text: str) -> list[tuple[float, bytes, bool]]:
+        """``encode``, and whether the ids spell what those of the best one do: they are spelled where they differ."""
+        words = self.words.findall(text)
+        entries = list(map(self.recent.get, words))
+        for i, e in enumerate(entries):
+            if e is None:
+                entries[i] = self.recent.get(words[i]) or self.entry(words[i])
         ids = [e[1] for e in entries]
         total = sum([e[0] for e in entries])
         losses = [e[2] for e in entries]
         if self.n == 1 or not losses:
-            return [(total, b"".join(ids))]
+            return [(total, b"".join(ids), True)]
         # whichever the n best are, they differ from the best in the n - 1 words that lose least; only those are searched
         limit = sorted(losses)[: self.n - 1][-1]
         change = sorted([(x, i) for i, x in enumerate(losses) if x <= limit < 1e300 or x < limit])[: self.n - 1]
         ways_of = [self.nbest(entries[i][3], self.n) for _, i in change]
         ways = sorted((sum([w[0][0] - w[c][0] for c, w in zip(way, ways_of)]), way) for way in product(*[range(len(w)) for w in ways_of]))
+        first = [self.spell(ids[i]) for _, i in change]
         out = []
         for loss, way in ways[: self.n]:
-            for c, (_, i), w in zip(way, change, ways_of):
-                ids[i] = struct.pack(f"<{len(w[c][1])}I", *w[c][1])
-            out.append((total - loss, b"".join(ids)))
+            same = True
+            for c, (_, i), w, spelled in zip(way, change, ways_of, first):
+                ids[i] = _pack(w[c][1])
+                same = same and self.spell(ids[i]) == spelled
+            out.append((total - loss, b"".join(ids), same))
         return out
 
+    def spell(self, ids: bytes) -> str:
+        """What the ids spell, with bytes that are no character by themselves as lone surrogates; what joined ids spell is so joined too."""
+        return "".join(map(self.spelled.__getitem__, memoryview(ids).cast("I")))
+
     def decode(self, ids: bytes) -> str:
         """The normalized text that the ids spell, with its space marks as spaces; bytes that are no text show as such."""
-        text = "".join(map(self.spelled.__getitem__, memoryview(ids).cast("I"))).replace(SPACE, " ")
+        text = self.spell(ids).replace(SPACE, " ")
         return text if self.no_bytes.search(text) is None else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
@@ -259,8 +276,11 @@ def nbest_segmentations(docs: DataFrame, model_path: str, n: int = 3, keep_ids:
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
                     text = found.normalize(text)
                     plain = text.replace(SPACE, " ")
-                    for rank, (score, ids) in enumerate(found.encode(text), 1):
-                        rows.append((doc_id, rank, score, len(ids) // 4, zlib.crc32(ids), found.decode(ids) == plain, ids))
+                    best = None
+                    for rank, (score, ids, same) in enumerate(found.encoded(text), 1):
+                        back = best if same and rank > 1 else found.decode(ids) == plain
+                        best = back if rank == 1 else best
+                        rows.append((doc_id, rank, score, len(ids) // 4, zlib.crc32(ids), back, ids))
                 columns = list(zip(*rows)) if rows else [[]] * 7
                 types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
                 names = ["doc_id", "rank", "score", "n_pieces", "ids_crc32", "round_trip", "ids"]
