@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm.memory import collect_heaps
 from tidelog.llm.packing import pack_documents
 from tidelog.llm.quality import keep_good
 from tidelog.llm.shared import materialize, release, work_dir, work_dirs
@@ -46,10 +47,14 @@ _before: list[str] = []
 
 
 def tidied(stage: Stage) -> Stage:
-    """A stage that first removes what the one before it has worked in, unless ``docs`` still reads that: its result has been written."""
+    """A stage that first removes what the one before it has worked in, unless ``docs`` still reads that: its result has been written.
+
+    The executors' heaps are collected, too: the stage's workers need the memory that the one before it took.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(_before, docs)
+        collect_heaps(spark)
         there = set(work_dirs())
         out = stage(spark, docs, sf_dir)
         _before[:] = [d for d in work_dirs() if d not in there]

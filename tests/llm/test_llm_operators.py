@@ -627,3 +627,24 @@ def test_encoders_learn_words_as_they_are_looked_up():
     found, long = tokens.ChunkEncoder(path), "x" * (tokens.CACHE_CHARS + 1)
     assert np.frombuffer(found.spaced["again,"] + found.spaced[long], "<u4").tolist() == Tokenizer.from_file(path).encode(f" again, {long}", add_special_tokens=False).ids
     assert "again," in found.spaced and long not in found.spaced
+
+
+def test_stages_begin_with_collected_heaps(spark):
+    """What a stage's rows took of the JVM's heap isn't held while the next one's workers run."""
+    import corpus_pipeline
+
+    jvm = spark._jvm
+    heap = lambda: jvm.java.lang.management.ManagementFactory.getMemoryMXBean().getHeapMemoryUsage()
+    held = []
+
+    def stage(spark, docs, sf_dir):
+        held.append(heap().getUsed())
+        return docs
+
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    garbage = [jvm.java.util.ArrayList(jvm.java.util.Collections.nCopies(1 << 20, i)) for i in range(100)]  # some 400 MB
+    before = heap().getUsed()
+    for g in garbage:
+        spark.sparkContext._gateway.detach(g)
+    corpus_pipeline.tidied(stage)(spark, docs, "")
+    assert before > 400_000_000 and held[0] < before - 300_000_000
