@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.memory import tidy
+from tidelog.llm.memory import collect_heaps, tidy
 from tidelog.llm.shared import free, materialize, work_dir
 from tidelog.llm.simhash import fingerprint, near_components, shingles
 
@@ -200,6 +200,7 @@ def similar_classes(spark: SparkSession, docs: DataFrame, size: int = 5, similar
     whole = docs.select(node_of(text).alias("node"), text.alias("text")).select("node", _place().alias("place"), "text")
     seen = whole.mapInArrow(tidy(look), "node binary, views array<long>, sketch binary, size long, fp long").dropDuplicates(["node"])
     seen = materialize(seen, f"{folder}/seen")
+    collect_heaps(spark)
 
     rows = seen.select("node", F.posexplode("views").alias("view", "fp"))
     # written, so that both sides of the join are plain exchanges, of which Spark can split the skewed partitions
@@ -246,6 +247,7 @@ def similar_classes(spark: SparkSession, docs: DataFrame, size: int = 5, similar
     start = spread.withColumn("root", F.lit(None).cast("binary")) if held is None else spread.join(near, "node", "left")
     members, links, number = start.withColumn("root", F.coalesce("root", "node")), LINKS, 0
     while True:
+        collect_heaps(spark)
         cells = members.select("view", "fp", "part", "node", "sketch", "size", "root").repartition("view", "fp", "part").sortWithinPartitions("view", "fp", "part")
         found = materialize(_cell_links(cells, similarity, links), f"{folder}/found-{number}")
         pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
